@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Identifier and endpoint patterns, and their use in statements.
-GUID_PATTERN = "(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
+# What identifiers, hosts and SQL endpoints look like, and the part that holds an item's identity.
+GUID = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
+GUID_PATTERN = f"(?i){GUID}"
 SQL_HOST_PATTERN = r"(?i)([a-z0-9-]+\.(?:[a-z0-9]+-)?(?:datawarehouse|database)\.fabric\.microsoft\.com)"
+HOST = r"(?:[a-z0-9-]+\.){2,}[a-z]{2,}"
+REFERENCE_PATTERN = f"(?i)(?:{HOST}|{GUID})"
 IDENTITY_PART = ".platform"
 
 
@@ -48,10 +51,26 @@ def encode_payload(column: Column | str) -> Column:
     return F.regexp_replace(F.base64(F.encode(F.col(column) if isinstance(column, str) else column, "UTF-8")), r"[\r\n]", "")
 
 
-def guids(column: Column | str) -> Column:
-    """Distinct GUIDs in a text, lower-cased."""
-    found = F.regexp_extract_all(F.col(column) if isinstance(column, str) else column, F.lit(GUID_PATTERN), F.lit(0))
-    return F.array_distinct(F.transform(found, F.lower))
+def tokens(column: Column | str, pattern: str = GUID_PATTERN) -> Column:
+    """Every match of the pattern in a text, in order, as written."""
+    return F.regexp_extract_all(F.col(column) if isinstance(column, str) else column, F.lit(pattern), F.lit(0))
+
+
+def references(column: Column | str, pattern: str = GUID_PATTERN) -> Column:
+    """Distinct matches in a text, lower-cased."""
+    return F.array_distinct(F.transform(tokens(column, pattern), F.lower))
+
+
+def substitute(column: Column | str, lookup: Column, pattern: str) -> Column:
+    """The text with each match replaced by its entry in the ``lookup`` map (keys lower-cased).
+
+    One pass: what a replacement puts in is not looked at again.
+    """
+    col = F.col(column) if isinstance(column, str) else column
+    between = F.split(col, pattern, -1)
+    pieces = F.zip_with(between, tokens(col, pattern),
+                        lambda gap, ref: F.concat(gap, F.coalesce(F.try_element_at(lookup, F.lower(ref)), ref, F.lit(""))))
+    return F.array_join(pieces, "")
 
 
 def is_identity_part(column: Column | str) -> Column:

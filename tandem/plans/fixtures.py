@@ -130,6 +130,14 @@ UNION ALL
 SELECT d.doc_id AS k, a.s_id AS item_id, 'meta.json' AS path,
   '{{"source":"' || d.source || '","lang":"' || CASE WHEN d.doc_id % 11 = 2 THEN 'xx' ELSE d.lang END || '"}}' AS payload
 FROM documents d JOIN f6_ids a ON a.k = d.doc_id WHERE d.doc_id % 17 <> 11"""
+VIEWS["f6_parts_r"] = f"""
+SELECT d.doc_id AS k, 'part' || cast(d.doc_id % 3 AS string) AS path,
+  d.text || ' ref=' || CASE WHEN b.mapped THEN b.s_id ELSE b.p_id END || ' ref=' || CASE WHEN c.mapped THEN c.s_id ELSE c.p_id END
+    || CASE WHEN d.doc_id % 3 = 0 THEN ' ws=' || {SECONDARY_WS} ELSE '' END AS payload
+FROM documents d JOIN f6_ids b ON b.k = cast(floor(d.doc_id / 2) AS bigint) JOIN f6_ids c ON c.k = cast(floor(d.doc_id / 3) AS bigint)
+WHERE d.doc_id % 10 <> 9
+UNION ALL
+SELECT doc_id AS k, 'meta.json' AS path, '{{"source":"' || source || '","lang":"' || lang || '"}}' AS payload FROM documents"""
 VIEWS["f6_edges"] = """
 SELECT cast(floor(doc_id / 2) AS bigint) AS upstream, doc_id AS downstream FROM documents
 UNION ALL SELECT cast(floor(doc_id / 3) AS bigint) AS upstream, doc_id AS downstream FROM documents"""
@@ -160,6 +168,13 @@ SELECT c_nationkey AS pair_id, CASE WHEN c_custkey % 14 = 1 THEN -1 - c_custkey
   CASE WHEN c_custkey % 9 = 2 THEN 'BUILDING' ELSE c_mktsegment END AS role FROM customer WHERE c_custkey % 12 <> 6"""
 VIEWS["f7_role_keys_s"] = """
 SELECT 'u' || cast(c_custkey AS string) AS principal_key FROM customer WHERE c_custkey % 40 = 3"""
+VIEWS["f7_entries"] = """
+SELECT c_nationkey AS item_no, CASE WHEN c_custkey % 23 = 0 THEN '' ELSE 'O' || cast(c_custkey AS string) END AS object_id,
+  CASE WHEN c_custkey % 10 = 1 THEN 'g' || cast(c_custkey AS string) ELSE NULL END AS group_id,
+  CASE WHEN c_custkey % 10 = 2 THEN 'a' || cast(c_custkey AS string) ELSE NULL END AS app_id, c_custkey % 10 = 3 AS is_app,
+  CASE WHEN c_custkey % 10 > 5 THEN c_name ELSE NULL END AS upn, CASE WHEN c_custkey % 10 = 4 THEN 0 ELSE NULL END AS user_type,
+  CAST(NULL AS string) AS email, CASE WHEN c_custkey % 17 = 0 THEN 5 ELSE NULL END AS folder_role_id,
+  CASE WHEN c_custkey % 19 = 0 THEN 'Admin' ELSE NULL END AS folder_role, CASE WHEN c_custkey % 29 = 0 THEN NULL ELSE c_custkey % 16 END AS permissions FROM customer"""
 VIEWS["f7_members"] = """
 SELECT c_custkey - c_custkey % 10 + 1 AS group_id, cast(floor(c_custkey / 2) AS bigint) AS member_id FROM customer"""
 
