@@ -33,19 +33,27 @@ def bag_digest(digest: Column) -> Column:
     return F.sha2(F.concat_ws("/", F.count(digest).cast("string"), *sums), 256)
 
 
-def ordinal(df: DataFrame, *, group: Sequence[str], prefix: Sequence[str], rest: Sequence[str], out: str) -> DataFrame:
-    """1-based position of each row in its group, in the order ``prefix`` then ``rest``.
+def ordinal(df: DataFrame, *, group: Sequence[str], levels: Sequence[Sequence[str]], rest: Sequence[str], out: str) -> DataFrame:
+    """1-based position of each row in its group, in the order of the ``levels`` and then ``rest``.
 
-    Rows are ranked inside (group, prefix) only; the offset of each prefix comes from counts. A
-    group that holds most of the table is therefore spread over as many tasks as it has prefixes.
+    Each level splits the cells of the one before. Rows are ranked inside their finest cell only;
+    what lies before a cell comes from counts of its siblings. A group that holds most of the
+    table is thus spread over as many tasks as it has cells. The columns may not be null.
     """
-    cell = [*group, *prefix]
-    before = Window.partitionBy(*group).orderBy(*prefix).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (df.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
-               .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"))
+    cell = [*group, *[c for level in levels for c in level]]
+    # One row per finest cell; the coarser counts are sums of these, so the rows are read for them once.
+    cells = df.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = cells.select(*cell, F.lit(0).cast("bigint").alias("_before"))
+    parent = list(group)
+    for level in levels:
+        child = [*parent, *level]
+        earlier = Window.partitionBy(*parent).orderBy(*level).rowsBetween(Window.unboundedPreceding, -1)
+        siblings = (cells.groupBy(*child).agg(F.sum("_n").alias("_n"))
+                    .select(*child, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_earlier")))
+        offsets = offsets.join(siblings, child).select(*cell, (F.col("_before") + F.col("_earlier")).alias("_before"))
+        parent = child
     local = df.withColumn("_local", F.row_number().over(Window.partitionBy(*cell).orderBy(*rest)))
-    return (local.join(offsets, cell)
-            .withColumn(out, (F.col("_local") + F.col("_offset")).cast("bigint")).drop("_local", "_offset"))
+    return (local.join(offsets, cell).withColumn(out, (F.col("_local") + F.col("_before")).cast("bigint")).drop("_local", "_before"))
 
 
 def spread(column: Column | str, *, digits: int = 2) -> Column:

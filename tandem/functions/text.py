@@ -6,11 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # What identifiers, hosts and SQL endpoints look like, and the part that holds an item's identity.
-GUID = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
-GUID_PATTERN = f"(?i){GUID}"
+GUID = "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
+GUID_PATTERN = GUID
 SQL_HOST_PATTERN = r"(?i)([a-z0-9-]+\.(?:[a-z0-9]+-)?(?:datawarehouse|database)\.fabric\.microsoft\.com)"
-HOST = r"(?:[a-z0-9-]+\.){2,}[a-z]{2,}"
-REFERENCE_PATTERN = f"(?i)(?:{HOST}|{GUID})"
+# A host has three labels or more and starts at a word boundary; labels are not given back, so
+# that plain prose is passed over quickly.
+HOST = r"\b(?:[A-Za-z0-9-]++\.){2,}[A-Za-z]{2,}"
+REFERENCE_PATTERN = f"(?:{HOST}|{GUID})"
 IDENTITY_PART = ".platform"
 
 
@@ -48,7 +50,7 @@ def decode_payload(column: Column | str) -> Column:
 
 def encode_payload(column: Column | str) -> Column:
     """Text to base64 on one line."""
-    return F.regexp_replace(F.base64(F.encode(F.col(column) if isinstance(column, str) else column, "UTF-8")), r"[\r\n]", "")
+    return F.translate(F.base64(F.encode(F.col(column) if isinstance(column, str) else column, "UTF-8")), "\r\n", "")
 
 
 def tokens(column: Column | str, pattern: str = GUID_PATTERN) -> Column:
@@ -61,16 +63,22 @@ def references(column: Column | str, pattern: str = GUID_PATTERN) -> Column:
     return F.array_distinct(F.transform(tokens(column, pattern), F.lower))
 
 
+_MARK = "\u0001"
+
+
 def substitute(column: Column | str, lookup: Column, pattern: str) -> Column:
     """The text with each match replaced by its entry in the ``lookup`` map (keys lower-cased).
 
-    One pass: what a replacement puts in is not looked at again.
+    One pass: what a replacement puts in is not looked at again. The matches are fenced with a
+    mark and the text is split at it; a text that has the mark in it is cut at the matches instead.
     """
     col = F.col(column) if isinstance(column, str) else column
-    between = F.split(col, pattern, -1)
-    pieces = F.zip_with(between, tokens(col, pattern),
-                        lambda gap, ref: F.concat(gap, F.coalesce(F.try_element_at(lookup, F.lower(ref)), ref, F.lit(""))))
-    return F.array_join(pieces, "")
+    new = lambda ref: F.coalesce(F.try_element_at(lookup, F.lower(ref)), ref)
+    fenced = F.split(F.regexp_replace(col, f"(?:{pattern})", f"{_MARK}$0{_MARK}"), _MARK, -1)
+    quick = F.transform(fenced, lambda piece, i: F.when(i % 2 == 1, new(piece)).otherwise(piece))
+    careful = F.zip_with(F.split(col, pattern, -1), tokens(col, pattern),
+                         lambda gap, ref: F.concat(gap, F.coalesce(new(ref), F.lit(""))))
+    return F.array_join(F.when(F.contains(col, F.lit(_MARK)), careful).otherwise(quick), "")
 
 
 def is_identity_part(column: Column | str) -> Column:

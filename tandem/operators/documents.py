@@ -54,7 +54,7 @@ def unfindable(mapping: DataFrame, *, pattern: str = tx.REFERENCE_PATTERN) -> Da
 def literal_pattern(names: Sequence[str], *, base: str = tx.REFERENCE_PATTERN) -> str:
     """``base`` widened by names that have no shape of their own, such as connection names."""
     quoted = "|".join("\\Q" + n.replace("\\E", "\\E\\\\E\\Q") + "\\E" for n in sorted(names, key=len, reverse=True))
-    return f"(?i)(?:{quoted}|{base.removeprefix('(?i)')})" if quoted else base
+    return f"(?:{quoted}|{base})" if quoted else base
 
 
 def remap_documents(parts: DataFrame, mapping: DataFrame, *, pattern: str = tx.REFERENCE_PATTERN) -> DataFrame:

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from tandem.functions import rights as rt
 from tandem.functions.grouping import ordinal
-from tandem.operators.reconcile import null_safe_join
+from tandem.session import materialize
 
 TUPLE = ["state", "permission", "class", "schema_name", "object_name", "column_name", "principal"]
-PHASES = {"create_role": 0, "role_member": 1, "grant": 2}
+MEMBER = ["role_name", "member_name"]
 
 
 def grant_snapshot(permissions: DataFrame, principals: DataFrame, objects: DataFrame, schemas: DataFrame, columns: DataFrame) -> DataFrame:
@@ -42,11 +42,18 @@ def scope_rank():
 
 def grant_extra(p: DataFrame, s: DataFrame, p_members: DataFrame, s_members: DataFrame) -> DataFrame:
     """What only the secondary has, as statements. A report: it is never revoked."""
-    grants = null_safe_join(s, p, ["database_name", *TUPLE], "left_anti").distinct().select("database_name", rt.grant_statement().alias("statement"))
-    members = null_safe_join(s_members, p_members, ["database_name", "role_name", "member_name"], "left_anti").distinct()
+    grants = _only(s, p, TUPLE).select("database_name", rt.grant_statement().alias("statement"))
+    members = _only(s_members, p_members, MEMBER)
     return grants.unionByName(members.select("database_name", _add_member().alias("statement")))
 
 
+def _only(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct rows of ``a`` that ``b`` does not have: one aggregate for the distinct and the difference."""
+    on = ["database_name", *keys]
+    both = a.select(*on, F.lit(False).alias("_there")).unionByName(b.select(*on, F.lit(True).alias("_there")))
+    return both.groupBy(*on).agg(F.bool_or("_there").alias("_there")).filter(~F.col("_there")).drop("_there")
+
+
 def _add_member():
     return F.concat(F.lit("ALTER ROLE "), rt.quote_ident("role_name"), F.lit(" ADD MEMBER "), rt.quote_ident("member_name"), F.lit(";"))
 
@@ -59,10 +66,9 @@ def grant_plan(p: DataFrame, s: DataFrame, *, s_objects: DataFrame, s_schemas: D
     """
     empty = F.lit("")
     blank = [empty.alias(c) for c in TUPLE]
-    roles = p_members.select("database_name", "role_name").distinct()
-    roles = null_safe_join(roles, s_members.select("database_name", "role_name").distinct(), ["database_name", "role_name"], "left_anti")
-    members = null_safe_join(p_members.distinct(), s_members.distinct(), ["database_name", "role_name", "member_name"], "left_anti")
-    new = null_safe_join(p.distinct(), s.distinct(), ["database_name", *TUPLE], "left_anti")
+    roles = _only(p_members, s_members, ["role_name"])
+    members = _only(p_members, s_members, MEMBER)
+    new = _only(p, s, TUPLE)
     on_schema = s_schemas.select("database_name", "schema_name").distinct().withColumn("_schema", F.lit(True))
     on_object = s_objects.select("database_name", "schema_name", "object_name").distinct().withColumn("_object", F.lit(True))
     new = new.join(on_schema, ["database_name", "schema_name"], "left").join(on_object, ["database_name", "schema_name", "object_name"], "left")
@@ -74,8 +80,12 @@ def grant_plan(p: DataFrame, s: DataFrame, *, s_objects: DataFrame, s_schemas: D
             .unionByName(new.select("database_name", F.when(absent, "skipped").otherwise("grant").alias("kind"), empty.alias("role_name"),
                                     empty.alias("member_name"), scope_rank().alias("scope"), *TUPLE, rt.grant_statement().alias("statement"))))
     phase = F.when(F.col("kind") == "create_role", 0).when(F.col("kind") == "role_member", 1).when(F.col("kind") == "grant", 2).otherwise(3)
-    rows = rows.withColumn("phase", phase)
-    # The leading columns of the order split a large database over many tasks.
-    ranked = ordinal(rows, group=["database_name"], prefix=["phase", "role_name", "scope", "state", "permission", "class", "schema_name"],
+    # A delta is small next to the grants it comes from; it is kept rather than worked out again for the counts.
+    rows = materialize(rows.withColumn("phase", phase))
+    # Leading columns and then the heads of the names split a large database, schema or role over many tasks.
+    # Only members have a member name and only grants an object, so the two heads do not disturb the order.
+    heads = rows.withColumn("_object_head", F.substring("object_name", 1, 8)).withColumn("_member_head", F.substring("member_name", 1, 8))
+    ranked = ordinal(heads, group=["database_name"],
+                     levels=[["phase", "role_name", "scope", "state", "permission", "class", "schema_name"], ["_object_head", "_member_head"]],
                      rest=["object_name", "column_name", "principal", "member_name"], out="seq")
     return ranked.select("database_name", "kind", F.when(F.col("phase") < 3, F.col("seq")).alias("seq"), "statement")

@@ -205,6 +205,13 @@ def watermark_replicate(events: DataFrame, state: DataFrame, *, ts_col: str = "t
     return batch, state_upsert(state.select(table, "last_ts"), reached, keys=[table])
 
 
+def event_sync_plan(columns: DataFrame, state: DataFrame, *, table: str = "table_key", mode: str = "incremental") -> DataFrame:
+    """How each event table is copied: full when it has no time column, initial before its first watermark, else incremental."""
+    rows = detect_time_column(columns, by=[table]).join(state.select(table, "last_ts"), table, "left")
+    decided = (F.when(F.lit(mode == "full") | F.col("ts_col").isNull(), "full").when(F.col("last_ts").isNull(), "initial").otherwise("incremental"))
+    return rows.select(table, "ts_col", "last_ts", decided.alias("sync_mode"), (decided != "incremental").alias("clears_target"))
+
+
 def late_safe_increment(events: DataFrame, target: DataFrame, *, keys: Sequence[str]) -> DataFrame:
     """Rows not in the target yet, whatever their time: late rows are not lost to a watermark."""
     once = events.dropDuplicates(list(keys))

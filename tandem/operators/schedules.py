@@ -28,7 +28,7 @@ def schedule_plan(p: DataFrame, s: DataFrame, s_items: DataFrame) -> DataFrame:
     The n-th of equal schedules on one side meets the n-th on the other. Numbers are given in a
     spread order, so a bag that holds a large share of all schedules is numbered by many tasks.
     """
-    numbered = lambda df: ordinal(df.withColumn("_spread", spread("schedule_id")), group=[*KEY, "config"], prefix=["_spread"],
+    numbered = lambda df: ordinal(df.withColumn("_spread", spread("schedule_id")), group=[*KEY, "config"], levels=[["_spread"]],
                                   rest=["schedule_id"], out="_n").drop("_spread")
     items = s_items.select("item_type", "item_name", F.col("item_id").alias("secondary_item_id"))
     wanted = numbered(p).join(items, ["item_type", "item_name"], "left")

@@ -89,26 +89,34 @@ def drift_counts(drift: DataFrame) -> DataFrame:
                     .when(F.col("extra") > 0, 2).otherwise(3)))
 
 
-def count_checks(p: DataFrame, s: DataFrame, *, p_tables: DataFrame, s_tables: DataFrame) -> DataFrame:
-    """Assurance checks: item counts per type, table counts per store, and existence of the store.
+def _count_check(counts: DataFrame, artifact, check) -> DataFrame:
+    variance = F.abs(F.col("primary_count") - F.col("secondary_count"))
+    return counts.select("pair_id", artifact.alias("artifact"), check.alias("check"), F.col("primary_count").alias("primary_value"),
+                         F.col("secondary_count").alias("secondary_value"), variance.alias("variance"),
+                         F.when(variance == 0, "pass").otherwise("warning").alias("status"))
 
-    ``*_tables`` hold one row per (pair_id, store, table_key).
+
+def count_checks(p: DataFrame, s: DataFrame, *, p_tables: DataFrame, s_tables: DataFrame,
+                 p_rows: DataFrame | None = None, s_rows: DataFrame | None = None) -> DataFrame:
+    """Assurance checks: items per type, tables per store, existence of the store, rows per table.
+
+    ``*_tables`` hold one row per (pair_id, store, table_key), ``*_rows`` one per row of the
+    tables. Data stores are checked by their tables, not by their number.
     """
-    types = (_side_counts(p.filter(~F.col("item_type").isin("Lakehouse", "Warehouse")),
-                          s.filter(~F.col("item_type").isin("Lakehouse", "Warehouse")), ["pair_id", "item_type"])
-             .select("pair_id", F.col("item_type").alias("artifact"), F.lit("Item Count").alias("check"),
-                     F.col("primary_count").alias("primary_value"), F.col("secondary_count").alias("secondary_value")))
-    types = types.withColumn("variance", F.abs(F.col("primary_value") - F.col("secondary_value"))).withColumn(
-        "status", F.when(F.col("variance") == 0, "pass").otherwise("warning"))
-    stores = (_side_counts(p_tables, s_tables, ["pair_id", "store"]).filter(F.col("primary_count") > 0)
-              .withColumn("gone", F.col("secondary_count") == 0)
-              .select("pair_id", F.concat(F.lit("Store: "), "store").alias("artifact"),
-                      F.when(F.col("gone"), "Existence").otherwise("Table Count").alias("check"),
-                      F.col("primary_count").alias("primary_value"), F.col("secondary_count").alias("secondary_value"),
-                      F.when(~F.col("gone"), F.abs(F.col("primary_count") - F.col("secondary_count"))).alias("variance"),
-                      F.when(F.col("gone"), "fail").when(F.col("primary_count") == F.col("secondary_count"), "pass")
-                      .otherwise("warning").alias("status")))
-    return types.unionByName(stores)
+    stores = ("Lakehouse", "Warehouse")
+    types = _side_counts(p.filter(~F.col("item_type").isin(*stores)), s.filter(~F.col("item_type").isin(*stores)), ["pair_id", "item_type"])
+    out = _count_check(types, F.col("item_type"), F.lit("Item Count"))
+    tables = _side_counts(p_tables, s_tables, ["pair_id", "store"]).filter(F.col("primary_count") > 0)
+    store = F.concat(F.lit("Store: "), "store")
+    gone = F.col("secondary_count") == 0
+    by_store = _count_check(tables, store, F.when(gone, "Existence").otherwise("Table Count"))
+    missing = F.col("check") == "Existence"
+    out = out.unionByName(by_store.withColumn("variance", F.when(~missing, F.col("variance")))
+                          .withColumn("status", F.when(missing, "fail").otherwise(F.col("status"))))
+    if p_rows is not None and s_rows is not None:
+        counts = _side_counts(p_rows, s_rows, ["pair_id", "store", "table_key"]).filter(F.col("primary_count") > 0)
+        out = out.unionByName(_count_check(counts, F.concat("store", F.lit(" -> "), "table_key"), F.lit("Row Count")))
+    return out
 
 
 def health_score(items: DataFrame, capacity: DataFrame) -> DataFrame:

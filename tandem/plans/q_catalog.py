@@ -137,10 +137,15 @@ SELECT pair_id, 'Store: ' || store, CASE WHEN s = 0 THEN 'Existence' ELSE 'Table
   CASE WHEN s = 0 THEN 'fail' WHEN p = s THEN 'pass' ELSE 'warning' END
 FROM (SELECT pair_id, store, count(*) FILTER (side = 'p') AS p, count(*) FILTER (side = 's') AS s FROM (
   SELECT pair_id, folder || '-' || item_type AS store, 'p' AS side FROM f2_p UNION ALL SELECT pair_id, folder || '-' || item_type, 's' FROM f2_s) GROUP BY 1, 2)
-WHERE p > 0""")
+WHERE p > 0
+UNION ALL
+SELECT pair_id, 'orders -> ' || o_orderpriority, 'Row Count', p, s, abs(p - s), CASE WHEN p = s THEN 'pass' ELSE 'warning' END
+FROM (SELECT o_custkey % 8 AS pair_id, o_orderpriority, count(*) FILTER (side = 'p') AS p, count(*) FILTER (side = 's') AS s FROM (
+  SELECT o_custkey, o_orderpriority, 'p' AS side FROM f1_p UNION ALL SELECT o_custkey, o_orderpriority, 's' FROM f1_s) GROUP BY 1, 2) WHERE p > 0""")
 def count_checks(f):
     p, s = _items(f)
-    return st.count_checks(p, s, p_tables=_store_tables(f, "p"), s_tables=_store_tables(f, "s"))
+    rows = lambda side: f[f"f1_{side}"].select((F.col("o_custkey") % 8).alias("pair_id"), F.lit("orders").alias("store"), F.col("o_orderpriority").alias("table_key"))
+    return st.count_checks(p, s, p_tables=_store_tables(f, "p"), s_tables=_store_tables(f, "s"), p_rows=rows("p"), s_rows=rows("s"))
 
 
 @query("mirrored_names", f"""

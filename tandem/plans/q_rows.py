@@ -199,3 +199,15 @@ SELECT table_no, column_name, CASE WHEN named THEN 'name' ELSE 'first_column' EN
 WHERE named OR (NOT any_named AND pos = first_pos)""")
 def infer_keys(f):
     return rep.infer_keys(f["f13_columns"], by=["table_no"])
+
+
+@query("event_sync_mode", """
+SELECT table_key, ts_col, cast(last_ts AS VARCHAR) AS last_ts, CASE WHEN ts_col IS NULL THEN 'full' WHEN last_ts IS NULL THEN 'initial' ELSE 'incremental' END AS sync_mode,
+  ts_col IS NULL OR last_ts IS NULL AS clears_target
+FROM (SELECT table_no AS table_key, coalesce(min(CASE WHEN t AND column_name = 'Timestamp' THEN column_name END), min(CASE WHEN t AND column_name = 'CreatedAt' THEN column_name END),
+    min_by(column_name, pos) FILTER (t)) AS ts_col FROM (SELECT *, lower(column_type) = 'datetime' AS t FROM f13_columns) GROUP BY table_no)
+LEFT JOIN (SELECT o_custkey AS table_key, max(o_orderdate) AS last_ts FROM f1_p WHERE o_custkey % 4 <> 1 GROUP BY 1) USING (table_key)""")
+def event_sync_mode(f):
+    columns = f["f13_columns"].withColumnRenamed("table_no", "table_key")
+    state = f["f1_p"].filter("o_custkey % 4 <> 1").groupBy(F.col("o_custkey").alias("table_key")).agg(F.max("o_orderdate").alias("last_ts"))
+    return rep.event_sync_plan(columns, state).withColumn("last_ts", F.col("last_ts").cast("string"))

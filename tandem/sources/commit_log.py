@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 COMMIT_FILE = r"/_delta_log/(\d{20})\.json$"
 TABLE_OF_COMMIT = r"^(?:.*/)?Tables/(.+)/_delta_log/\d{20}\.json$"
-ACTION = "add STRUCT<path STRING, size BIGINT>, commitInfo MAP<STRING, STRING>"
+ACTION = "add STRUCT<path STRING>, commitInfo MAP<STRING, STRING>, _corrupt STRING"
 
 
 def read_commit_lines(spark: SparkSession, glob: str, *, modified_after: str | None = None) -> DataFrame:
@@ -28,15 +28,14 @@ def parse_commits(lines: DataFrame) -> DataFrame:
     keep = [c for c in lines.columns if c not in ("file_path", "line")]
     parsed = (lines.withColumn("_version", F.regexp_extract("file_path", COMMIT_FILE, 1))
               .filter((F.col("_version") != "") & (F.trim("line") != ""))
-              .withColumn("_action", F.from_json("line", ACTION, {"mode": "PERMISSIVE"}))
-              .withColumn("_raw", F.get_json_object("line", "$")))
+              .withColumn("_action", F.from_json("line", ACTION, {"columnNameOfCorruptRecord": "_corrupt"})))
     return parsed.select(
         *keep, F.regexp_extract("file_path", TABLE_OF_COMMIT, 1).alias("table_key"),
         F.col("_version").cast("bigint").alias("version"), F.col("_action.add.path").alias("add_path"),
         F.col("_action.commitInfo").isNotNull().alias("is_commit_info"),
         F.map_contains_key(F.coalesce("_action.commitInfo", F.create_map().cast("map<string,string>")),
                            F.lit("inCommitTimestamp")).alias("has_ict"),
-        F.col("_raw").isNull().alias("unparsed"))
+        F.col("_action._corrupt").isNotNull().alias("unparsed"))
 
 
 def commit_history(actions: DataFrame, *, partition: tuple[str, ...] = ("pair_id",)) -> DataFrame:
