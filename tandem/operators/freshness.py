@@ -56,23 +56,24 @@ def freshness(p_commits: DataFrame, s_commits: DataFrame, *, tolerance_hours: fl
 def rpo_summary(fresh: DataFrame, errors: DataFrame | None = None) -> DataFrame:
     """Measured RPO per pair: worst and upper-median lag, states, and whether all was measured.
 
-    The median comes from counts per distinct lag, so no pair's rows are gathered in one place.
+    Tables are counted per distinct lag first; the median and all totals come from those counts,
+    so the comparison is worked out once and no pair's tables are gathered in one place.
     ``errors`` has one row per pair whose listing failed.
     """
     state = lambda name: F.count_if(F.col("state") == name)
-    out = fresh.groupBy("pair_id").agg(
-        F.count(F.lit(1)).alias("tables_compared"), F.max("behind_hours").alias("measured_rpo_hours"),
-        F.bool_or("lag_is_lower_bound").alias("rpo_is_lower_bound"),
-        F.count_if(~F.col("in_commit_timestamps")).alias("tables_without_in_commit_timestamps"),
-        state("in_sync").alias("in_sync"), state("behind").alias("behind"), state("diverged").alias("diverged"),
-        state("missing_in_secondary").alias("missing"), state("extra_in_secondary").alias("extra"), state("unknown").alias("unknown"))
-    per_lag = fresh.filter("behind_hours IS NOT NULL").groupBy("pair_id", "behind_hours").agg(F.count(F.lit(1)).alias("n"))
+    counts = {"tables_compared": F.count(F.lit(1)), "_lower": F.count_if("lag_is_lower_bound"),
+              "tables_without_in_commit_timestamps": F.count_if(~F.col("in_commit_timestamps")),
+              "in_sync": state("in_sync"), "behind": state("behind"), "diverged": state("diverged"),
+              "missing": state("missing_in_secondary"), "extra": state("extra_in_secondary"), "unknown": state("unknown")}
+    per_lag = fresh.groupBy("pair_id", "behind_hours").agg(*[c.alias(n) for n, c in counts.items()])
+    timed = F.when(F.col("behind_hours").isNotNull(), F.col("tables_compared")).otherwise(0)
     by_pair = Window.partitionBy("pair_id")
-    running = F.sum("n").over(by_pair.orderBy("behind_hours").rowsBetween(Window.unboundedPreceding, 0))
-    median = (per_lag.withColumn("_running", running).withColumn("_total", F.sum("n").over(by_pair))
-              .filter(F.col("_running") > F.floor(F.col("_total") / 2))
-              .groupBy("pair_id").agg(F.min("behind_hours").alias("median_lag_hours")))
-    out = out.join(median, "pair_id", "left")
+    running = F.sum(timed).over(by_pair.orderBy(F.col("behind_hours").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = per_lag.withColumn("_running", running).withColumn("_total", F.sum(timed).over(by_pair))
+    median = F.min(F.when(F.col("_running") > F.floor(F.col("_total") / 2), F.col("behind_hours")))
+    out = ranked.groupBy("pair_id").agg(*[F.sum(n).alias(n) for n in counts], F.max("behind_hours").alias("measured_rpo_hours"),
+                                        median.alias("median_lag_hours"))
+    out = out.withColumn("rpo_is_lower_bound", F.col("_lower") > 0).drop("_lower")
     if errors is None:
         return out.withColumn("complete", F.col("unknown") == 0)
     failed = errors.select("pair_id").distinct().withColumn("_failed", F.lit(True))

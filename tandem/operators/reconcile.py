@@ -27,8 +27,9 @@ def reconcile(p: DataFrame, s: DataFrame, *, keys: Sequence[str], compare: Seque
               partition: Sequence[str] = ("pair_id",), unique: bool = False) -> DataFrame:
     """One row per key: ``state`` and both sides' values as ``p_<col>`` and ``s_<col>``.
 
-    With ``unique`` the keys are known to identify a row and the columns are aggregated one by
-    one, without a struct. Otherwise the greatest row of a duplicated key stands for it.
+    With ``unique`` the keys are known to identify a row: nothing can be combined before the
+    shuffle, so the rows go there first and are sorted once. Otherwise they are combined on the
+    map side, and the greatest row of a duplicated key stands for it.
     """
     on = [*partition, *keys]
     both = _tagged(p, on, compare, True).unionByName(_tagged(s, on, compare, False))
@@ -37,7 +38,7 @@ def reconcile(p: DataFrame, s: DataFrame, *, keys: Sequence[str], compare: Seque
         for c in compare:
             aggs.append(F.max(F.when(F.col("_primary"), F.col(f"_v_{c}"))).alias(f"p_{c}"))
             aggs.append(F.max(F.when(~F.col("_primary"), F.col(f"_v_{c}"))).alias(f"s_{c}"))
-        rows = both.groupBy(*on).agg(*aggs)
+        rows = both.repartition(*on).groupBy(*on).agg(*aggs)
     else:
         if compare:
             whole = F.struct(*[F.col(f"_v_{c}").alias(c) for c in compare])

@@ -52,20 +52,31 @@ def cdf_merge(target: DataFrame, changes: DataFrame, *, keys: Sequence[str]) ->
     return untouched.unionByName(upserts, allowMissingColumns=True)
 
 
+def _fingerprint(df: DataFrame, values: Sequence[str], side: str) -> list:
+    """Two independent 64-bit hashes of the values; both are fixed-width, so the aggregate over them is a hash aggregate."""
+    cells = [c for v in values for c in (F.col(v), F.col(v).isNull())]
+    return [F.xxhash64(*cells).alias(f"_{side}_a"), F.xxhash64(F.lit("second"), *reversed(cells)).alias(f"_{side}_b")]
+
+
 def cdf_extract(old: DataFrame, new: DataFrame, *, keys: Sequence[str], version: int) -> DataFrame:
     """The change feed that turns ``old`` into ``new``. Keys identify rows on both sides.
 
-    One union and one aggregate by key: both versions of a row meet in the same group.
+    Only keys and 128-bit fingerprints of the rows are shuffled to find what changed; the values
+    are then read for the changed keys alone.
     """
+    keys = list(keys)
     values = [c for c in new.columns if c not in keys]
-    tagged = (old.select(*keys, F.struct(*values).alias("_old"), F.lit(None).cast(new.select(F.struct(*values)).schema[0].dataType).alias("_new"))
-              .unionByName(new.select(*keys, F.lit(None).cast(old.select(F.struct(*values)).schema[0].dataType).alias("_old"), F.struct(*values).alias("_new"))))
-    rows = tagged.groupBy(*keys).agg(F.max("_old").alias("_old"), F.max("_new").alias("_new"))
-    changed = rows.filter(~F.col("_old").eqNullSafe(F.col("_new")))
-    kind = F.when(F.col("_old").isNull(), "insert").when(F.col("_new").isNull(), "delete").otherwise("update_postimage")
-    image = F.coalesce("_new", "_old")
-    return changed.select(*keys, *[image.getField(c).alias(c) for c in values], kind.alias("_change_type"),
-                          F.lit(version).cast("bigint").alias("_commit_version"))
+    none = lambda side: [F.lit(None).cast("bigint").alias(f"_{side}_{x}") for x in "ab"]
+    both = (old.select(*keys, *_fingerprint(old, values, "old"), *none("new"))
+            .unionByName(new.select(*keys, *none("old"), *_fingerprint(new, values, "new"))))
+    pairs = both.repartition(*keys).groupBy(*keys).agg(*[F.max(f"_{side}_{x}").alias(f"_{side}_{x}") for side in ("old", "new") for x in "ab"])
+    same = F.col("_old_a").eqNullSafe(F.col("_new_a")) & F.col("_old_b").eqNullSafe(F.col("_new_b"))
+    kind = F.when(F.col("_old_a").isNull(), "insert").when(F.col("_new_a").isNull(), "delete").otherwise("update_postimage")
+    changed = pairs.filter(~same).select(*keys, kind.alias("_change_type"))
+    gone = F.col("_change_type") == "delete"
+    after = null_safe_join(new.select(*keys, *values), changed.filter(~gone), keys, "inner")
+    before = null_safe_join(old.select(*keys, *values), changed.filter(gone), keys, "inner")
+    return after.unionByName(before).withColumn("_commit_version", F.lit(version).cast("bigint"))
 
 
 def changed_since(changes: DataFrame, last_version: int) -> DataFrame:
@@ -175,13 +186,17 @@ def cut_points(pending: DataFrame, *, table: str, ts_col: str, cap: int, grains:
         earlier = F.sum("_n").over(by_table.orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
         return counts.withColumn("_before", F.col("_start") + F.coalesce(earlier, F.lit(0)))
 
-    rows = pending.select(table, ts_col, F.lit(0).cast("bigint").alias("_start"))
-    last = rows.groupBy(table).agg(F.max(ts_col).alias("last_ts"))
+    # One pass counts at the finest grain; the coarser ones are sums of its rows.
+    finest = F.date_trunc(grains[-1], F.col(ts_col))
+    cells = (pending.groupBy(table, finest.alias("_cell")).agg(F.count(F.lit(1)).alias("_n"), F.max(ts_col).alias("_last"))
+             .withColumn("_start", F.lit(0).cast("bigint")))
+    last = cells.groupBy(table).agg(F.max("_last").alias("last_ts"))
     for grain in grains:
-        grained = rows.withColumn("_grain", F.date_trunc(grain, F.col(ts_col)))
-        counts = with_running(grained.groupBy(table, "_start", "_grain").agg(F.count(F.lit(1)).alias("_n")), "_grain")
+        grained = cells.withColumn("_grain", F.date_trunc(grain, F.col("_cell")))
+        counts = with_running(grained.groupBy(table, "_start", "_grain").agg(F.sum("_n").alias("_n")), "_grain")
         crossing = counts.filter((F.col("_before") < cap) & (F.col("_before") + F.col("_n") >= cap)).select(table, "_grain", "_before")
-        rows = grained.join(crossing, [table, "_grain"]).select(table, ts_col, F.col("_before").alias("_start"))
+        cells = grained.join(crossing, [table, "_grain"]).select(table, "_cell", "_n", F.col("_before").alias("_start"))
+    rows = pending.select(table, ts_col, finest.alias("_cell")).join(cells.select(table, "_cell", "_start"), [table, "_cell"])
     times = with_running(rows.groupBy(table, "_start", ts_col).agg(F.count(F.lit(1)).alias("_n")), ts_col)
     cuts = times.filter(F.col("_before") < cap).groupBy(table).agg(F.max(ts_col).alias("cut_ts"))
     return last.join(cuts, table, "left").select(table, F.coalesce("cut_ts", "last_ts").alias("cut_ts"))
@@ -196,7 +211,11 @@ def pending_events(events: DataFrame, state: DataFrame, *, ts_col: str = "ts", t
 
 def watermark_replicate(events: DataFrame, state: DataFrame, *, ts_col: str = "ts", table: str = "table_key",
                         cap: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """The next batch of every table, and the state after it. Rows beyond ``cap`` wait for the next batch."""
+    """The next batch of every table, and the state after it. Rows beyond ``cap`` wait for the next batch.
+
+    Write or checkpoint the state before it is used for the next batch, so that its plan does not
+    grow with the number of batches.
+    """
     batch = pending_events(events, state, ts_col=ts_col, table=table)
     if cap is not None:
         cuts = cut_points(batch, table=table, ts_col=ts_col, cap=cap)

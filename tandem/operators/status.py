@@ -168,44 +168,36 @@ def readiness_checks(pairs: DataFrame, *, rpo: DataFrame | None = None, coverage
     ``pairs`` has pair_id, primary_region, secondary_region, secondary_capacity_state. A source
     that is not given, or has no row for a pair, leaves its check ``unknown``.
     """
-    ids = pairs.select("pair_id").distinct()
-
-    def check(check_id: str, source: DataFrame | None, level) -> DataFrame:
-        if source is None:
-            return ids.select("pair_id", F.lit(check_id).alias("check_id"), F.lit("unknown").alias("level"))
-        rows = ids.join(source.withColumn("_seen", F.lit(True)), "pair_id", "left")
-        known = F.when(F.col("_seen").isNull(), "unknown").otherwise(level)
-        return rows.select("pair_id", F.lit(check_id).alias("check_id"), known.alias("level"))
-
+    rows = pairs
     pr, sr = F.coalesce("primary_region", F.lit("")), F.coalesce("secondary_region", F.lit(""))
     cap = F.lower(F.coalesce("secondary_capacity_state", F.lit("")))
-    hours = F.col("measured_rpo_hours")
-    tables = [
-        check("region", pairs, F.when((pr == "") | (sr == ""), "unknown").when(pr == sr, "bad").otherwise("ok")),
-        check("capacity", pairs, F.when(cap == "", "unknown").when(cap == "active", "ok").otherwise("warn")),
-        check("rpo", rpo, F.when(hours.isNull(), "unknown").when(F.col("diverged") > 0, "bad").when(hours <= 1, "ok")
-              .when(hours <= 24, "warn").otherwise("bad")),
-        check("items", None if coverage_rows is None else coverage_rows.filter("supported").groupBy("pair_id").agg(
-            F.sum(F.col("primary_count") - F.col("mirrored_count")).alias("gap")),
-            F.when(F.col("gap") > 0, "warn").otherwise("ok")),
-        check("models", None if models is None else models.groupBy("pair_id").agg(F.count_if(~F.col("ready")).alias("not_ready")),
-              F.when(F.col("not_ready") > 0, "bad").otherwise("ok")),
-        check("schedules", None if schedules is None else schedules.groupBy("pair_id").agg(
-            F.count_if((F.col("action") != "present") | F.col("enabled_on_secondary")).alias("todo")),
-            F.when(F.col("todo") > 0, "warn").otherwise("ok")),
-        check("perms", None if shares is None else shares.groupBy("pair_id").agg(
-            F.count_if(F.col("action") != "already_present").alias("open")),
-            F.when(F.col("open") > 0, "warn").otherwise("ok")),
-        check("refs", None if lineage is None else lineage.groupBy("pair_id").agg(
-            F.count_if(F.col("status") == "stale").alias("stale")), F.when(F.col("stale") > 0, "bad").otherwise("ok")),
-        check("gateways", None if gateways is None else gateways.groupBy("pair_id").agg(
-            F.count_if(F.col("level") == "bad").alias("n_bad"), F.count_if(F.col("level") != "ok").alias("n_open")),
-            F.when(F.col("n_bad") > 0, "bad").when(F.col("n_open") > 0, "warn").otherwise("ok")),
-    ]
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return out
+    levels = {"region": F.when((pr == "") | (sr == ""), "unknown").when(pr == sr, "bad").otherwise("ok"),
+              "capacity": F.when(cap == "", "unknown").when(cap == "active", "ok").otherwise("warn")}
+
+    def add(check_id: str, source: DataFrame | None, aggregates: dict, level) -> None:
+        """Join one row of figures per pair; a pair without one is not known."""
+        nonlocal rows
+        if source is None:
+            levels[check_id] = F.lit("unknown")
+            return
+        figures = source.groupBy("pair_id").agg(*[c.alias(f"_{n}") for n, c in aggregates.items()], F.lit(True).alias(f"_seen_{check_id}"))
+        rows = rows.join(figures, "pair_id", "left")
+        levels[check_id] = F.when(F.col(f"_seen_{check_id}").isNull(), "unknown").otherwise(level)
+
+    hours = F.col("_hours")
+    add("rpo", rpo, {"hours": F.max("measured_rpo_hours"), "diverged": F.max("diverged")},
+        F.when(hours.isNull(), "unknown").when(F.col("_diverged") > 0, "bad").when(hours <= 1, "ok").when(hours <= 24, "warn").otherwise("bad"))
+    add("items", None if coverage_rows is None else coverage_rows.filter("supported"),
+        {"gap": F.sum(F.col("primary_count") - F.col("mirrored_count"))}, F.when(F.col("_gap") > 0, "warn").otherwise("ok"))
+    add("models", models, {"not_ready": F.count_if(~F.col("ready"))}, F.when(F.col("_not_ready") > 0, "bad").otherwise("ok"))
+    add("schedules", schedules, {"todo": F.count_if((F.col("action") != "present") | F.col("enabled_on_secondary"))},
+        F.when(F.col("_todo") > 0, "warn").otherwise("ok"))
+    add("perms", shares, {"open": F.count_if(F.col("action") != "already_present")}, F.when(F.col("_open") > 0, "warn").otherwise("ok"))
+    add("refs", lineage, {"stale": F.count_if(F.col("status") == "stale")}, F.when(F.col("_stale") > 0, "bad").otherwise("ok"))
+    add("gateways", gateways, {"n_bad": F.count_if(F.col("level") == "bad"), "n_open": F.count_if(F.col("level") != "ok")},
+        F.when(F.col("_n_bad") > 0, "bad").when(F.col("_n_open") > 0, "warn").otherwise("ok"))
+    checks = F.explode(F.array(*[F.struct(F.lit(n).alias("check_id"), level.alias("level")) for n, level in levels.items()]))
+    return rows.select("pair_id", checks.alias("_check")).select("pair_id", "_check.check_id", "_check.level")
 
 
 def failover_simulation(p: DataFrame, s: DataFrame) -> DataFrame:

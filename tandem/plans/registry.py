@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,15 +40,25 @@ class Facts:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A given table; its schema is read once per query."""
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            self._tables[name].createOrReplaceTempView(self._view(name))
+        return self._tables[name]
+
+    def _view(self, name: str) -> str:
+        return f"given_{name}_{zlib.crc32(self.sf_dir.encode()):08x}"
 
     def sql(self, text: str) -> DataFrame:
         views = _closure(text)
         body = " ".join([text, *(VIEWS[v] for v in views)])
         tables = sorted(set(_TABLE.findall(body)))
-        parts = [f"{t} AS (SELECT * FROM parquet.`{self.sf_dir}/{t}.parquet`)" for t in tables]
+        for t in tables:
+            self.table(t)
+        parts = [f"{t} AS (SELECT * FROM {self._view(t)})" for t in tables]
         parts += [f"{v} AS ({VIEWS[v]})" for v in views]
         return self.spark.sql(f"WITH {', '.join(parts)} {text}")
 

@@ -10,12 +10,21 @@ TABLE_OF_COMMIT = r"^(?:.*/)?Tables/(.+)/_delta_log/\d{20}\.json$"
 ACTION = "add STRUCT<path STRING>, commitInfo MAP<STRING, STRING>, _corrupt STRING"
 
 
-def read_commit_lines(spark: SparkSession, glob: str, *, modified_after: str | None = None) -> DataFrame:
-    """Lines of the commit files under ``glob`` with the file's path and modification time."""
-    reader = spark.read.option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true")
+# Log folders of tables right below Tables/ or in a schema folder. File listings pass over names
+# that start with an underscore, so the folders are named.
+LOG_FOLDERS = "Tables/{[^_]*,[^_]*/[^_]*}/_delta_log"
+
+
+def read_commit_lines(spark: SparkSession, root: str, *, modified_after: str | None = None) -> DataFrame:
+    """Lines of the commit files of all tables under ``root`` with the file's path and modification time.
+
+    Only the folders are matched on the driver; their files are listed by a job. A glob in
+    ``root`` covers many stores at once.
+    """
+    reader = spark.read.option("pathGlobFilter", "*.json")
     if modified_after:
         reader = reader.option("modifiedAfter", modified_after)
-    return reader.text(glob).select(
+    return reader.text(f"{root.rstrip('/')}/{LOG_FOLDERS}").select(
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_modification_time").alias("commit_ts"), F.col("value").alias("line"))
 
@@ -44,5 +53,5 @@ def commit_history(actions: DataFrame, *, partition: tuple[str, ...] = ("pair_id
         F.max("commit_ts").alias("commit_ts"), F.bool_or("has_ict").alias("has_ict"))
 
 
-def read_commit_log(spark: SparkSession, glob: str, *, modified_after: str | None = None) -> DataFrame:
-    return parse_commits(read_commit_lines(spark, glob, modified_after=modified_after))
+def read_commit_log(spark: SparkSession, root: str, *, modified_after: str | None = None) -> DataFrame:
+    return parse_commits(read_commit_lines(spark, root, modified_after=modified_after))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.functions.grouping import salted_lookup
+from tandem.sources.commit_log import LOG_FOLDERS
 
 # A table is a folder with a commit log, directly below Tables/ or one schema folder deeper.
 # Names that start with an underscore are skipped.
@@ -13,8 +15,15 @@ TABLE_PATH = r"^Tables/([^/_][^/]*(?:/[^/_][^/]*)?)/_delta_log/"
 
 
 def read_listing(spark: SparkSession, root: str) -> DataFrame:
-    """Path, modification time and size of every file below ``root``, without its content."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    """Path, modification time and size of every file below ``root`` and in the tables' commit logs, without content."""
+    base = root.rstrip("/")
+    reader = lambda: spark.read.format("binaryFile")
+    files = reader().option("recursiveFileLookup", "true").load(base)
+    try:
+        files = files.unionByName(reader().load(f"{base}/{LOG_FOLDERS}"))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":  # no table has a log
+            raise
     return files.select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("bytes"))
 
 
