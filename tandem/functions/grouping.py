@@ -62,7 +62,7 @@ def spread(column: Column | str, *, digits: int = 2) -> Column:
     return F.substring(F.md5(text), 1, digits)
 
 
-def salted_lookup(facts: DataFrame, lookup: DataFrame, *, on: Sequence[str], spread_by: Sequence[str], salts: int = 8,
+def salted_lookup(facts: DataFrame, lookup: DataFrame, *, on: Sequence[str], spread_by: Sequence[str], salts: int = 16,
                   how: str = "inner") -> DataFrame:
     """Join many facts to a table that is unique on ``on``, when a few keys dominate the facts.
 

@@ -67,9 +67,9 @@ def remap_documents(parts: DataFrame, mapping: DataFrame, *, pattern: str = tx.R
     key = ["item_id", "path"]
     kept = strip_identity(parts)
     one_each = mapping.groupBy(F.lower("primary_ref").alias("ref")).agg(F.min("secondary_ref").alias("new_ref"))
-    hits = salted_lookup(part_references(kept, pattern=pattern).distinct(), one_each, on=["ref"], spread_by=key)
-    lookups = hits.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("ref", "new_ref"))).alias("_lookup"),
-                                     F.count(F.lit(1)).alias("refs_mapped"))
+    hits = salted_lookup(part_references(kept, pattern=pattern), one_each, on=["ref"], spread_by=key)
+    lookups = (hits.groupBy(*key).agg(F.map_from_entries(F.collect_set(F.struct("ref", "new_ref"))).alias("_lookup"))
+               .withColumn("refs_mapped", F.size("_lookup")))
     joined = kept.join(lookups, key, "left")
     rebuilt = F.when(F.col("_lookup").isNull(), F.col("payload")).otherwise(tx.substitute("payload", F.col("_lookup"), pattern))
     return joined.withColumn("payload", rebuilt).withColumn("refs_mapped", F.coalesce("refs_mapped", F.lit(0))).drop("_lookup")

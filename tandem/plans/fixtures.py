@@ -215,9 +215,11 @@ UNION ALL
 SELECT database_name, state, permission, class, schema_name, object_name, column_name, principal || 'x' AS principal
 FROM f8_p WHERE principal LIKE '%11'"""
 VIEWS["f8_objects_s"] = """
-SELECT DISTINCT database_name, schema_name, object_name FROM f8_s WHERE class = 'OBJECT_OR_COLUMN' AND schema_name <> 'sch4'"""
+SELECT DISTINCT 'db' || cast(l_suppkey AS string) AS database_name, 'sch' || cast(l_partkey % 5 AS string) AS schema_name,
+  'obj]' || cast(l_partkey AS string) AS object_name FROM lineitem WHERE l_partkey % 5 <> 4 AND l_partkey % 9 <> 2"""
 VIEWS["f8_schemas_s"] = """
-SELECT DISTINCT database_name, schema_name FROM f8_s WHERE class <> 'DATABASE' AND schema_name <> 'sch4'"""
+SELECT DISTINCT 'db' || cast(l_suppkey AS string) AS database_name, 'sch' || cast(l_partkey % 5 AS string) AS schema_name
+FROM lineitem WHERE l_partkey % 5 <> 4"""
 VIEWS["f8_members_p"] = """
 SELECT DISTINCT 'db' || cast(l_suppkey AS string) AS database_name, 'role' || cast(l_linenumber AS string) AS role_name,
   'user' || cast(cast(floor(l_orderkey / 40) AS bigint) AS string) AS member_name FROM lineitem WHERE l_returnflag = 'A'"""
