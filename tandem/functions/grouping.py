@@ -62,14 +62,26 @@ def spread(column: Column | str, *, digits: int = 2) -> Column:
     return F.substring(F.md5(text), 1, digits)
 
 
-def salted_lookup(facts: DataFrame, lookup: DataFrame, *, on: Sequence[str], spread_by: Sequence[str], salts: int = 16,
-                  how: str = "inner") -> DataFrame:
-    """Join many facts to a table that is unique on ``on``, when a few keys dominate the facts.
+BROADCAST_ROWS = 1_000_000
 
-    The unique side is repeated ``salts`` times and each fact goes to one of the copies, so the
-    rows of a hot key are shared out even where an aggregate on the same key follows and the
-    runtime would not split the join.
+
+def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Does a table have at most ``max_rows`` rows? Counts no further than that."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def lookup_join(facts: DataFrame, lookup: DataFrame, *, on: Sequence[str], spread_by: Sequence[str], how: str = "inner",
+                max_rows: int = BROADCAST_ROWS, salts: int = 16) -> DataFrame:
+    """Join many facts to a table that is unique on ``on``, when a few keys may dominate the facts.
+
+    The lookup's size is checked. Up to ``max_rows`` it is broadcast, and the facts are not moved
+    at all; left to itself the runtime would learn the size only after it had begun to shuffle
+    the facts. A larger one is repeated ``salts`` times and each fact goes to one of the copies,
+    so the rows of a hot key are shared out, also where an aggregate on the same key follows and
+    the runtime would not split the join.
     """
+    if fits(lookup, max_rows):
+        return facts.join(F.broadcast(lookup), list(on), how)
     copies = lookup.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandem.functions import text as tx
-from tandem.functions.grouping import bag_digest, row_digest, salted_lookup
+from tandem.functions.grouping import bag_digest, row_digest, lookup_join
 from tandem.operators.reconcile import EXTRA, MISSING, reconcile
 
 # Item types whose definitions can be exported and compared, storage modes that hold data, tiers.
@@ -67,7 +67,7 @@ def remap_documents(parts: DataFrame, mapping: DataFrame, *, pattern: str = tx.R
     key = ["item_id", "path"]
     kept = strip_identity(parts)
     one_each = mapping.groupBy(F.lower("primary_ref").alias("ref")).agg(F.min("secondary_ref").alias("new_ref"))
-    hits = salted_lookup(part_references(kept, pattern=pattern), one_each, on=["ref"], spread_by=key)
+    hits = lookup_join(part_references(kept, pattern=pattern), one_each, on=["ref"], spread_by=key)
     lookups = (hits.groupBy(*key).agg(F.map_from_entries(F.collect_set(F.struct("ref", "new_ref"))).alias("_lookup"))
                .withColumn("refs_mapped", F.size("_lookup")))
     joined = kept.join(lookups, key, "left")
@@ -78,7 +78,7 @@ def remap_documents(parts: DataFrame, mapping: DataFrame, *, pattern: str = tx.R
 def stale_refs(parts: DataFrame, primary_refs: DataFrame, *, pattern: str = tx.REFERENCE_PATTERN) -> DataFrame:
     """References in secondary documents that still name something on the primary."""
     known = primary_refs.select(F.lower("primary_ref").alias("ref")).distinct()
-    return salted_lookup(part_references(parts, pattern=pattern), known, on=["ref"], spread_by=["item_id", "path"]).distinct()
+    return lookup_join(part_references(parts, pattern=pattern), known, on=["ref"], spread_by=["item_id", "path"]).distinct()
 
 
 def lineage_edges(parts: DataFrame, items: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def lineage_edges(parts: DataFrame, items: DataFrame, mapping: DataFrame) -> Dat
                .filter(~((F.col("side") == "secondary") & (F.col("target_type") == "WorkspaceId"))).join(expected, "ref", "left"))
     refs = part_references(parts).filter(F.col("ref") != F.lower("item_id"))
     edges = refs.groupBy("item_id", "ref").agg(F.min("path").alias("part_path"))
-    found = salted_lookup(edges, catalog, on=["ref"], spread_by=["item_id"])
+    found = lookup_join(edges, catalog, on=["ref"], spread_by=["item_id"])
     healthy = F.col("side") == "secondary"
     return found.select(F.col("item_id").alias("source_id"), F.col("ref").alias("target_id"), "target_type",
                         F.when(healthy, "healthy").otherwise("stale").alias("status"),

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tandem.functions.grouping import bag_digest, row_digest, salted_lookup
+from tandem.functions.grouping import bag_digest, fits, lookup_join, row_digest
 from tandem.operators.reconcile import null_safe_join
+from tandem.session import materialize
 
 # Change feed columns and types, and names that mark keys and event times.
 CHANGE_COLUMNS = ("_change_type", "_commit_version", "_commit_timestamp")
@@ -44,10 +45,18 @@ def cdf_latest(changes: DataFrame, *, keys: Sequence[str]) -> DataFrame:
     return last.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in values])
 
 
+def _small(keys: DataFrame) -> DataFrame:
+    """Keys marked for broadcast if their number allows it. They must be cheap to count."""
+    return F.broadcast(keys) if fits(keys) else keys
+
+
 def cdf_merge(target: DataFrame, changes: DataFrame, *, keys: Sequence[str]) -> DataFrame:
-    """The target after the changes: latest change per key wins, a delete followed by an insert survives."""
-    latest = cdf_latest(changes, keys=keys)
-    untouched = null_safe_join(target, latest.select(*keys), list(keys), "left_anti")
+    """The target after the changes: latest change per key wins, a delete followed by an insert survives.
+
+    The changes are reduced once and kept; when their keys are few the target is not shuffled.
+    """
+    latest = materialize(cdf_latest(changes, keys=keys))
+    untouched = null_safe_join(target, _small(latest.select(*keys)), list(keys), "left_anti")
     upserts = latest.filter(F.col("_change_type").isin(*UPSERTS)).drop(*CHANGE_COLUMNS)
     return untouched.unionByName(upserts, allowMissingColumns=True)
 
@@ -61,8 +70,9 @@ def _fingerprint(df: DataFrame, values: Sequence[str], side: str) -> list:
 def cdf_extract(old: DataFrame, new: DataFrame, *, keys: Sequence[str], version: int) -> DataFrame:
     """The change feed that turns ``old`` into ``new``. Keys identify rows on both sides.
 
-    Only keys and 128-bit fingerprints of the rows are shuffled to find what changed; the values
-    are then read for the changed keys alone.
+    Only keys and 128-bit fingerprints of the rows are shuffled to find what changed. The changed
+    keys are kept, and the values are read for them alone: without a shuffle of the tables when
+    the keys are few, by a join on the keys when they are not.
     """
     keys = list(keys)
     values = [c for c in new.columns if c not in keys]
@@ -72,10 +82,10 @@ def cdf_extract(old: DataFrame, new: DataFrame, *, keys: Sequence[str], version:
     pairs = both.repartition(*keys).groupBy(*keys).agg(*[F.max(f"_{side}_{x}").alias(f"_{side}_{x}") for side in ("old", "new") for x in "ab"])
     same = F.col("_old_a").eqNullSafe(F.col("_new_a")) & F.col("_old_b").eqNullSafe(F.col("_new_b"))
     kind = F.when(F.col("_old_a").isNull(), "insert").when(F.col("_new_a").isNull(), "delete").otherwise("update_postimage")
-    changed = pairs.filter(~same).select(*keys, kind.alias("_change_type"))
+    changed = materialize(pairs.filter(~same).select(*keys, kind.alias("_change_type")))
     gone = F.col("_change_type") == "delete"
-    after = null_safe_join(new.select(*keys, *values), changed.filter(~gone), keys, "inner")
-    before = null_safe_join(old.select(*keys, *values), changed.filter(gone), keys, "inner")
+    after = null_safe_join(new.select(*keys, *values), _small(changed.filter(~gone)), keys, "inner")
+    before = null_safe_join(old.select(*keys, *values), _small(changed.filter(gone)), keys, "inner")
     return after.unionByName(before).withColumn("_commit_version", F.lit(version).cast("bigint"))
 
 
@@ -97,7 +107,7 @@ def log_incremental(commits: DataFrame, state: DataFrame) -> DataFrame:
     A table without state, or with a commit that did not parse, falls back to a listing.
     """
     key = ["pair_id", "table_key"]
-    rows = salted_lookup(commits, state.select(*key, "last_version"), on=key, spread_by=["version"], how="left")
+    rows = lookup_join(commits, state.select(*key, "last_version"), on=key, spread_by=["version"], how="left")
     newer = F.col("last_version").isNotNull() & (F.col("version") > F.col("last_version"))
     failed = newer & F.col("unparsed")
     tables = rows.groupBy(*key).agg(
@@ -115,7 +125,7 @@ def log_incremental(commits: DataFrame, state: DataFrame) -> DataFrame:
 def new_files(commits: DataFrame, state: DataFrame) -> DataFrame:
     """The distinct files behind ``log_incremental``."""
     key = ["pair_id", "table_key"]
-    rows = salted_lookup(commits, state.select(*key, "last_version"), on=key, spread_by=["version"])
+    rows = lookup_join(commits, state.select(*key, "last_version"), on=key, spread_by=["version"])
     return rows.filter((F.col("version") > F.col("last_version")) & F.col("add_path").isNotNull()).select(*key, "add_path").distinct()
 
 
@@ -204,7 +214,7 @@ def cut_points(pending: DataFrame, *, table: str, ts_col: str, cap: int, grains:
 
 def pending_events(events: DataFrame, state: DataFrame, *, ts_col: str = "ts", table: str = "table_key") -> DataFrame:
     """Rows later than their table's watermark; a table without one is loaded whole (``first_run``)."""
-    rows = salted_lookup(events, state.select(table, "last_ts"), on=[table], spread_by=[ts_col], how="left")
+    rows = lookup_join(events, state.select(table, "last_ts"), on=[table], spread_by=[ts_col], how="left")
     fresh = rows.filter(F.col("last_ts").isNull() | (F.col(ts_col) > F.col("last_ts")))
     return fresh.withColumn("first_run", F.col("last_ts").isNull()).drop("last_ts")
 
@@ -218,8 +228,8 @@ def watermark_replicate(events: DataFrame, state: DataFrame, *, ts_col: str = "t
     """
     batch = pending_events(events, state, ts_col=ts_col, table=table)
     if cap is not None:
-        cuts = cut_points(batch, table=table, ts_col=ts_col, cap=cap)
-        batch = salted_lookup(batch, cuts, on=[table], spread_by=[ts_col]).filter(F.col(ts_col) <= F.col("cut_ts")).drop("cut_ts")
+        cuts = materialize(cut_points(batch, table=table, ts_col=ts_col, cap=cap))
+        batch = lookup_join(batch, cuts, on=[table], spread_by=[ts_col]).filter(F.col(ts_col) <= F.col("cut_ts")).drop("cut_ts")
     reached = batch.groupBy(table).agg(F.max(ts_col).alias("last_ts"))
     return batch, state_upsert(state.select(table, "last_ts"), reached, keys=[table])
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandem.functions import rights as rt
-from tandem.functions.grouping import bag_digest, row_digest, salted_lookup
+from tandem.functions.grouping import bag_digest, row_digest, lookup_join
 from tandem.operators.reconcile import null_safe_join
 
 GRANT, UPGRADE, MANUAL, PRESENT = "grant_dataset_user", "upgrade_dataset_user", "manual_portal_share", "already_present"
@@ -77,7 +77,7 @@ def share_plan(p_shares: DataFrame, s_shares: DataFrame, s_role_keys: DataFrame,
     Write cannot be granted by the service; shares of other items than models, and of service
     principals, are manual. An upgrade asks for the union, so nothing held is lost.
     """
-    in_role = (salted_lookup(p_shares.select("share_id", F.explode("keys").alias("principal_key")), s_role_keys.select("principal_key").distinct(),
+    in_role = (lookup_join(p_shares.select("share_id", F.explode("keys").alias("principal_key")), s_role_keys.select("principal_key").distinct(),
                              on=["principal_key"], spread_by=["share_id"])
                .select("share_id").distinct().withColumn("_in_role", F.lit(True)))
     have = principal_overlap(p_shares, s_shares, item=item)

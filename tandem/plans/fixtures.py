@@ -13,6 +13,26 @@ def _guid(expr: str) -> str:
                           ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
 
 
+def _p_id(k: str) -> str:
+    return _guid(f"'p' || cast({k} AS string)")
+
+
+def _s_id(k: str) -> str:
+    return _guid(f"'s' || cast({k} AS string)")
+
+
+def _mapped(k: str) -> str:
+    return f"{k} % 13 <> 5"
+
+
+def _moved(k: str) -> str:
+    return f"CASE WHEN {_mapped(k)} THEN {_s_id(k)} ELSE {_p_id(k)} END"
+
+
+# The two items a document cites.
+_B, _C = "cast(floor(doc_id / 2) AS bigint)", "cast(floor(doc_id / 3) AS bigint)"
+
+
 PRIMARY_WS = _guid("'primary workspace'")
 SECONDARY_WS = _guid("'secondary workspace'")
 
@@ -92,9 +112,9 @@ WHERE ts < TIMESTAMP '2024-01-15 00:00:00' AND event_type <> 'signup' GROUP BY e
 
 # definition documents. Item k cites items k/2 and k/3 (a DAG with a self-loop at 0).
 VIEWS["f6_ids"] = f"""
-SELECT doc_id AS k, {_guid("'p' || cast(doc_id AS string)")} AS p_id, {_guid("'s' || cast(doc_id AS string)")} AS s_id,
+SELECT doc_id AS k, {_p_id('doc_id')} AS p_id, {_s_id('doc_id')} AS s_id,
   CASE doc_id % 4 WHEN 0 THEN 'Lakehouse' WHEN 1 THEN 'Notebook' WHEN 2 THEN 'SemanticModel' ELSE 'Report' END AS item_type,
-  'item-' || cast(doc_id AS string) AS display_name, doc_id % 13 <> 5 AS mapped FROM documents"""
+  'item-' || cast(doc_id AS string) AS display_name, {_mapped('doc_id')} AS mapped FROM documents"""
 VIEWS["f6_map"] = f"""
 SELECT p_id AS primary_ref, s_id AS secondary_ref FROM f6_ids WHERE mapped
 UNION ALL SELECT {PRIMARY_WS} AS primary_ref, {SECONDARY_WS} AS secondary_ref FROM region WHERE r_regionkey = 0"""
@@ -105,37 +125,23 @@ UNION ALL SELECT {PRIMARY_WS} AS item_id, 'primary' AS side, 'WorkspaceId' AS it
   FROM region WHERE r_regionkey = 0
 UNION ALL SELECT {SECONDARY_WS} AS item_id, 'secondary' AS side, 'WorkspaceId' AS item_type, 'secondary workspace' AS display_name
   FROM region WHERE r_regionkey = 0"""
+_PATH = "CASE WHEN doc_id % 10 = 9 THEN '.platform' ELSE 'part' || cast(doc_id % 3 AS string) END"
+_ON_PRIMARY = f"text || ' ref=' || {_p_id(_B)} || ' ref=' || {_p_id(_C)} || CASE WHEN doc_id % 3 = 0 THEN ' ws=' || {PRIMARY_WS} ELSE '' END"
+_ON_SECONDARY = f"text || ' ref=' || {_moved(_B)} || ' ref=' || {_moved(_C)} || CASE WHEN doc_id % 3 = 0 THEN ' ws=' || {SECONDARY_WS} ELSE '' END"
 VIEWS["f6_parts_p"] = f"""
-SELECT d.doc_id AS k, a.p_id AS item_id,
-  CASE WHEN d.doc_id % 10 = 9 THEN '.platform' ELSE 'part' || cast(d.doc_id % 3 AS string) END AS path,
-  d.text || ' ref=' || b.p_id || ' ref=' || c.p_id || CASE WHEN d.doc_id % 3 = 0 THEN ' ws=' || {PRIMARY_WS} ELSE '' END AS payload
-FROM documents d JOIN f6_ids a ON a.k = d.doc_id
-JOIN f6_ids b ON b.k = cast(floor(d.doc_id / 2) AS bigint) JOIN f6_ids c ON c.k = cast(floor(d.doc_id / 3) AS bigint)
+SELECT doc_id AS k, {_p_id('doc_id')} AS item_id, {_PATH} AS path, {_ON_PRIMARY} AS payload FROM documents
 UNION ALL
-SELECT d.doc_id AS k, a.p_id AS item_id, 'meta.json' AS path,
-  '{{"source":"' || d.source || '","lang":"' || d.lang || '"}}' AS payload
-FROM documents d JOIN f6_ids a ON a.k = d.doc_id"""
+SELECT doc_id AS k, {_p_id('doc_id')} AS item_id, 'meta.json' AS path,
+  '{{"source":"' || source || '","lang":"' || lang || '"}}' AS payload FROM documents"""
 VIEWS["f6_parts_s"] = f"""
-SELECT d.doc_id AS k, a.s_id AS item_id,
-  CASE WHEN d.doc_id % 10 = 9 THEN '.platform' ELSE 'part' || cast(d.doc_id % 3 AS string) END AS path,
-  CASE WHEN d.doc_id % 7 = 3
-    THEN d.text || ' ref=' || b.p_id || ' ref=' || c.p_id || CASE WHEN d.doc_id % 3 = 0 THEN ' ws=' || {PRIMARY_WS} ELSE '' END
-    ELSE d.text || ' ref=' || CASE WHEN b.mapped THEN b.s_id ELSE b.p_id END
-      || ' ref=' || CASE WHEN c.mapped THEN c.s_id ELSE c.p_id END
-      || CASE WHEN d.doc_id % 3 = 0 THEN ' ws=' || {SECONDARY_WS} ELSE '' END END AS payload
-FROM documents d JOIN f6_ids a ON a.k = d.doc_id
-JOIN f6_ids b ON b.k = cast(floor(d.doc_id / 2) AS bigint) JOIN f6_ids c ON c.k = cast(floor(d.doc_id / 3) AS bigint)
-WHERE d.doc_id % 17 <> 11
+SELECT doc_id AS k, {_s_id('doc_id')} AS item_id, {_PATH} AS path,
+  CASE WHEN doc_id % 7 = 3 THEN {_ON_PRIMARY} ELSE {_ON_SECONDARY} END AS payload FROM documents WHERE doc_id % 17 <> 11
 UNION ALL
-SELECT d.doc_id AS k, a.s_id AS item_id, 'meta.json' AS path,
-  '{{"source":"' || d.source || '","lang":"' || CASE WHEN d.doc_id % 11 = 2 THEN 'xx' ELSE d.lang END || '"}}' AS payload
-FROM documents d JOIN f6_ids a ON a.k = d.doc_id WHERE d.doc_id % 17 <> 11"""
+SELECT doc_id AS k, {_s_id('doc_id')} AS item_id, 'meta.json' AS path,
+  '{{"source":"' || source || '","lang":"' || CASE WHEN doc_id % 11 = 2 THEN 'xx' ELSE lang END || '"}}' AS payload
+FROM documents WHERE doc_id % 17 <> 11"""
 VIEWS["f6_parts_r"] = f"""
-SELECT d.doc_id AS k, 'part' || cast(d.doc_id % 3 AS string) AS path,
-  d.text || ' ref=' || CASE WHEN b.mapped THEN b.s_id ELSE b.p_id END || ' ref=' || CASE WHEN c.mapped THEN c.s_id ELSE c.p_id END
-    || CASE WHEN d.doc_id % 3 = 0 THEN ' ws=' || {SECONDARY_WS} ELSE '' END AS payload
-FROM documents d JOIN f6_ids b ON b.k = cast(floor(d.doc_id / 2) AS bigint) JOIN f6_ids c ON c.k = cast(floor(d.doc_id / 3) AS bigint)
-WHERE d.doc_id % 10 <> 9
+SELECT doc_id AS k, {_PATH} AS path, {_ON_SECONDARY} AS payload FROM documents WHERE doc_id % 10 <> 9
 UNION ALL
 SELECT doc_id AS k, 'meta.json' AS path, '{{"source":"' || source || '","lang":"' || lang || '"}}' AS payload FROM documents"""
 VIEWS["f6_edges"] = """

@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandem.functions.grouping import salted_lookup
+from tandem.functions.grouping import lookup_join
 from tandem.sources.commit_log import LOG_FOLDERS
 
 # A table is a folder with a commit log, directly below Tables/ or one schema folder deeper.
@@ -46,6 +46,6 @@ def mtime_plan(listing: DataFrame, state: DataFrame, *, by: tuple[str, ...] = ("
 
     ``state`` must hold the watermark of the previous run, not the one this run will write.
     """
-    rows = salted_lookup(listing, state.select(*by, "last_sync"), on=list(by), spread_by=["path"], how="left")
+    rows = lookup_join(listing, state.select(*by, "last_sync"), on=list(by), spread_by=["path"], how="left")
     newer = F.col("last_sync").isNull() | (F.col("mtime") > F.col("last_sync"))
     return rows.withColumn("action", F.when(newer, "copy").otherwise("skip"))
