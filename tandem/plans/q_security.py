@@ -191,7 +191,7 @@ def policy_parse(f):
 
 @query("policy_view", "SELECT incident_type FROM f10_claims")
 def policy_view(f):
-    return sec.policy_view(f["f10_claims"], _policies(f), role="role1", table_path="/Tables/sch/t4")
+    return sec.policy_view(f["f10_claims"], _policies(f), role="role1", table_path="/Tables/sch/t1")
 
 
 @query("grant_snapshot", """
