@@ -194,14 +194,24 @@ def policy_view(f):
     return sec.policy_view(f["f10_claims"], _policies(f), role="role1", table_path="/Tables/sch/t1")
 
 
-@query("grant_snapshot", """
-SELECT DISTINCT pe.database_no, state_desc AS state, permission_name AS permission, class_desc AS class, coalesce(sch.schema_name, '') AS schema_name,
-  coalesce(o.object_name, '') AS object_name, coalesce(c.column_name, '') AS column_name, principal_name AS principal
-FROM f8_cat_permissions pe JOIN f8_cat_principals pr ON pr.database_no = pe.database_no AND pr.principal_id = pe.grantee_id
-LEFT JOIN f8_cat_objects o ON pe.class = 1 AND o.database_no = pe.database_no AND o.object_id = pe.major_id
-LEFT JOIN f8_cat_schemas sch ON sch.database_no = pe.database_no AND sch.schema_id = CASE WHEN pe.class = 1 THEN o.schema_id WHEN pe.class = 3 THEN pe.major_id END
-LEFT JOIN f8_cat_columns c ON pe.class = 1 AND pe.minor_id > 0 AND c.database_no = pe.database_no AND c.object_id = pe.major_id AND c.column_id = pe.minor_id
-WHERE lower(principal_name) NOT IN ('dbo', 'public', 'guest', 'sys', 'information_schema') AND principal_name NOT LIKE '##%' AND NOT (class_desc = 'DATABASE' AND permission_name = 'CONNECT')""")
+_NAMED = """
+  (SELECT database_no, state_desc, permission_name, class_desc, grantee_id, '' AS schema_name, '' AS object_name, '' AS column_name
+     FROM f8_cat_permissions WHERE class = 0 AND permission_name <> 'CONNECT'
+   UNION ALL
+   SELECT a.database_no, state_desc, permission_name, class_desc, grantee_id, coalesce(schema_name, ''), '', ''
+     FROM f8_cat_permissions a LEFT JOIN f8_cat_schemas b ON b.database_no = a.database_no AND b.schema_id = a.major_id WHERE class = 3
+   UNION ALL
+   SELECT a.database_no, state_desc, permission_name, class_desc, grantee_id, coalesce(c.schema_name, ''), coalesce(b.object_name, ''), coalesce(d.column_name, '')
+     FROM (SELECT *, CASE WHEN minor_id > 0 THEN minor_id END AS column_no FROM f8_cat_permissions WHERE class = 1) a
+     LEFT JOIN f8_cat_objects b ON b.database_no = a.database_no AND b.object_id = a.major_id
+     LEFT JOIN f8_cat_schemas c ON c.database_no = b.database_no AND c.schema_id = b.schema_id
+     LEFT JOIN f8_cat_columns d ON d.database_no = a.database_no AND d.object_id = a.major_id AND d.column_id = a.column_no)"""
+
+
+@query("grant_snapshot", f"""
+SELECT DISTINCT n.database_no, state_desc AS state, permission_name AS permission, class_desc AS class, schema_name, object_name, column_name, principal_name AS principal
+FROM {_NAMED} n JOIN f8_cat_principals u ON u.database_no = n.database_no AND u.principal_id = n.grantee_id
+WHERE NOT regexp_matches(lower(principal_name), '^(dbo|public|guest|sys|information_schema)$|^##')""")
 def grant_snapshot(f):
     return gr.grant_snapshot(f["f8_cat_permissions"], f["f8_cat_principals"], f["f8_cat_objects"], f["f8_cat_schemas"], f["f8_cat_columns"])
 

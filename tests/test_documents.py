@@ -101,10 +101,10 @@ def test_connection_map_matches_type_and_name(spark):
     schema = "item_type STRING, display_name STRING, item_id STRING"
     p = spark.createDataFrame([("Lakehouse", "x", A), ("SQLEndpoint", "x", B), ("Report", "same", C)], schema)
     s = spark.createDataFrame([("SQLEndpoint", "x", SB), ("Lakehouse", "x", SA), ("Report", "same", C)], schema)
-    hosts = spark.createDataFrame([("Lakehouse", "x", "tcp:P1.datawarehouse.fabric.microsoft.com,1433", "s1.msit-database.fabric.microsoft.com"), ("Lakehouse", "y", "none", "")],
+    hosts = spark.createDataFrame([("Lakehouse", "x", "tcp:P1.datawarehouse.fabric.microsoft.com,1433", "s1.dr-database.fabric.microsoft.com"), ("Lakehouse", "y", "none", "")],
                                   "item_type STRING, display_name STRING, p_conn STRING, s_conn STRING")
     got = {(r["primary_ref"], r["secondary_ref"]) for r in doc.connection_map(p, s, hosts).collect()}
-    assert got == {(A, SA), (B, SB), ("p1.datawarehouse.fabric.microsoft.com", "s1.msit-database.fabric.microsoft.com")}
+    assert got == {(A, SA), (B, SB), ("p1.datawarehouse.fabric.microsoft.com", "s1.dr-database.fabric.microsoft.com")}
 
 
 def test_reach_with_cycles_and_a_hub(spark):
