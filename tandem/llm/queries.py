@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tandem.llm import quality
+from tandem.llm import decontaminate, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_rules": quality.op7_quality_rules,
+    "op8_simhash": simhash.op8_simhash,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
 }
 ORACLES: dict[str, str] = {}
