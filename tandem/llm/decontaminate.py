@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.llm.common import keep, table
-from tandem.llm.words import WordIds, grams, plain_words
+from tandem.llm.words import WordIds, grams, of_process, plain_words
 
 GRAM = 4
 #: Share of a perfect copy's alignment score from which a passage counts as taken from the item.
@@ -69,7 +69,7 @@ class _Hits:
         self.known = known
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordIds()
+        memo = of_process("word-ids", WordIds)
         sieve = np.zeros(1 << 20, bool)
         sieve[self.known >> np.uint64(44)] = True
         for batch in batches:

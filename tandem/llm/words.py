@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import types
+from collections.abc import Callable
+
 import numpy as np
 import xxhash
 
@@ -13,6 +17,14 @@ PLAIN = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in LOWER)
 BASE = 0x9E3779B97F4A7C15
 
 
+def of_process(name: str, make: Callable[[], object]) -> object:
+    """An object that a worker process makes once and keeps from task to task; only for what depends on ``name`` alone."""
+    kept = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker")).__dict__
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
+
+
 class WordIds(dict):
     """64-bit id of a word, remembered; the memory is emptied at ``limit`` words, which changes no id."""
 
