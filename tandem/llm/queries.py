@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tandem.llm import bitplanes, chat, decontaminate, licenses, pii, quality, simhash
+from tandem.llm import bitplanes, chat, decontaminate, html_text, licenses, pii, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bitplanes": bitplanes.op1_bitplanes,
     "op2_chat_tree": chat.op2_chat_tree,
     "op3_license_scan": licenses.op3_license_scan,
     "op5_pii": pii.op5_pii,
+    "op6_html_text": html_text.op6_html_text,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_simhash": simhash.op8_simhash,
     "op9_decontaminate": decontaminate.op9_decontaminate,
