@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tandem.llm import bitplanes, chat, decontaminate, html_text, licenses, pii, quality, simhash
+from tandem.llm import bitplanes, chat, decontaminate, html_text, licenses, pii, quality, sentencepiece_topk, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bitplanes": bitplanes.op1_bitplanes,
@@ -17,5 +17,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_simhash": simhash.op8_simhash,
     "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op10_sentencepiece": sentencepiece_topk.op10_sentencepiece,
 }
 ORACLES: dict[str, str] = {}
