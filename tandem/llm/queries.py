@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tandem.llm import bitplanes, chat, decontaminate, html_text, licenses, pii, quality, sentencepiece_topk, simhash
+from tandem.llm import bitplanes, chat, decontaminate, html_text, licenses, passages, pii, quality, sentencepiece_topk, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bitplanes": bitplanes.op1_bitplanes,
     "op2_chat_tree": chat.op2_chat_tree,
     "op3_license_scan": licenses.op3_license_scan,
+    "op4_passages": passages.op4_passages,
     "op5_pii": pii.op5_pii,
     "op6_html_text": html_text.op6_html_text,
     "op7_quality_rules": quality.op7_quality_rules,
