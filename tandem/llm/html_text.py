@@ -7,7 +7,7 @@ content with at least even odds is the main text.
 
 The model is trained on labelled pages: pages that mark their article (``article`` or ``main``) label their own nodes, content
 inside the mark except below parts that are never content. At most ``train_pages`` pages are used, those with the smallest
-hash of their html, so the choice does not depend on the partitioning. Without any such page, a prior model with the same
+row hash, so the choice does not depend on the partitioning. Without any such page, a prior model with the same
 features for names that are never content is used.
 
 Defined cases: null, empty and text-only html give the text outside of any element, which the root holds; unclosed and
@@ -255,9 +255,13 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(pages: DataFrame, *, html_col: str = "html", train_pages: int = TRAIN_PAGES) -> Model:
     """Fit on at most ``train_pages`` pages that mark their article; they are parsed in Spark and only their node features are gathered."""
-    marked = pages.select(F.col(html_col).alias("html")).filter(F.col("html").rlike("(?i)<(article|main)[\\s>]"))
-    sample = marked.orderBy(F.xxhash64("html")).limit(train_pages)
-    rows = sample.mapInArrow(_labelled, "features array<int>, label int, above int").collect()
+    marked = pages.select(F.struct("*").alias("page")).select(F.xxhash64("page").alias("draw"), F.col("page")[html_col].alias("html"))
+    marked = marked.filter(F.col("html").rlike("(?i)<(article|main)[\\s>]"))
+    # Only hashes are sorted; the pages up to the last chosen hash are then read where they lie.
+    last = marked.select("draw").orderBy("draw").limit(train_pages).agg(F.max("draw")).first()[0]
+    if last is None:
+        return Model.unlabelled()
+    rows = marked.filter(F.col("draw") <= last).limit(train_pages).select("html").mapInArrow(_labelled, "features array<int>, label int, above int").collect()
     labels = [r["label"] for r in rows]
     if not 0 < sum(labels) < len(labels):
         return Model.unlabelled()

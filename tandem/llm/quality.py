@@ -53,8 +53,10 @@ def measure(docs: DataFrame, *, text_col: str = "text", host_col: str = "source"
         "starts", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
         lambda acc, i: F.struct((acc["n"] + i + WINDOW - F.greatest(i, acc["end"])).alias("n"), (i + WINDOW).alias("end")),
         lambda acc: acc["n"])
+    # A projection with a row number lets no later filter below it, where every use of a column in the filter would be computed
+    # from the text again. ``quality_filter`` asks for the number to keep it from being pruned.
     rows = rows.select(
-        "doc", "host", _long(size).alias("n_words"), _long(F.length(F.array_join("words", ""))).alias("word_chars"),
+        F.monotonically_increasing_id().alias("row"), "doc", "host", _long(size).alias("n_words"), _long(F.length(F.array_join("words", ""))).alias("word_chars"),
         _long(F.regexp_count("body", F.lit(SYMBOLS))).alias("n_symbols"), _long(F.size("lines")).alias("n_lines"),
         _long(F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
         _long(F.when(F.col("starts").isNull(), 0).otherwise(covered)).alias("n_repeat_words"))
@@ -103,7 +105,7 @@ def quality_filter(docs: DataFrame, *, text_col: str = "text", host_col: str = "
     """
     measured = measure(docs, text_col=text_col, host_col=host_col)
     verdicts = keep(host_verdicts(measured, host_limit=host_limit), "hosts")
-    return judge(measured, verdicts).filter("kept").select("doc.*")
+    return judge(measured, verdicts).filter("kept AND row >= 0").select("doc.*")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

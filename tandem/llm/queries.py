@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from tandem.llm import bitplanes, chat, decontaminate, html_text, licenses, passages, pii, quality, sentencepiece_topk, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -19,5 +20,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": simhash.op8_simhash,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_sentencepiece": sentencepiece_topk.op10_sentencepiece,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {}
