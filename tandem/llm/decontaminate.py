@@ -180,7 +180,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     whole = docs.select(F.struct("*").alias("doc"))
     key = F.xxhash64(F.col("doc")[id_col], F.col("doc")[text_col])
     found = contaminated(whole.select(key.alias("key"), F.col("doc")[text_col].alias("text")), benchmark, id_col="key", score=score)
-    bad = keep(found.select("key").distinct(), "contaminated")
+    bad = keep(found.select(F.col("doc_id").alias("key")).distinct(), "contaminated")
     return whole.join(bad, key == F.col("key"), "left_anti").select("doc.*")
 
 
