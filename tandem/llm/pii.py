@@ -35,8 +35,10 @@ PATTERNS = {
 _PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])?"
 #: Characters to the left of a value that make its pattern.
 CONTEXT = 48
-#: A token with a digit or an at sign, from its first character.
-CANDIDATE = r"(?<!\S)\S*[0-9@]\S*"
+#: A whole token with an at sign, seven digits (whatever stands between them), or four numbers between points.
+CANDIDATE = r"(?<!\S)(?=[^\s@]*+@|(?:[^\s0-9]*+[0-9]){7}|[^\s0-9]*+[0-9]++(?:\.[0-9]++){3})\S++"
+#: Matches whose positions are summed up together.
+BLOCK = 256
 ROUNDS = 3
 SUPPORT = 3
 TRUST = 0.8
@@ -62,22 +64,36 @@ def _context(before: Column) -> Column:
     return F.btrim(F.regexp_extract(near, r"(\S+\s+)?\S+\s*$", 0))
 
 
-def _matches(kind: str, pattern: str) -> Column:
-    """Spans of a pattern in ``body``: the pieces between matches give the positions."""
+def _cut(pattern: str) -> Column:
+    """The matches of a pattern in ``body``, each with the piece of text before it."""
     pieces, values = F.split("body", pattern, -1), F.regexp_extract_all("body", F.lit(pattern), F.lit(0))
-    both = F.arrays_zip(F.slice(pieces, 1, F.size(values)).alias("piece"), values.alias("value"))
+    return F.arrays_zip(F.slice(pieces, 1, F.size(values)).alias("piece"), values.alias("value"))
+
+
+def _matches(kind: str, cuts: str) -> Column:
+    """Spans of the matches in column ``cuts``: running sums of the lengths give the positions.
+
+    An array that grows match by match is copied each time, so the sums run within blocks first and then over the blocks.
+    """
+    size = F.size(cuts)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((size - 1) / BLOCK).cast("int")), lambda i: F.slice(cuts, i * BLOCK + 1, BLOCK))
     step = lambda acc, x: F.struct(
         (acc["at"] + F.length(x["piece"]) + F.length(x["value"])).alias("at"),
         F.concat(acc["out"], F.array(F.struct(
             F.lit(kind).alias("kind"), (acc["at"] + F.length(x["piece"])).alias("start"),
             (acc["at"] + F.length(x["piece"]) + F.length(x["value"])).alias("end"),
             x["value"].alias("value"), _context(x["piece"]).alias("context")))).alias("out"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
-    return F.aggregate(both, start, step, lambda acc: acc["out"])
+    zero = F.lit(0).cast("bigint").alias("at")
+    inside = F.transform(blocks, lambda block: F.aggregate(block, F.struct(zero, F.array().cast(f"array<{_SPAN}>").alias("out")), step, lambda acc: acc))
+    moved = lambda x, by: F.struct(x["kind"].alias("kind"), (x["start"] + by).alias("start"), (x["end"] + by).alias("end"), x["value"].alias("value"), x["context"].alias("context"))
+    join = lambda acc, part: F.struct(
+        (acc["at"] + part["at"]).alias("at"), F.concat(acc["out"], F.array(F.transform(part["out"], lambda x: moved(x, acc["at"])))).alias("out"))
+    whole = F.aggregate(inside, F.struct(zero, F.array().cast(f"array<array<{_SPAN}>>").alias("out")), join, lambda acc: F.flatten(acc["out"]))
+    return F.when(size > 0, whole).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
 def _valid_matches(kind: str) -> Column:
-    return F.filter(_matches(kind, PATTERNS[kind]), lambda x: _valid(kind, x["value"]))
+    return F.filter(_matches(kind, f"cut_{kind}"), lambda x: _valid(kind, x["value"]))
 
 
 def _looks(value: Column) -> Column:
@@ -91,11 +107,13 @@ def find_base(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     """Per row of ``docs``: ``row``, ``doc_id``, ``key`` (hash of id and text), ``base`` and ``candidates`` (arrays of spans)."""
     body = text_of(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), body).alias("key"), body.alias("body"))
-    none = F.array().cast(f"array<{_SPAN}>")
     signs = {"email": F.contains("body", F.lit("@")), "ip": F.col("body").rlike(r"[0-9]\.[0-9]"), "card": F.col("body").rlike(r"[0-9][\x20-]?[0-9]"),
              "phone": F.col("body").rlike(r"\+[0-9]")}
-    found = [F.when(signs[k], _valid_matches(k)).otherwise(none) for k in KINDS]
-    rows = rows.select("*", F.concat(*found).alias("base"))
+    cut = {k: F.when(signs[k], _cut(PATTERNS[k])) for k in KINDS} | {"token": F.when(F.col("body").rlike("[0-9@]"), _cut(CANDIDATE))}
+    uncut = F.array().cast("array<struct<piece:string,value:string>>")
+    # The matches are columns of their own, used below many times and computed once.
+    rows = rows.select("*", *[F.coalesce(c, uncut).alias(f"cut_{k}") for k, c in cut.items()])
+    rows = rows.select("*", F.concat(*[_valid_matches(k) for k in KINDS]).alias("base"))
     # A token may carry quotes and its own key (name=value): the key is context, the core is the value.
     split_token = lambda x: F.struct(
         F.regexp_extract(x["value"], "^([A-Za-z_]+[=:]+)?[^A-Za-z0-9+(]*", 0).alias("head"), x.alias("span"))
@@ -104,10 +122,9 @@ def find_base(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         _looks(core(x)).alias("kind"), (x["span"]["start"] + F.length(x["head"])).alias("start"),
         (x["span"]["start"] + F.length(x["head"]) + F.length(core(x))).alias("end"), core(x).alias("value"),
         F.when(x["head"].rlike("[A-Za-z]"), F.lower(x["head"])).otherwise(x["span"]["context"]).alias("context"))
-    tokens = F.transform(F.transform(_matches("token", CANDIDATE), split_token), trimmed)
+    tokens = F.transform(F.transform(_matches("token", "cut_token"), split_token), trimmed)
     apart = lambda x: x["kind"].isNotNull() & ~F.exists("base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
-    some = F.col("body").rlike("[0-9@]")
-    rows = rows.withColumn("candidates", F.when(some, F.filter(tokens, apart)).otherwise(none))
+    rows = rows.withColumn("candidates", F.filter(tokens, apart))
     return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "key", "base", "candidates")
 
 
