@@ -83,9 +83,9 @@ def host_verdicts(measured: DataFrame, *, host_limit: float = 0.5) -> DataFrame:
     rates = sums.select("host", "n", pairs).select("host", "n", "x.rule", "x.failed")
     mean = F.sum("failed") / F.sum("n")
     prior = rates.groupBy("rule").agg(mean.alias("mean"), F.var_samp(F.col("failed") / F.col("n")).alias("spread"))
-    # The strength is that of a beta distribution with this mean and spread, between one and a thousand observations.
-    strength = F.when(F.coalesce("spread", F.lit(0.0)) > 0, F.col("mean") * (1 - F.col("mean")) / F.col("spread") - 1).otherwise(1.0)
-    prior = prior.select("rule", "mean", F.least(F.greatest(strength, F.lit(1.0)), F.lit(1000.0)).alias("strength"))
+    # The strength is that of a beta distribution with this mean and spread, between two and a thousand observations.
+    strength = F.when(F.coalesce("spread", F.lit(0.0)) > 0, F.col("mean") * (1 - F.col("mean")) / F.col("spread") - 1).otherwise(2.0)
+    prior = prior.select("rule", "mean", F.least(F.greatest(strength, F.lit(2.0)), F.lit(1000.0)).alias("strength"))
     shrunk = (F.col("failed") + F.col("mean") * F.col("strength")) / (F.col("n") + F.col("strength"))
     return (rates.join(prior, "rule").groupBy("host")
             .agg(F.array_sort(F.collect_set(F.when(shrunk > host_limit, F.col("rule")))).alias("condemned")))
