@@ -43,30 +43,34 @@ def principal_overlap(p_shares: DataFrame, s_shares: DataFrame, *, item: Sequenc
     return _per_share(each)
 
 
-def expand_groups(shares: DataFrame, members: DataFrame, *, item: Sequence[str], max_members: int = 20000) -> DataFrame:
+def _credited(members: DataFrame, max_members: int | None) -> DataFrame:
+    """Members of the groups that count: all, or those of at most ``max_members`` members where the caller sets a limit."""
+    if max_members is None:
+        return members
+    sized = members.groupBy("group_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") <= max_members).select("group_id")
+    return null_safe_join(members, sized, ["group_id"], "left_semi")
+
+
+def expand_groups(shares: DataFrame, members: DataFrame, *, item: Sequence[str], max_members: int | None = None) -> DataFrame:
     """Shares plus a virtual share for each member of a shared group, with the group's rights.
 
-    ``members`` is transitive. A group larger than ``max_members`` is not credited, as in the
-    membership service itself; its members then stay planned.
+    ``members`` is transitive. Every group counts unless ``max_members`` says otherwise.
     """
-    sized = members.groupBy("group_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") <= max_members).select("group_id")
-    credited = null_safe_join(members, sized, ["group_id"], "left_semi")
     groups = shares.filter(F.col("principal_type") == "Group").withColumnRenamed("principal", "group_id")
-    virtual = (groups.join(credited, "group_id").withColumnRenamed("member_id", "principal")
+    virtual = (groups.join(_credited(members, max_members), "group_id").withColumnRenamed("member_id", "principal")
                .withColumn("principal_type", F.lit("GroupMember")).withColumn("via_group", F.col("group_id").cast("string")).drop("group_id"))
     return shares.withColumn("via_group", F.lit(None).cast("string")).unionByName(virtual.select(*shares.columns, "via_group"))
 
 
-def group_credit(p_shares: DataFrame, s_shares: DataFrame, members: DataFrame, *, item: Sequence[str], max_members: int = 20000) -> DataFrame:
+def group_credit(p_shares: DataFrame, s_shares: DataFrame, members: DataFrame, *, item: Sequence[str], max_members: int | None = None) -> DataFrame:
     """Rights that primary shares get through groups shared on the secondary.
 
-    Walks from the planned principal to its groups and then to the shares of those groups, so a
-    large group shared on many items is never multiplied out.
+    Only groups that have a share are looked at. The walk goes from the planned principal to its groups and then to the shares of
+    those groups, so a large group shared on many items is never multiplied out.
     """
-    sized = members.groupBy("group_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") <= max_members).select("group_id")
-    credited = null_safe_join(members, sized, ["group_id"], "left_semi").distinct()
     groups = _held(s_shares.filter(F.col("principal_type") == "Group").withColumnRenamed("principal", "group_id"), [*item, "group_id"])
-    via = p_shares.select(*item, "share_id", F.col("principal").alias("member_id")).join(credited, "member_id")
+    shared = null_safe_join(_credited(members, max_members), groups.select("group_id").distinct(), ["group_id"], "left_semi").distinct()
+    via = p_shares.select(*item, "share_id", F.col("principal").alias("member_id")).join(shared, "member_id")
     return _per_share(via.join(groups, [*item, "group_id"]))
 
 
@@ -184,35 +188,60 @@ def map_member_paths(members: DataFrame, *, column: str, old: str, new: str) ->
     return members.withColumn(column, F.when(F.col(column).startswith(old), moved).otherwise(F.col(column)))
 
 
+PERMIT = "Permit"
+EVERY = "*"
+
+
 def parse_policy(roles: DataFrame) -> DataFrame:
-    """Roles with nested rules to (role, table_path, column_name) rows; the '*' path names no table.
+    """Roles with nested rules to rows of (role, table_path, column_name, kind, effect, action).
 
-    ``decision_rules`` is an array of {permission: [{attribute_name, values}], columns: [{table_path, column_names}]}.
+    ``decision_rules`` is an array of {effect, permission: [{attribute_name, values}], columns: [{table_path, column_names, effect,
+    action}]}; a missing effect is Permit. The path '*' stands for every table. ``action`` lists a column rule's actions, sorted.
     """
     rules = roles.select("role_name", F.explode("decision_rules").alias("rule"))
-    tables = (rules.select("role_name", F.explode("rule.permission").alias("perm")).filter("perm.attribute_name = 'Path'")
-              .select("role_name", F.explode("perm.values").alias("table_path")).filter("table_path <> '*'")
-              .withColumn("column_name", F.lit(None).cast("string")).withColumn("kind", F.lit("table")))
-    columns = (rules.select("role_name", F.explode("rule.columns").alias("col"))
-               .select("role_name", F.col("col.table_path").alias("table_path"), F.explode("col.column_names").alias("column_name"))
-               .withColumn("kind", F.lit("column")))
-    return tables.unionByName(columns.select(*tables.columns)).distinct()
+    fields = roles.schema["decision_rules"].dataType.elementType
+    column_fields = fields["columns"].dataType.elementType.names
+    has = lambda names, name, value: value if name in names else F.lit(None)
+    effect = lambda value: F.coalesce(F.nullif(value.cast("string"), F.lit("")), F.lit(PERMIT))
+    tables = (rules.select("role_name", effect(has(fields.names, "effect", F.col("rule")["effect"])).alias("effect"), F.explode("rule.permission").alias("perm"))
+              .filter("perm.attribute_name = 'Path'").select("role_name", "effect", F.explode("perm.values").alias("table_path"))
+              .withColumn("column_name", F.lit(None).cast("string")).withColumn("kind", F.lit("table")).withColumn("action", F.lit(None).cast("string")))
+    columns = rules.select("role_name", F.explode("rule.columns").alias("col"))
+    action = F.array_join(F.array_sort(has(column_fields, "action", F.col("col")["action"]).cast("array<string>")), ",")
+    columns = columns.select("role_name", effect(has(column_fields, "effect", F.col("col")["effect"])).alias("effect"), F.col("col.table_path").alias("table_path"),
+                             F.explode("col.column_names").alias("column_name"), F.lit("column").alias("kind"), action.alias("action"))
+    return tables.unionByName(columns).select("role_name", "table_path", "column_name", "kind", "effect", "action").distinct()
 
 
 def permitted_columns(policies: DataFrame, *, role: str, table_path: str, columns: Sequence[str]) -> list[str] | None:
     """Columns a role may read of a table; null when it may not read the table at all.
 
-    The rules of one role and one table are few; only they reach the driver.
+    A table needs a permit for its path or for '*', and a denial of either outweighs it. Where any column rule names the table,
+    only permitted columns that are not denied are shown, even if none of them exists. Whatever is neither Permit nor absent
+    denies. The rules of one role and one table that matter are few; only they reach the driver.
     """
-    mine = policies.filter((F.col("role_name") == role) & (F.col("table_path") == table_path)).select("kind", "column_name").distinct()
-    rules = mine.filter((F.col("kind") == "table") | F.col("column_name").isin(*columns)).collect()
-    if not any(r["kind"] == "table" for r in rules):
+    mine = policies.filter((F.col("role_name") == role) & F.col("table_path").isin(table_path, EVERY)).withColumn("permit", F.lower("effect") == PERMIT.lower())
+    rules = mine.groupBy("kind").agg(
+        F.bool_and("permit").alias("all"), F.bool_or("permit").alias("any"),
+        F.collect_set(F.when(F.col("permit") & F.col("column_name").isin(*columns, EVERY), F.col("column_name"))).alias("shown"),
+        F.collect_set(F.when(~F.col("permit") & F.col("column_name").isin(*columns, EVERY), F.col("column_name"))).alias("hidden")).collect()
+    kinds = {r["kind"]: r for r in rules}
+    if "table" not in kinds or not kinds["table"]["all"]:
         return None
-    named = {r["column_name"] for r in rules if r["kind"] == "column"}
-    return [c for c in columns if not named or c in named]
+    if "column" not in kinds:
+        return list(columns)
+    shown, hidden = set(kinds["column"]["shown"]), set(kinds["column"]["hidden"])
+    if not kinds["column"]["any"]:  # denials alone take away from the whole table
+        shown = {EVERY}
+    return [c for c in columns if (c in shown or EVERY in shown) and c not in hidden and EVERY not in hidden]
 
 
 def policy_view(df: DataFrame, policies: DataFrame, *, role: str, table_path: str) -> DataFrame:
-    """The table as a role sees it: no rows without a table permit, and only the permitted columns."""
+    """The table as a role sees it: no rows without a table permit, and only the permitted columns.
+
+    A role with a permit but no column left sees neither rows nor columns.
+    """
     columns = permitted_columns(policies, role=role, table_path=table_path, columns=df.columns)
-    return df.filter(F.lit(False)) if columns is None else df.select(*columns)
+    if columns is None:
+        return df.filter(F.lit(False))
+    return df.select(*columns) if columns else df.filter(F.lit(False)).select()

@@ -314,7 +314,8 @@ SELECT cast(o_custkey AS bigint) AS model_id, CASE o_orderstatus WHEN 'F' THEN '
   o_orderdate AS ended, o_orderkey AS refresh_id FROM orders"""
 VIEWS["f13_rules"] = """
 SELECT s_suppkey % 6 AS role_no, CASE WHEN s_suppkey % 10 = 9 THEN '*' ELSE '/Tables/sch/t' || cast(s_suppkey % 9 AS string) END AS table_path,
-  CASE s_suppkey % 3 WHEN 0 THEN 'claim_amount' WHEN 1 THEN 'incident_type' ELSE 'claim_date' END AS column_name, s_suppkey % 7 <> 0 AS has_column_rule FROM supplier"""
+  CASE s_suppkey % 3 WHEN 0 THEN 'claim_amount' WHEN 1 THEN 'incident_type' ELSE 'claim_date' END AS column_name, s_suppkey % 7 <> 0 AS has_column_rule,
+  CASE WHEN s_suppkey % 54 = 7 THEN 'Deny' WHEN s_suppkey % 2 = 0 THEN 'Permit' END AS effect, CASE s_suppkey % 4 WHEN 1 THEN 'Deny' WHEN 2 THEN 'Permit' ELSE '' END AS column_effect FROM supplier"""
 VIEWS["f13_roles_p"] = """
 SELECT 'lh' || cast(c_nationkey AS string) AS lakehouse, 'role' || cast(c_custkey % 5 AS string) AS role_name,
   'Permit' AS effect, 'Path' AS attribute, '/Tables/' || c_mktsegment AS attribute_value, c_name AS member,

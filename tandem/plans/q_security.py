@@ -70,7 +70,7 @@ _CLOSURE = """
 WITH RECURSIVE reach(g, m) AS (
   SELECT DISTINCT group_id, member_id FROM f7_members WHERE group_id <> member_id
   UNION SELECT r.g, x.member_id FROM reach r JOIN f7_members x ON x.group_id = r.m WHERE x.group_id <> x.member_id),
-members AS (SELECT g, m FROM reach WHERE g <> m), sized AS (SELECT g FROM members GROUP BY g HAVING count(*) <= 20000)
+members AS (SELECT g, m FROM reach WHERE g <> m)
 """
 
 
@@ -81,7 +81,7 @@ def group_members(f):
 
 @query("group_expand", _CLOSURE + """
 SELECT item_no, item_type, principal, principal_type, rights::BIGINT AS rights, NULL AS via_group FROM f7_s
-UNION ALL SELECT item_no, item_type, m, 'GroupMember', rights, cast(g AS VARCHAR) FROM f7_s JOIN members ON g = principal JOIN sized USING (g) WHERE principal_type = 'Group'""")
+UNION ALL SELECT item_no, item_type, m, 'GroupMember', rights, cast(g AS VARCHAR) FROM f7_s JOIN members ON g = principal WHERE principal_type = 'Group'""")
 def group_expand(f):
     shares = sec.expand_groups(f["f7_s"], graph.transitive_members(f["f7_members"]), item=ITEM)
     return shares.select(*ITEM, "principal", "principal_type", "rights", "via_group")
@@ -89,7 +89,7 @@ def group_expand(f):
 
 @query("share_plan_groups", _CLOSURE + f""",
 credit AS (SELECT p.item_no, p.item_type, p.principal, bit_or(s.rights) AS have, bool_or(s.additional = 'Build') AS adds FROM (SELECT DISTINCT item_no, item_type, principal FROM f7_p) p
-  JOIN members ON m = p.principal JOIN sized USING (g) JOIN f7_s s ON s.item_no = p.item_no AND s.item_type = p.item_type AND s.principal = g AND s.principal_type = 'Group' GROUP BY 1, 2, 3),
+  JOIN members ON m = p.principal JOIN f7_s s ON s.item_no = p.item_no AND s.item_type = p.item_type AND s.principal = g AND s.principal_type = 'Group' GROUP BY 1, 2, 3),
 held AS (SELECT h.* EXCLUDE (have, adds), coalesce(h.have, 0) | coalesce(c.have, 0) AS have, coalesce(h.adds, false) OR coalesce(c.adds, false) AS adds
   FROM {_HAVE} h LEFT JOIN credit c USING (item_no, item_type, principal))
 SELECT item_no, item_type, principal, rights::BIGINT AS rights, additional, CASE WHEN r.principal_key IS NOT NULL THEN 'already_present'
@@ -153,12 +153,12 @@ def _roles(f, side):
 SELECT lakehouse, role_name, p.rules, p.members, p.r = s.r AS same_rules, p.m = s.m AS same_members FROM
   (SELECT lakehouse, role_name, count(DISTINCT attribute_value) AS rules, count(DISTINCT member) AS members, string_agg(DISTINCT attribute_value, '|' ORDER BY attribute_value) AS r,
      string_agg(DISTINCT member || replace(source_path, 'pws/', 'sws/'), '|' ORDER BY member || replace(source_path, 'pws/', 'sws/')) AS m FROM f13_roles_p GROUP BY 1, 2) p
-  JOIN (SELECT lakehouse, role_name, string_agg(DISTINCT attribute_value, '|' ORDER BY attribute_value) AS r,
+  FULL JOIN (SELECT lakehouse, role_name, string_agg(DISTINCT attribute_value, '|' ORDER BY attribute_value) AS r,
      string_agg(DISTINCT member || source_path, '|' ORDER BY member || source_path) AS m FROM f13_roles_s GROUP BY 1, 2) s USING (lakehouse, role_name)""")
 def normalize_role(f):
     p = _roles(f, "p")
     s = _roles(f, "s").select("lakehouse", "role_name", F.col("rules_digest").alias("s_rules"), F.col("members_digest").alias("s_members"))
-    return p.join(s, ["lakehouse", "role_name"]).select("lakehouse", "role_name", "rules", "members", (F.col("rules_digest") == F.col("s_rules")).alias("same_rules"),
+    return p.join(s, ["lakehouse", "role_name"], "full").select("lakehouse", "role_name", "rules", "members", (F.col("rules_digest") == F.col("s_rules")).alias("same_rules"),
                                                         (F.col("members_digest") == F.col("s_members")).alias("same_members"))
 
 
@@ -176,22 +176,47 @@ def role_delta(f):
 def _policies(f):
     rows = f["f13_rules"]
     perm = F.array(F.struct(F.lit("Path").alias("attribute_name"), F.array("table_path").alias("values")), F.struct(F.lit("Action").alias("attribute_name"), F.array(F.lit("Read")).alias("values")))
-    cols = F.when(F.col("has_column_rule"), F.array(F.struct("table_path", F.array("column_name").alias("column_names")))).otherwise(
-        F.array().cast("array<struct<table_path:string,column_names:array<string>>>"))
-    rules = F.array(F.struct(perm.alias("permission"), cols.alias("columns")))
+    column = F.struct("table_path", F.array("column_name").alias("column_names"), F.col("column_effect").alias("effect"), F.array(F.lit("Read")).alias("action"))
+    cols = F.when(F.col("has_column_rule"), F.array(column)).otherwise(
+        F.array().cast("array<struct<table_path:string,column_names:array<string>,effect:string,action:array<string>>>"))
+    rules = F.array(F.struct(F.col("effect"), perm.alias("permission"), cols.alias("columns")))
     return sec.parse_policy(rows.select(F.concat(F.lit("role"), F.col("role_no").cast("string")).alias("role_name"), rules.alias("decision_rules")))
 
 
-@query("policy_parse", """
-SELECT DISTINCT 'role' || cast(role_no AS VARCHAR) AS role_name, table_path, NULL AS column_name, 'table' AS kind FROM f13_rules WHERE table_path <> '*'
-UNION SELECT DISTINCT 'role' || cast(role_no AS VARCHAR), table_path, column_name, 'column' FROM f13_rules WHERE has_column_rule""")
+_RULES = """
+  (SELECT DISTINCT 'role' || cast(role_no AS VARCHAR) AS role_name, table_path, NULL AS column_name, 'table' AS kind, coalesce(effect, 'Permit') AS effect, NULL AS action FROM f13_rules
+   UNION SELECT DISTINCT 'role' || cast(role_no AS VARCHAR), table_path, column_name, 'column', coalesce(nullif(column_effect, ''), 'Permit'), 'Read' FROM f13_rules WHERE has_column_rule)"""
+
+
+@query("policy_parse", f"SELECT * FROM {_RULES}")
 def policy_parse(f):
     return _policies(f)
 
 
-@query("policy_view", "SELECT incident_type FROM f10_claims")
+@query("policy_view", f"""
+WITH asked AS (SELECT 'role' || r::VARCHAR AS role_name, '/Tables/sch/t' || t::VARCHAR AS table_path FROM range(7) a(r), range(3) b(t)),
+mine AS (SELECT a.role_name, a.table_path, x.kind, x.column_name, x.effect = 'Permit' AS permit FROM asked a JOIN {_RULES} x ON x.role_name = a.role_name AND x.table_path IN (a.table_path, '*')),
+cols AS (SELECT unnest(['incident_type', 'claim_amount', 'claim_date']) AS c),
+verdict AS (SELECT a.role_name, a.table_path, c.c, coalesce(bool_and(permit) FILTER (kind = 'table'), false) AS readable, count(*) FILTER (kind = 'column') AS rules,
+    coalesce(bool_or(permit) FILTER (kind = 'column'), false) AS grants, coalesce(bool_or(permit) FILTER (kind = 'column' AND column_name = c.c), false) AS named,
+    coalesce(bool_or(NOT permit) FILTER (kind = 'column' AND column_name = c.c), false) AS denied
+  FROM asked a CROSS JOIN cols c LEFT JOIN mine m ON m.role_name = a.role_name AND m.table_path = a.table_path GROUP BY ALL),
+shown AS (SELECT role_name, table_path, c FROM verdict WHERE readable AND NOT denied AND (rules = 0 OR NOT grants OR named))
+SELECT a.role_name, a.table_path, coalesce(string_agg(s.c, ',' ORDER BY s.c), '') AS columns, CASE WHEN count(s.c) > 0 THEN (SELECT count(*) FROM f10_claims) ELSE 0 END AS rows
+FROM asked a LEFT JOIN shown s USING (role_name, table_path) GROUP BY a.role_name, a.table_path""")
 def policy_view(f):
-    return sec.policy_view(f["f10_claims"], _policies(f), role="role1", table_path="/Tables/sch/t1")
+    claims, policies = f["f10_claims"].select("incident_type", "claim_amount", "claim_date"), _policies(f)
+    views = []
+    for role in range(7):
+        for table in range(3):
+            name, path = f"role{role}", f"/Tables/sch/t{table}"
+            seen = sec.policy_view(claims, policies, role=name, table_path=path)
+            shown = sec.permitted_columns(policies, role=name, table_path=path, columns=claims.columns)
+            views.append(seen.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("role_name"), F.lit(path).alias("table_path"), F.lit(",".join(sorted(shown or []))).alias("columns"), "rows"))
+    out = views[0]
+    for more in views[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 _NAMED = """

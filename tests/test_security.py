@@ -35,12 +35,14 @@ def test_share_actions(spark):
                    "9": ("upgrade_dataset_user", "Read", "")}
 
 
-def test_members_of_a_shared_group_are_covered_unless_it_is_too_large(spark):
+def test_members_of_a_shared_group_are_covered_whatever_its_size(spark):
     members = spark.createDataFrame([("g", "a"), ("g", "b")], "group_id STRING, member_id STRING")
     p, s = [share(1, "a", 1), share(2, "z", 1)], [share(1, "g", 1, kind="Group")]
     assert [v[0] for _, v in sorted(plan(spark, p, s, members=members).items())] == ["already_present", "grant_dataset_user"]
     frame = lambda rows: spark.createDataFrame(rows, SHARE)
     assert sec.expand_groups(frame(s), members, item=["item_no"]).count() == 3
+    large = spark.range(30000).selectExpr("'g' AS group_id", "cast(id AS STRING) AS member_id")
+    assert sec.expand_groups(frame(s), large, item=["item_no"]).count() == 30001
     assert sec.expand_groups(frame(s), members, item=["item_no"], max_members=1).count() == 1
 
 
@@ -75,14 +77,28 @@ def test_role_order_does_not_matter_but_constraints_do(spark):
     assert sec.role_delta(a, b).first()["action"] == "unchanged" and sec.role_delta(a, c).first()["action"] == "update"
 
 
+ROLES = ("role_name STRING, decision_rules ARRAY<STRUCT<effect: STRING, permission: ARRAY<STRUCT<attribute_name: STRING, values: ARRAY<STRING>>>, "
+         "columns: ARRAY<STRUCT<table_path: STRING, column_names: ARRAY<STRING>, effect: STRING, action: ARRAY<STRING>>>>>")
+
+
 def test_policy_view(spark):
-    roles = "role_name STRING, decision_rules ARRAY<STRUCT<permission: ARRAY<STRUCT<attribute_name: STRING, values: ARRAY<STRING>>>, columns: ARRAY<STRUCT<table_path: STRING, column_names: ARRAY<STRING>>>>>"
-    df = spark.createDataFrame([("r", [([("Path", ["/t", "*"]), ("Action", ["Read"])], [("/t", ["a", "b"])])])], roles)
-    policies = sec.parse_policy(df)
-    assert {(r["table_path"], r["column_name"], r["kind"]) for r in policies.collect()} == {("/t", None, "table"), ("/t", "a", "column"), ("/t", "b", "column")}
+    path = lambda *p: [("Path", list(p)), ("Action", ["Read"])]
+    rows = [("r", [(None, path("/t"), [("/t", ["a", "b"], "Permit", ["Read"])])]), ("missing", [("Permit", path("/t"), [("/t", ["masked"], None, None)])]),
+            ("every", [("Permit", path("*"), [])]), ("deny", [("Permit", path("/t"), []), ("Deny", path("/t"), [])]), ("deny_all", [("Permit", path("/t"), []), ("Deny", path("*"), [])]),
+            ("hide", [("Permit", path("/t"), [("/t", ["secret"], "Deny", ["Read"])])]), ("both", [("Permit", path("/t"), [("/t", ["a", "secret"], "Permit", None), ("/t", ["secret"], "Deny", None)])]),
+            ("columns_only", [("Permit", path("/u"), [("/t", ["a"], "Permit", None)])])]
+    policies = sec.parse_policy(spark.createDataFrame(rows, ROLES))
+    assert {tuple(r) for r in policies.filter("role_name = 'r'").collect()} == {
+        ("r", "/t", None, "table", "Permit", None), ("r", "/t", "a", "column", "Permit", "Read"), ("r", "/t", "b", "column", "Permit", "Read")}
     table = spark.createDataFrame([(1, 2, 3)], "a INT, secret INT, b INT")
+    see = lambda role, where="/t": sec.permitted_columns(policies, role=role, table_path=where, columns=table.columns)
+    assert see("r") == ["a", "b"] and see("r", "/u") is None and see("nobody") is None
+    assert see("missing") == [] and see("every") == ["a", "secret", "b"] and see("every", "/any") == ["a", "secret", "b"]
+    assert see("deny") is None and see("deny_all") is None and see("hide") == ["a", "b"] and see("both") == ["a"] and see("columns_only") is None
     assert sec.policy_view(table, policies, role="r", table_path="/t").columns == ["a", "b"]
-    assert sec.policy_view(table, policies, role="r", table_path="/u").isEmpty()
+    assert sec.policy_view(table, policies, role="deny", table_path="/t").isEmpty()
+    hidden = sec.policy_view(table, policies, role="missing", table_path="/t")
+    assert hidden.columns == [] and hidden.count() == 0
 
 
 GRANT = "database_name STRING, state STRING, permission STRING, class STRING, schema_name STRING, object_name STRING, column_name STRING, principal STRING"
