@@ -82,5 +82,6 @@ def substitute(column: Column | str, lookup: Column, pattern: str) -> Column:
 
 
 def is_identity_part(column: Column | str) -> Column:
-    col = F.col(column) if isinstance(column, str) else column
+    """Never null: a part without a path is no identity part."""
+    col = F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
     return (col == IDENTITY_PART) | col.endswith("/" + IDENTITY_PART)

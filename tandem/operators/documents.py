@@ -37,8 +37,8 @@ def encode_parts(parts: DataFrame) -> DataFrame:
 
 
 def strip_identity(parts: DataFrame) -> DataFrame:
-    """Without the parts that hold the identity of the source item."""
-    return parts.filter(~tx.is_identity_part("path"))
+    """Without the parts that hold the identity of the source item; a missing path is the path ''."""
+    return parts.filter(~tx.is_identity_part("path")).withColumn("path", F.coalesce("path", F.lit("")))
 
 
 def part_references(parts: DataFrame, *, pattern: str = tx.GUID_PATTERN, keep: Sequence[str] = ("item_id", "path")) -> DataFrame:

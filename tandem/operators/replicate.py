@@ -140,10 +140,18 @@ def sync_mode(versions: DataFrame, state: DataFrame, gate: DataFrame, *, mode: s
     return rows.select(*key, "version", "last_version", decided.alias("sync_mode"))
 
 
-def state_upsert(state: DataFrame, new: DataFrame, *, keys: Sequence[str]) -> DataFrame:
-    """State with the new rows in place of the old ones of the same key."""
-    kept = null_safe_join(state, new.select(*keys).distinct(), list(keys), "left_anti")
-    return kept.unionByName(new.select(*state.columns))
+def state_upsert(state: DataFrame, new: DataFrame, *, keys: Sequence[str], order: str | None = None, may_go_back: bool = False) -> DataFrame:
+    """One state row per key: the one furthest on by ``order`` (the first column that is no key), of equal ones the newer.
+
+    With ``may_go_back`` a new row replaces the old one even if it is behind it.
+    """
+    values = [c for c in state.columns if c not in keys]
+    rank = [F.col("_new"), F.col(order or values[0])] if may_go_back else [F.col(order or values[0]), F.col("_new")]
+    # The values themselves break remaining ties, so that repeated rows give the same state in any order.
+    rank = F.struct(*[x for r in rank for x in (r.isNotNull(), r)], *values)
+    rows = state.withColumn("_new", F.lit(0)).unionByName(new.select(*state.columns).withColumn("_new", F.lit(1)))
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), rank).alias("_best"))
+    return best.select(*[F.col(c) if c in keys else F.col(f"_best.{c}").alias(c) for c in state.columns])
 
 
 def advance_state(state: DataFrame, results: DataFrame, *, keys: Sequence[str]) -> DataFrame:
@@ -151,14 +159,21 @@ def advance_state(state: DataFrame, results: DataFrame, *, keys: Sequence[str])
     return state_upsert(state, results.filter(F.col("errors") == 0), keys=keys)
 
 
-def reverse_sync(p: DataFrame, s: DataFrame, *, keys: Sequence[str], ts_col: str, since) -> DataFrame:
+def reverse_sync(p: DataFrame, s: DataFrame, *, keys: Sequence[str], ts_col: str, since, before: DataFrame | None = None) -> DataFrame:
     """Failback: changes made on the secondary since the failover, as a feed for the primary.
 
-    Only keys the secondary touched after ``since`` are compared; the primary is semi-joined to them.
+    Only keys the secondary touched after ``since`` are compared; the primary is semi-joined to them. ``before`` has the keys
+    that the secondary held at the failover: those it holds no more were deleted since. Without it no deletion can be told
+    from a row that had not been replicated yet, and none is reported.
     """
     touched = s.filter(F.col(ts_col) > F.lit(since).cast(s.schema[ts_col].dataType))
-    before = null_safe_join(p, touched.select(*keys).distinct(), list(keys), "left_semi")
-    return cdf_extract(before.select(*touched.columns), touched, keys=keys, version=0).drop("_commit_version")
+    known = null_safe_join(p, touched.select(*keys).distinct(), list(keys), "left_semi")
+    feed = cdf_extract(known.select(*touched.columns), touched, keys=keys, version=0).drop("_commit_version")
+    if before is None:
+        return feed
+    gone = null_safe_join(before.select(*keys).distinct(), s.select(*keys), list(keys), "left_anti")
+    deleted = null_safe_join(p.select(*touched.columns), gone, list(keys), "left_semi").withColumn("_change_type", F.lit("delete"))
+    return feed.unionByName(deleted.select(*feed.columns))
 
 
 def detect_time_column(columns: DataFrame, *, by: Sequence[str]) -> DataFrame:
@@ -212,24 +227,38 @@ def cut_points(pending: DataFrame, *, table: str, ts_col: str, cap: int, grains:
     return last.join(cuts, table, "left").select(table, F.coalesce("cut_ts", "last_ts").alias("cut_ts"))
 
 
-def pending_events(events: DataFrame, state: DataFrame, *, ts_col: str = "ts", table: str = "table_key") -> DataFrame:
-    """Rows later than their table's watermark; a table without one is loaded whole (``first_run``)."""
-    rows = lookup_join(events, state.select(table, "last_ts"), on=[table], spread_by=[ts_col], how="left")
-    fresh = rows.filter(F.col("last_ts").isNull() | (F.col(ts_col) > F.col("last_ts")))
-    return fresh.withColumn("first_run", F.col("last_ts").isNull()).drop("last_ts")
-
+def pending_events(events: DataFrame, state: DataFrame, *, ts_col: str = "ts", table: str = "table_key", target: DataFrame | None = None,
+                   keys: Sequence[str] = ()) -> DataFrame:
+    """Rows later than their table's watermark; a table without a state row is loaded whole (``first_run``).
 
-def watermark_replicate(events: DataFrame, state: DataFrame, *, ts_col: str = "ts", table: str = "table_key",
-                        cap: int | None = None) -> tuple[DataFrame, DataFrame]:
+    No watermark says whether a row without a time was loaded. On the first run all of them are. Later they are pending if
+    ``target`` (what was loaded, with ``table`` and ``keys``) does not hold their key, so pass it where times may be missing.
+    """
+    seen = state.select(table, "last_ts", F.lit(True).alias("_seen"))
+    rows = lookup_join(events, seen, on=[table], spread_by=[ts_col, *keys], how="left").withColumn("first_run", F.col("_seen").isNull())
+    later = F.col(ts_col).isNotNull() & (F.col("last_ts").isNull() | (F.col(ts_col) > F.col("last_ts")))
+    fresh = rows.filter(F.col("first_run") | later).drop("last_ts", "_seen")
+    if target is None:
+        return fresh
+    timeless = rows.filter(~F.col("first_run") & F.col(ts_col).isNull()).drop("last_ts", "_seen")
+    loaded = target.filter(F.col(ts_col).isNull()) if ts_col in target.columns else target
+    on = [table, *keys]
+    return fresh.unionByName(null_safe_join(timeless, loaded.select(*on).distinct(), on, "left_anti"))
+
+
+def watermark_replicate(events: DataFrame, state: DataFrame, *, ts_col: str = "ts", table: str = "table_key", cap: int | None = None,
+                        target: DataFrame | None = None, keys: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """The next batch of every table, and the state after it. Rows beyond ``cap`` wait for the next batch.
 
-    Write or checkpoint the state before it is used for the next batch, so that its plan does not
-    grow with the number of batches.
+    Pending rows without a time go with the first batch, beside the ``cap`` timed ones: no cut could find them again. A table
+    whose rows all lack a time gets a state row with a null time, so it is not loaded whole each run. Write or checkpoint the
+    state before it is used for the next batch, so that its plan does not grow with the number of batches.
     """
-    batch = pending_events(events, state, ts_col=ts_col, table=table)
+    batch = pending_events(events, state, ts_col=ts_col, table=table, target=target, keys=keys)
     if cap is not None:
-        cuts = materialize(cut_points(batch, table=table, ts_col=ts_col, cap=cap))
-        batch = lookup_join(batch, cuts, on=[table], spread_by=[ts_col]).filter(F.col(ts_col) <= F.col("cut_ts")).drop("cut_ts")
+        cuts = materialize(cut_points(batch.filter(F.col(ts_col).isNotNull()), table=table, ts_col=ts_col, cap=cap))
+        batch = lookup_join(batch, cuts, on=[table], spread_by=[ts_col], how="left").filter(
+            F.col(ts_col).isNull() | (F.col(ts_col) <= F.col("cut_ts"))).drop("cut_ts")
     reached = batch.groupBy(table).agg(F.max(ts_col).alias("last_ts"))
     return batch, state_upsert(state.select(table, "last_ts"), reached, keys=[table])
 
@@ -242,8 +271,13 @@ def event_sync_plan(columns: DataFrame, state: DataFrame, *, table: str = "table
 
 
 def late_safe_increment(events: DataFrame, target: DataFrame, *, keys: Sequence[str]) -> DataFrame:
-    """Rows not in the target yet, whatever their time: late rows are not lost to a watermark."""
-    once = events.dropDuplicates(list(keys))
+    """Rows not in the target yet, whatever their time: late rows are not lost to a watermark.
+
+    Of several rows of a key, the one with the smallest row hash is taken, in every run the same.
+    """
+    others = [c for c in events.columns if c not in keys]
+    first = F.min_by(F.struct(*others), F.xxhash64(*events.columns)).alias("_first") if others else F.count(F.lit(1)).alias("_first")
+    once = events.groupBy(*keys).agg(first).select(*[F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in events.columns])
     return null_safe_join(once, target.select(*keys).distinct(), list(keys), "left_anti")
 
 

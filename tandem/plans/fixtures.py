@@ -105,7 +105,7 @@ SELECT user_id, max(value) AS value FROM events WHERE user_id % 3 <> 1 GROUP BY
 
 # event tables with a watermark; 'signup' has no state row (first run).
 VIEWS["f5_p"] = """
-SELECT event_type AS table_key, event_id, ts, user_id, value, props FROM events"""
+SELECT event_type AS table_key, event_id, CASE WHEN event_id % 37 <> 5 THEN ts END AS ts, user_id, value, props FROM events"""
 VIEWS["f5_state"] = """
 SELECT event_type AS table_key, max(ts) AS last_ts FROM events
 WHERE ts < TIMESTAMP '2024-01-15 00:00:00' AND event_type <> 'signup' GROUP BY event_type"""

@@ -31,9 +31,11 @@ def remap_encoded(f):
     return doc.encode_parts(doc.remap_documents(doc.decode_parts(stored), f["f6_map"])).select("item_id", "path", "payload")
 
 
-@query("strip_identity", f"SELECT item_id, path, length(payload) AS n FROM f6_parts_p WHERE {_NO_IDENTITY}")
+@query("strip_identity", f"""
+SELECT item_id, path, payload FROM f6_parts_p WHERE {_NO_IDENTITY} UNION ALL SELECT item_id, '' AS path, payload FROM f6_parts_p WHERE path = 'meta.json'""")
 def strip_identity(f):
-    return doc.strip_identity(f["f6_parts_p"]).select("item_id", "path", F.length("payload").alias("n"))
+    unnamed = f["f6_parts_p"].filter("path = 'meta.json'").withColumn("path", F.lit(None).cast("string"))
+    return doc.strip_identity(f["f6_parts_p"].unionByName(unnamed)).select("item_id", "path", "payload")
 
 
 @query("stale_refs", f"SELECT item_id, path, ref FROM {_refs('f6_parts_s')} JOIN f6_map ON primary_ref = ref")
@@ -60,13 +62,13 @@ def lineage_summary(f):
 
 
 @query("pair_health", """
-SELECT p.pair_id, count(*) AS total_pairs, count(s.k) AS healthy, count(*) - count(s.k) AS missing_secondary, 0::BIGINT AS missing_primary
-FROM f2_p p LEFT JOIN f2_s s USING (pair_id, item_type, display_name) GROUP BY p.pair_id""")
+SELECT pair_id, count(*) AS total_pairs, count(*) FILTER (p AND s) AS healthy, count(*) FILTER (NOT s) AS missing_secondary, count(*) FILTER (NOT p) AS missing_primary
+FROM (SELECT pair_id, item_type, display_name, bool_or(side = 'p') AS p, bool_or(side = 's') AS s FROM (
+  SELECT pair_id, item_type, display_name, 'p' AS side FROM f2_p UNION ALL SELECT pair_id, item_type, display_name, 's' FROM f2_s) GROUP BY 1, 2, 3) GROUP BY 1""")
 def pair_health(f):
-    from tandem.operators.reconcile import EXTRA, reconcile
+    from tandem.operators.reconcile import reconcile
 
-    rows = reconcile(f["f2_p"], f["f2_s"], keys=["item_type", "display_name"])
-    return doc.pair_health(rows.filter(F.col("state") != EXTRA), by=["pair_id"])
+    return doc.pair_health(reconcile(f["f2_p"], f["f2_s"], keys=["item_type", "display_name"]), by=["pair_id"])
 
 
 @query("lineage_tiers", """

@@ -99,7 +99,8 @@ def sync_mode(f):
 
 
 @query("state_upsert", """
-SELECT pair_id, table_key, coalesce(n.v, o.last_version) AS last_version, cast(coalesce(n.t, o.last_sync) AS VARCHAR) AS last_sync
+SELECT pair_id, table_key, CASE WHEN n.v IS NULL OR o.last_version > n.v THEN o.last_version ELSE n.v END AS last_version,
+  cast(CASE WHEN n.v IS NULL OR o.last_version > n.v THEN o.last_sync ELSE n.t END AS VARCHAR) AS last_sync
 FROM f3_state o FULL OUTER JOIN (SELECT pair_id, table_key, max(version) AS v, max_by(commit_ts, version) AS t FROM f3_p GROUP BY 1, 2) n USING (pair_id, table_key)""")
 def state_upsert(f):
     new = fr.latest_commit(f["f3_p"]).select("pair_id", "table_key", F.col("version").alias("last_version"), F.col("commit_ts").alias("last_sync"))

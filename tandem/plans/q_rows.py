@@ -38,11 +38,11 @@ def table_presence(f):
 
 
 @query("schema_merge", """
-SELECT o_orderkey, o_orderstatus, NULL::DOUBLE AS o_totalprice, o_orderpriority FROM f1_p
-UNION ALL SELECT o_orderkey, NULL AS o_orderstatus, o_totalprice, o_orderpriority FROM f1_s""")
+SELECT o_orderkey, o_custkey, o_orderstatus, NULL::DOUBLE AS o_totalprice, cast(o_orderdate AS VARCHAR) AS o_orderdate, o_orderpriority FROM f1_p
+UNION ALL SELECT o_orderkey, o_custkey, NULL AS o_orderstatus, o_totalprice, cast(o_orderdate AS VARCHAR), o_orderpriority FROM f1_s""")
 def schema_merge(f):
-    return rec.merge_schema(f["f1_p"].select("o_orderkey", "o_orderstatus", "o_orderpriority"),
-                            f["f1_s"].select("o_orderkey", "o_totalprice", "o_orderpriority"))
+    merged = rec.merge_schema(f["f1_p"].drop("o_totalprice"), f["f1_s"].drop("o_orderstatus"))
+    return merged.withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
 
 
 @query("incremental_filter", """
@@ -84,9 +84,11 @@ def cdf_round_trip(f):
 @query("reverse_sync", f"""
 SELECT n.o_orderkey, n.o_totalprice, CASE WHEN o.o_orderkey IS NULL THEN 'insert' ELSE 'update_postimage' END AS _change_type
 FROM f1_s n LEFT JOIN f1_p o ON n.o_orderkey = o.o_orderkey
-WHERE n.o_orderdate > TIMESTAMP '1999-01-01 00:00:00' AND (o.o_orderkey IS NULL OR {_CHANGED})""")
+WHERE n.o_orderdate > TIMESTAMP '1999-01-01 00:00:00' AND (o.o_orderkey IS NULL OR {_CHANGED})
+UNION ALL SELECT o_orderkey, o_totalprice, 'delete' FROM f1_p WHERE o_custkey % 5 <> 0 AND o_orderkey NOT IN (SELECT o_orderkey FROM f1_s)""")
 def reverse_sync(f):
-    feed = rep.reverse_sync(f["f1_p"], f["f1_s"], keys=["o_orderkey"], ts_col="o_orderdate", since=dt.datetime(1999, 1, 1))
+    held = f["f1_p"].filter("o_custkey % 5 <> 0").select("o_orderkey")
+    feed = rep.reverse_sync(f["f1_p"], f["f1_s"], keys=["o_orderkey"], ts_col="o_orderdate", since=dt.datetime(1999, 1, 1), before=held)
     return feed.select("o_orderkey", "o_totalprice", "_change_type")
 
 
@@ -124,13 +126,14 @@ def integrity_rollup(f):
 
 
 @query("table_checksum", """
-SELECT o_custkey, p.n = s.n AND p.h IS NOT DISTINCT FROM s.h AS same, p.n AS p_rows, s.n AS s_rows
-FROM (SELECT o_custkey, count(*) AS n, md5(string_agg(concat_ws('|', o_orderkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority), ';' ORDER BY o_orderkey)) AS h FROM f1_p GROUP BY o_custkey) p
-JOIN (SELECT o_custkey, count(*) AS n, md5(string_agg(concat_ws('|', o_orderkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority), ';' ORDER BY o_orderkey)) AS h FROM f1_s GROUP BY o_custkey) s USING (o_custkey)""")
+SELECT o_custkey, coalesce(p.n = s.n AND p.h IS NOT DISTINCT FROM s.h, false) AS same, p.n AS p_rows, s.n AS s_rows
+FROM (SELECT o_custkey, count(*) AS n, md5(string_agg(concat_ws('|', o_orderkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority), ';' ORDER BY o_orderkey)) AS h FROM f1_p WHERE o_custkey % 31 <> 4 GROUP BY o_custkey) p
+FULL JOIN (SELECT o_custkey, count(*) AS n, md5(string_agg(concat_ws('|', o_orderkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority), ';' ORDER BY o_orderkey)) AS h FROM f1_s WHERE o_custkey % 31 <> 7 GROUP BY o_custkey) s USING (o_custkey)""")
 def table_checksum(f):
-    side = lambda name: rep.table_checksum(f[f"f1_{name}"], by=["o_custkey"]).select(
+    part = {"p": f["f1_p"].filter("o_custkey % 31 <> 4"), "s": f["f1_s"].filter("o_custkey % 31 <> 7")}
+    side = lambda name: rep.table_checksum(part[name], by=["o_custkey"]).select(
         "o_custkey", F.col("row_count").alias(f"{name}_rows"), F.col("checksum").alias(f"{name}_sum"))
-    return side("p").join(side("s"), "o_custkey").select("o_custkey", (F.col("p_sum") == F.col("s_sum")).alias("same"), "p_rows", "s_rows")
+    return side("p").join(side("s"), "o_custkey", "full").select("o_custkey", F.coalesce(F.col("p_sum") == F.col("s_sum"), F.lit(False)).alias("same"), "p_rows", "s_rows")
 
 
 _LATEST = """
@@ -151,13 +154,24 @@ def cdf_merge(f):
 
 
 _PENDING = """
-  (SELECT e.*, st.last_ts IS NULL AS first_run FROM f5_p e LEFT JOIN f5_state st USING (table_key) WHERE st.last_ts IS NULL OR e.ts > st.last_ts)"""
+  (SELECT e.*, st.last_ts IS NULL AS first_run FROM f5_p e LEFT JOIN f5_state st USING (table_key)
+   WHERE st.last_ts IS NULL OR e.ts > st.last_ts OR (e.ts IS NULL AND e.event_id % 2 = 1))"""
+
+
+def _loaded(f):
+    """What the target holds of the rows without a time."""
+    return f["f5_p"].filter("ts IS NULL AND event_id % 2 = 0").select("table_key", "event_id", "ts")
+
+
+def _next_batch(f, **limits):
+    return rep.watermark_replicate(f["f5_p"], f["f5_state"], target=_loaded(f), keys=["event_id"], **limits)
+
 
 
 @query("watermark_replicate", f"""
 SELECT table_key, event_id, user_id, value, props, cast(ts AS VARCHAR) AS ts, first_run FROM {_PENDING}""")
 def watermark_replicate(f):
-    batch, _ = rep.watermark_replicate(f["f5_p"], f["f5_state"])
+    batch, _ = _next_batch(f)
     return batch.withColumn("ts", F.col("ts").cast("string"))
 
 
@@ -165,22 +179,22 @@ def watermark_replicate(f):
 SELECT table_key, cast(greatest(max(last_ts), coalesce(max(ts), max(last_ts))) AS VARCHAR) AS last_ts FROM (
   SELECT table_key, last_ts, NULL::TIMESTAMP AS ts FROM f5_state UNION ALL SELECT table_key, NULL, ts FROM {_PENDING}) GROUP BY table_key""")
 def watermark_state(f):
-    _, state = rep.watermark_replicate(f["f5_p"], f["f5_state"])
+    _, state = _next_batch(f)
     return state.withColumn("last_ts", F.col("last_ts").cast("string"))
 
 
 @query("capped_batch", f"""
 SELECT table_key, event_id, cast(ts AS VARCHAR) AS ts FROM (
-  SELECT *, rank() OVER (PARTITION BY table_key ORDER BY ts) AS r FROM {_PENDING}) WHERE r <= 300""")
+  SELECT *, rank() OVER (PARTITION BY table_key ORDER BY ts NULLS LAST) AS r FROM {_PENDING}) WHERE r <= 300 OR ts IS NULL""")
 def capped_batch(f):
-    batch, _ = rep.watermark_replicate(f["f5_p"], f["f5_state"], cap=300)
+    batch, _ = _next_batch(f, cap=300)
     return batch.select("table_key", "event_id", F.col("ts").cast("string").alias("ts"))
 
 
-@query("csv_roundtrip", "SELECT event_id, table_key, props, value, user_id FROM f5_p")
+@query("csv_roundtrip", "SELECT event_id, table_key, props, value, user_id, cast(ts AS VARCHAR) AS ts FROM f5_p")
 def csv_roundtrip(f):
-    rows = f["f5_p"].select("event_id", "table_key", "props", "value", "user_id")
-    return from_delimited(to_delimited(rows), rows.schema)
+    rows = f["f5_p"].select("event_id", "table_key", "props", "value", "user_id", "ts")
+    return from_delimited(to_delimited(rows), rows.schema).withColumn("ts", F.col("ts").cast("string"))
 
 
 @query("detect_ts_column", """

@@ -32,5 +32,5 @@ def register_tables(spark: SparkSession, tables: Iterable[tuple[str, str]], *, s
             spark.sql(f"CREATE TABLE IF NOT EXISTS {full} USING {source} LOCATION '{place}'")
             results.append((name, location, "exists" if existed else "registered", None))
         except Exception as error:  # the report carries it
-            results.append((name, location, "error", str(error)[:300]))
+            results.append((name, location, "error", str(error)))
     return spark.createDataFrame(results, "table_name STRING, location STRING, status STRING, error STRING")

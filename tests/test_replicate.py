@@ -163,3 +163,42 @@ def test_listing_of_real_folders(spark, tmp_path):
     assert "content" not in found.columns
     got = {(r["table_path"], r["table_key"], r["layout"]) for r in listing.discover_tables(found).collect()}
     assert got >= {("a", "a", "flat"), ("s/b", "s.b", "schema")} and all(not t.startswith("_") for t, _, _ in got)
+
+
+def test_rows_without_a_time_are_not_lost(spark, rows):
+    schema = "table_key STRING, k INT, ts TIMESTAMP"
+    at = lambda d: dt.datetime(2024, 1, d)
+    events = spark.createDataFrame([("t", 1, at(1)), ("t", 2, None), ("t", 3, at(2)), ("t", 4, at(3)), ("n", 5, None)], schema)
+    none = spark.createDataFrame([], "table_key STRING, last_ts TIMESTAMP")
+    for cap in (None, 2):
+        batch, state = rep.watermark_replicate(events, none, cap=cap)
+        assert rows(batch, "k") == [(k,) for k in ((1, 2, 3, 4, 5) if cap is None else (1, 2, 3, 5))]
+        assert dict(rows(state)) == {"t": at(3) if cap is None else at(2), "n": None}
+    late = events.unionByName(spark.createDataFrame([("t", 6, None), ("n", 7, None)], schema))
+    batch, after = rep.watermark_replicate(late, spark.createDataFrame(state.collect(), state.schema), target=events, keys=["k"], cap=2)
+    assert rows(batch, "k") == [(4,), (6,), (7,)] and dict(rows(after)) == {"t": at(3), "n": None}
+
+
+def test_state_keeps_one_row_and_does_not_go_back(spark, rows):
+    schema = "k INT, last_version INT, note STRING"
+    state = spark.createDataFrame([(1, 5, "old"), (2, 5, "old"), (None, 1, "old")], schema)
+    new = spark.createDataFrame([(1, 3, "new"), (2, 6, "new"), (2, 7, "newer"), (3, None, "new"), (None, 1, "new")], schema)
+    assert rows(rep.state_upsert(state, new, keys=["k"])) == sorted([(1, 5, "old"), (2, 7, "newer"), (3, None, "new"), (None, 1, "new")], key=repr)
+    assert (1, 3, "new") in rows(rep.state_upsert(state, new, keys=["k"], may_go_back=True))
+
+
+def test_failback_finds_deletions(spark, rows):
+    schema = "k INT, v STRING, ts TIMESTAMP"
+    old, new = dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 1)
+    p = spark.createDataFrame([(1, "a", old), (2, "b", old), (3, "c", old)], schema)
+    s = spark.createDataFrame([(1, "a2", new), (4, "d", new)], schema)
+    held = spark.createDataFrame([(1,), (2,)], "k INT")
+    feed = rep.reverse_sync(p, s, keys=["k"], ts_col="ts", since=dt.datetime(2024, 1, 15), before=held)
+    assert rows(feed, "k", "_change_type") == [(1, "update_postimage"), (2, "delete"), (4, "insert")]
+
+
+def test_late_increment_takes_the_same_row_each_time(spark, rows):
+    events = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k INT, v STRING")
+    target = spark.createDataFrame([(2, "c")], "k INT, v STRING")
+    once = [rows(rep.late_safe_increment(events.repartition(n), target, keys=["k"])) for n in (1, 3)]
+    assert once[0] == once[1] and len(once[0]) == 1
