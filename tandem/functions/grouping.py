@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _WORDS = 4
 _DIGITS = 15
@@ -65,22 +66,42 @@ def spread(column: Column | str, *, digits: int = 2) -> Column:
 BROADCAST_ROWS = 1_000_000
 
 
-def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Does a table have at most ``max_rows`` rows? Counts no further than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+#: Bytes of values up to which a table is sent to every executor.
+BROADCAST_BYTES = 64 << 20
+
+
+def _width(df: DataFrame) -> Column:
+    """Bytes of a row's values: texts as they are, nested values as JSON, eight for any other."""
+    total = F.lit(0).cast("bigint")
+    for f in df.schema.fields:
+        col = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = F.octet_length(col)
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            size = F.octet_length(F.to_json(F.struct(col)))
+        else:
+            size = F.lit(0)
+        total = total + 8 + F.coalesce(size, F.lit(0))
+    return total
+
+
+def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Has a table at most so many rows and bytes? Looks no further than the rows."""
+    rows, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(_width(df))).first()
+    return rows <= max_rows and (size or 0) <= max_bytes
 
 
 def lookup_join(facts: DataFrame, lookup: DataFrame, *, on: Sequence[str], spread_by: Sequence[str], how: str = "inner",
-                max_rows: int = BROADCAST_ROWS, salts: int = 16) -> DataFrame:
+                max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES, salts: int = 16) -> DataFrame:
     """Join many facts to a table that is unique on ``on``, when a few keys may dominate the facts.
 
-    The lookup's size is checked. Up to ``max_rows`` it is broadcast, and the facts are not moved
+    The lookup's size is checked. Up to ``max_rows`` and ``max_bytes`` it is broadcast, and the facts are not moved
     at all; left to itself the runtime would learn the size only after it had begun to shuffle
     the facts. A larger one is repeated ``salts`` times and each fact goes to one of the copies,
     so the rows of a hot key are shared out, also where an aggregate on the same key follows and
     the runtime would not split the join.
     """
-    if fits(lookup, max_rows):
+    if fits(lookup, max_rows, max_bytes):
         return facts.join(F.broadcast(lookup), list(on), how)
     copies = lookup.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))

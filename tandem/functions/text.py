@@ -53,11 +53,39 @@ def encode_payload(column: Column | str) -> Column:
     return F.translate(F.base64(F.encode(F.col(column) if isinstance(column, str) else column, "UTF-8")), "\r\n", "")
 
 
-def tokens(column: Column | str, pattern: str = GUID_PATTERN) -> Column:
+def tokens(column: Column | str, pattern: Column | str = GUID_PATTERN) -> Column:
     """Every match of the pattern in a text, in order, as written."""
     return F.regexp_extract_all(F.col(column) if isinstance(column, str) else column, F.lit(pattern), F.lit(0))
 
 
+# Names without a shape of their own are found as runs of whole words.
+WORD = r"[\p{L}\p{N}_]+"
+
+
+def word_count(column: Column | str) -> Column:
+    """Words of a name that begins and ends with one; null for other names, which no run of words can be."""
+    col = F.col(column) if isinstance(column, str) else column
+    return F.when(col.rlike(f"^{WORD}(?s:.*{WORD})?$"), F.size(tokens(col, WORD)))
+
+
+def word_runs(column: Column | str, longest: int) -> Column:
+    """Distinct runs of one to ``longest`` words with what stands between them, lower-cased."""
+    col = F.col(column) if isinstance(column, str) else column
+    words, gaps = tokens(col, WORD), F.split(col, WORD, -1)
+    woven = F.flatten(F.zip_with(words, F.slice(gaps, 2, F.size(words)), lambda w, g: F.array(w, g)))
+    every = lambda n: F.transform(
+        F.filter(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: i + (n - 1) <= F.size(words)),
+        lambda i: F.lower(F.array_join(F.slice(woven, 2 * i - 1, 2 * n - 1), "")))
+    return F.array_distinct(F.concat(*[every(n) for n in range(1, longest + 1)]))
+
+
+def names_pattern(names: Column) -> Column:
+    """Alternation of the names of one text as whole words, the longest first; null without names."""
+    quoted = F.transform(F.transform(names, lambda n: F.struct((-F.length(n)).alias("k"), n.alias("n"))), lambda x: x)
+    parts = F.transform(F.array_sort(quoted), lambda x: F.concat(F.lit("\\Q"), F.replace(x["n"], F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
+    return F.when(F.size(names) > 0, F.concat(F.lit(r"(?iu:(?<![\p{L}\p{N}_])(?:"), F.array_join(parts, "|"), F.lit(r")(?![\p{L}\p{N}_]))")))
+
+
 def references(column: Column | str, pattern: str = GUID_PATTERN) -> Column:
     """Distinct matches in a text, lower-cased."""
     return F.array_distinct(F.transform(tokens(column, pattern), F.lower))
@@ -66,7 +94,7 @@ def references(column: Column | str, pattern: str = GUID_PATTERN) -> Column:
 _MARK = "\u0001"
 
 
-def substitute(column: Column | str, lookup: Column, pattern: str) -> Column:
+def substitute(column: Column | str, lookup: Column, pattern: Column | str) -> Column:
     """The text with each match replaced by its entry in the ``lookup`` map (keys lower-cased).
 
     One pass: what a replacement puts in is not looked at again. The matches are fenced with a
@@ -74,9 +102,10 @@ def substitute(column: Column | str, lookup: Column, pattern: str) -> Column:
     """
     col = F.col(column) if isinstance(column, str) else column
     new = lambda ref: F.coalesce(F.try_element_at(lookup, F.lower(ref)), ref)
-    fenced = F.split(F.regexp_replace(col, f"(?:{pattern})", f"{_MARK}$0{_MARK}"), _MARK, -1)
+    grouped = F.concat(F.lit("(?:"), F.lit(pattern), F.lit(")"))
+    fenced = F.split(F.regexp_replace(col, grouped, F.lit(f"{_MARK}$0{_MARK}")), _MARK, -1)
     quick = F.transform(fenced, lambda piece, i: F.when(i % 2 == 1, new(piece)).otherwise(piece))
-    careful = F.zip_with(F.split(col, pattern, -1), tokens(col, pattern),
+    careful = F.zip_with(F.split(col, F.lit(pattern), -1), tokens(col, pattern),
                          lambda gap, ref: F.concat(gap, F.coalesce(new(ref), F.lit(""))))
     return F.array_join(F.when(F.contains(col, F.lit(_MARK)), careful).otherwise(quick), "")
 

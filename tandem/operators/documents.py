@@ -46,39 +46,62 @@ def part_references(parts: DataFrame, *, pattern: str = tx.GUID_PATTERN, keep: S
     return parts.select(*keep, F.explode(tx.references("payload", pattern)).alias("ref"))
 
 
+def _shaped(column: str, pattern: str):
+    return F.coalesce(F.col(column), F.lit("")).rlike(f"^(?:{pattern})$")
+
+
 def unfindable(mapping: DataFrame, *, pattern: str = tx.REFERENCE_PATTERN) -> DataFrame:
-    """Mapping rows that the pattern cannot find in a text; extend the pattern with ``literal_pattern`` for them."""
-    return mapping.filter(~F.coalesce(F.col("primary_ref"), F.lit("")).rlike(f"^(?:{pattern})$"))
+    """Mapping rows that neither the pattern nor a run of whole words can find in a text, such as names in brackets."""
+    return mapping.filter(~_shaped("primary_ref", pattern) & tx.word_count(F.coalesce("primary_ref", F.lit(""))).isNull())
 
 
 def literal_pattern(names: Sequence[str], *, base: str = tx.REFERENCE_PATTERN) -> str:
-    """``base`` widened by names that have no shape of their own, such as connection names."""
+    """``base`` widened by the few names that ``unfindable`` lists."""
     quoted = "|".join("\\Q" + n.replace("\\E", "\\E\\\\E\\Q") + "\\E" for n in sorted(names, key=len, reverse=True))
     return f"(?:{quoted}|{base})" if quoted else base
 
 
+def known_references(parts: DataFrame, known: DataFrame, *, pattern: str, keep: Sequence[str] = ("item_id", "path")) -> DataFrame:
+    """References of each part that are in ``known`` (``ref``, lower-cased, with what else it has), and ``named``.
+
+    References of a shape are found by the pattern. Other names, such as those of connections, are found as runs of whole
+    words, up to the number of words that the longest of them has; ``named`` marks them. One scan of each text either way, and
+    no search of every text for every name.
+    """
+    found = lookup_join(part_references(parts, pattern=pattern, keep=keep), known, on=["ref"], spread_by=list(keep)).withColumn("named", F.lit(False))
+    names = known.filter(~_shaped("ref", pattern)).withColumn("_words", tx.word_count("ref")).filter("_words IS NOT NULL")
+    longest = names.agg(F.max("_words")).first()[0]
+    if not longest:
+        return found
+    runs = parts.select(*keep, F.explode(tx.word_runs("payload", longest)).alias("ref"))
+    return found.unionByName(lookup_join(runs, names.drop("_words"), on=["ref"], spread_by=list(keep)).withColumn("named", F.lit(True)))
+
+
 def remap_documents(parts: DataFrame, mapping: DataFrame, *, pattern: str = tx.REFERENCE_PATTERN) -> DataFrame:
     """Parts with every mapped primary reference replaced by its secondary one; identity parts dropped.
 
     Only the distinct references of each part travel to the mapping. What comes back is one small
     map per part, bounded by the text itself. A workspace id named in most documents is spread
-    over several copies of its mapping row.
+    over several copies of its mapping row. Names without a shape are replaced as whole words, the longest first.
     """
     key = ["item_id", "path"]
     kept = strip_identity(parts)
     one_each = mapping.groupBy(F.lower("primary_ref").alias("ref")).agg(F.min("secondary_ref").alias("new_ref"))
-    hits = lookup_join(part_references(kept, pattern=pattern), one_each, on=["ref"], spread_by=key)
-    lookups = (hits.groupBy(*key).agg(F.map_from_entries(F.collect_set(F.struct("ref", "new_ref"))).alias("_lookup"))
+    hits = known_references(kept, one_each, pattern=pattern)
+    lookups = (hits.groupBy(*key).agg(F.map_from_entries(F.collect_set(F.struct("ref", "new_ref"))).alias("_lookup"),
+                                      F.collect_set(F.when(F.col("named"), F.col("ref"))).alias("_names"))
                .withColumn("refs_mapped", F.size("_lookup")))
-    joined = kept.join(lookups, key, "left")
-    rebuilt = F.when(F.col("_lookup").isNull(), F.col("payload")).otherwise(tx.substitute("payload", F.col("_lookup"), pattern))
-    return joined.withColumn("payload", rebuilt).withColumn("refs_mapped", F.coalesce("refs_mapped", F.lit(0))).drop("_lookup")
+    joined = kept.join(lookups, key, "left").withColumn("_pattern", tx.names_pattern(F.col("_names")))
+    shaped = tx.substitute("payload", F.col("_lookup"), pattern)
+    named = tx.substitute("payload", F.col("_lookup"), F.concat(F.lit(f"(?:{pattern})|"), "_pattern"))
+    rebuilt = F.when(F.col("_lookup").isNull(), F.col("payload")).when(F.col("_pattern").isNull(), shaped).otherwise(named)
+    return joined.withColumn("payload", rebuilt).withColumn("refs_mapped", F.coalesce("refs_mapped", F.lit(0))).drop("_lookup", "_names", "_pattern")
 
 
 def stale_refs(parts: DataFrame, primary_refs: DataFrame, *, pattern: str = tx.REFERENCE_PATTERN) -> DataFrame:
     """References in secondary documents that still name something on the primary."""
     known = primary_refs.select(F.lower("primary_ref").alias("ref")).distinct()
-    return lookup_join(part_references(parts, pattern=pattern), known, on=["ref"], spread_by=["item_id", "path"]).distinct()
+    return known_references(parts, known, pattern=pattern).drop("named").distinct()
 
 
 def lineage_edges(parts: DataFrame, items: DataFrame, mapping: DataFrame) -> DataFrame:

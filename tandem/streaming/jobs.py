@@ -7,7 +7,7 @@ keeps a schedule.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,7 +77,8 @@ def stream_late(spark: SparkSession, src_dir: str, dst_dir: str, checkpoint: str
         if low is not None:
             kind = batch.schema[ts_col].dataType
             known = known.filter(F.col(ts_col).between(F.lit(low).cast(kind), F.lit(high).cast(kind)) | F.col(ts_col).isNull())
-        newest = log.read_runs(session, dst_dir).filter(earlier).agg(F.max("max_ts")).first()[0]
+        # The log holds times as text; they are compared in the column's own type.
+        newest = log.read_runs(session, dst_dir).filter(earlier).agg(F.max(F.col("max_ts").cast(batch.schema[ts_col].dataType))).first()[0]
         fresh = late_safe_increment(batch, known, keys=keys)
         mark = F.lit(False) if newest is None else F.col(ts_col) <= F.lit(newest).cast(batch.schema[ts_col].dataType)
         log.write_batch(fresh.withColumn("late", mark), dst_dir, batch_id, ts_col=ts_col)
@@ -90,13 +91,13 @@ WATCH_SCHEMA = ("pair_id BIGINT, item_type STRING, display_name STRING, item_id
                 "snapshot_id BIGINT, change STRING, state STRING")
 
 
-def stream_drift_watch(spark: SparkSession, src_dir: str, dst_dir: str, checkpoint: str, *, schema: T.StructType, secondary: DataFrame,
+def stream_drift_watch(spark: SparkSession, src_dir: str, dst_dir: str, checkpoint: str, *, schema: T.StructType, secondary: DataFrame | Callable[[], DataFrame],
                        trigger: Mapping[str, object] = DRAIN, glob: str | None = None) -> StreamingQuery:
     """Re-check the catalog as snapshots of it arrive.
 
     A snapshot row has pair_id, item_type, display_name, item_id, definition_hash and snapshot_id.
     Each item is compared with the previous snapshot of its pair (new, changed, unchanged,
-    removed) and with the secondary.
+    removed) and with the secondary. Pass a function that reads the secondary, and every batch sees it as it is then.
     """
     item = ["item_type", "display_name"]
 
@@ -112,7 +113,8 @@ def stream_drift_watch(spark: SparkSession, src_dir: str, dst_dir: str, checkpoi
                   .when(F.col("p_definition_hash").eqNullSafe(F.col("s_definition_hash")), "unchanged").otherwise("changed"))
         changes = versus_previous.select("pair_id", *item, F.coalesce("p_item_id", "s_item_id").alias("item_id"),
                                          F.coalesce("p_definition_hash", "s_definition_hash").alias("definition_hash"), change.alias("change"))
-        drift = catalog_drift(current, secondary.join(pairs, "pair_id", "left_semi")).filter(F.col("state") != EXTRA)
+        standby = secondary() if callable(secondary) else secondary
+        drift = catalog_drift(current, standby.join(pairs, "pair_id", "left_semi")).filter(F.col("state") != EXTRA)
         states = drift.select("pair_id", *item, "state")
         rows = null_safe_join(changes, states, ["pair_id", *item], "left").join(newest, "pair_id")
         log.write_batch(rows.select(*[c.split()[0] for c in WATCH_SCHEMA.split(", ")]), dst_dir, batch_id)

@@ -20,7 +20,7 @@ def write_batch(batch: DataFrame, root: str, batch_id: int, *, ts_col: str | Non
     """Write one batch and log it. Row count and latest time are observed during the write, not by a second pass."""
     spark = batch.sparkSession
     seen = Observation()
-    latest = F.max(F.col(ts_col).cast("string")) if ts_col else F.max(F.lit(None).cast("string"))
+    latest = F.max(F.col(ts_col)).cast("string") if ts_col else F.max(F.lit(None).cast("string"))
     late = F.count_if("late") if "late" in batch.columns else F.sum(F.lit(0))
     watched = batch.observe(seen, F.count(F.lit(1)).alias("rows"), latest.alias("max_ts"), late.alias("late_rows"))
     watched.write.mode("overwrite").parquet(f"{root}/data/batch_id={batch_id}")

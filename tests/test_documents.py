@@ -46,6 +46,19 @@ def test_names_without_a_shape_need_a_wider_pattern(spark):
     assert remap(spark, f"use my (conn) of {A}", [("my (conn)", "dr conn"), (A, SA)], pattern=doc.literal_pattern(["my (conn)"])) == f"use dr conn of {SA}"
 
 
+def test_names_are_replaced_as_whole_words_without_a_pattern(spark):
+    mapping = [("Sales Connection", "DR Sales"), ("Sales", "DR"), ("db.local", "db2.local"), (A, SA), ("a\\\\Eb", "x"), ("No Such Name Here At All", "y")]
+    text = f'{{"c": "Sales Connection", "d":"sales",  "h": "db.local:1433", "id": "{A}", "p": "PreSales Sales_x", "e": "a\\\\Eb"}}'
+    want = f'{{"c": "DR Sales", "d":"DR",  "h": "db2.local:1433", "id": "{SA}", "p": "PreSales Sales_x", "e": "x"}}'
+    assert remap(spark, text, mapping) == want
+    parts = spark.createDataFrame([("i", "p", text), ("j", None, "Sales"), ("k", "q", None), ("l", "q", "")], "item_id STRING, path STRING, payload STRING")
+    known = spark.createDataFrame([(m[0],) for m in mapping], "primary_ref STRING")
+    found = {(r["item_id"], r["ref"]) for r in doc.stale_refs(parts, known).collect()}
+    assert found == {("i", x) for x in ("sales connection", "sales", "db.local", A.lower(), "a\\\\eb")} | {("j", "sales")}
+    plan = {r["item_id"]: (r["stale_refs"], r["action"]) for r in doc.fix_plan(parts, known).collect()}
+    assert plan == {"i": (5, "fixed"), "j": (1, "fixed"), "k": (0, "skipped"), "l": (0, "skipped")}
+
+
 def test_identity_parts_are_dropped_and_base64_survives(spark):
     parts = spark.createDataFrame([("i", ".platform", "x"), ("i", "sub/.platform", "x"), ("i", "a.platform", base64.b64encode(("é" * 80 + A).encode()).decode())], PARTS)
     out = doc.encode_parts(doc.remap_documents(doc.decode_parts(parts), spark.createDataFrame([(A, SA)], MAP))).collect()

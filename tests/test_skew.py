@@ -60,3 +60,13 @@ def test_a_key_with_most_of_the_changes(spark, no_broadcast):
                              F.lit(None).cast("timestamp").alias("_commit_timestamp"))
     out = rep.cdf_merge(spark.createDataFrame([(1, -1), (2, -1)], "k BIGINT, v BIGINT"), feed, keys=["k"])
     assert out.count() == 3002 and {r["k"]: r["v"] for r in out.filter("k IN (1, 2)").collect()} == {1: 8999, 2: -1}
+
+
+def test_wide_lookups_are_not_broadcast(spark):
+    from tandem.functions import grouping as g
+
+    wide = spark.range(200).selectExpr("id AS k", "repeat('x', 100000) AS v", "array(id) AS a")
+    assert not g.fits(wide, max_bytes=1 << 20) and g.fits(wide.select("k"), max_bytes=1 << 20) and not g.fits(wide.select("k"), max_rows=100)
+    facts = spark.range(1000).selectExpr("id % 7 AS k", "id AS n")
+    joined = g.lookup_join(facts, wide, on=["k"], spread_by=["n"], max_bytes=1 << 20)
+    assert "_salt" in joined._jdf.queryExecution().analyzed().toString() and joined.count() == 1000
