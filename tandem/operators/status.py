@@ -150,14 +150,20 @@ def replication_lag(events: DataFrame, *, now) -> DataFrame:
                        F.round(minutes, 1).alias("lag_minutes"))
 
 
-def readiness(checks: DataFrame) -> DataFrame:
-    """Verdict per pair from (check_id, level). Not being able to tell is never GO."""
+def readiness(checks: DataFrame, *, rpo: DataFrame | None = None) -> DataFrame:
+    """Verdict per pair from (check_id, level). Not being able to tell is never GO.
+
+    With ``rpo`` (pair_id, measured_rpo_hours) each pair also says how many hours of data a failover now would lose.
+    """
     level = lambda name: F.count_if(F.col("level") == name).alias(name)
     blind = F.count_if((F.col("level") == "unknown") & F.col("check_id").isin(*CRITICAL_CHECKS))
     out = checks.groupBy("pair_id").agg(level("ok"), level("warn"), level("bad"), level("unknown"), blind.alias("blind"))
     verdict = (F.when(F.col("bad") > 0, "NO-GO").when(F.col("blind") > 0, "CAN'T ASSESS")
                .when((F.col("warn") > 0) | (F.col("unknown") > 0), "GO WITH RISK").otherwise("GO"))
-    return out.withColumn("verdict", verdict).drop("blind")
+    out = out.withColumn("verdict", verdict).drop("blind")
+    if rpo is None:
+        return out
+    return out.join(rpo.groupBy("pair_id").agg(F.max("measured_rpo_hours").alias("expected_data_loss_hours")), "pair_id", "left")
 
 
 def readiness_checks(pairs: DataFrame, *, rpo: DataFrame | None = None, coverage_rows: DataFrame | None = None,
@@ -166,7 +172,8 @@ def readiness_checks(pairs: DataFrame, *, rpo: DataFrame | None = None, coverage
     """The checks behind ``readiness``, one row per pair and check.
 
     ``pairs`` has pair_id, primary_region, secondary_region, secondary_capacity_state. A source
-    that is not given, or has no row for a pair, leaves its check ``unknown``.
+    that is not given, or has no row for a pair, leaves its check ``unknown``. Schedules and shares whose scan failed or
+    was not made come as rows of action ``error`` or ``not_scanned``; both are open work.
     """
     rows = pairs
     pr, sr = F.coalesce("primary_region", F.lit("")), F.coalesce("secondary_region", F.lit(""))

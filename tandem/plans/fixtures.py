@@ -338,3 +338,17 @@ VIEWS["f13_experiments"] = """
 SELECT c_custkey % 30 AS experiment_no, 'experiment ' || cast(c_custkey % 30 AS string) AS experiment_name,
   'exp-' || cast(c_custkey % 30 AS string) AS p_experiment_id,
   CASE WHEN c_custkey % 30 IN (4, 9) THEN NULL ELSE 'sx-' || cast(c_custkey % 30 AS string) END AS s_experiment_id FROM customer GROUP BY c_custkey % 30"""
+
+# what nine readiness checks look at, for a pair of workspaces per nation.
+VIEWS["f14_pairs"] = """
+SELECT pair_id, primary_region, secondary_region, CASE WHEN pair_id % 8 = 3 THEN 'Paused' WHEN pair_id % 12 = 9 THEN '' ELSE 'Active' END AS secondary_capacity_state FROM f12_regions"""
+VIEWS["f14_facts"] = """
+SELECT c_nationkey AS pair_id, c_custkey AS k,
+  CASE WHEN c_nationkey % 11 = 10 THEN NULL WHEN c_nationkey % 6 = 1 THEN 0.5E0 ELSE 7.0E0 + c_custkey % 30 END AS measured_rpo_hours,
+  CASE WHEN c_nationkey % 13 = 5 AND c_custkey % 4 = 0 THEN 1 ELSE 0 END AS diverged, c_custkey % 7 <> 0 AS supported, 3 AS primary_count,
+  CASE WHEN c_nationkey % 10 = 3 THEN 2 ELSE 3 END AS mirrored_count, NOT (c_nationkey % 9 = 2 AND c_custkey % 5 = 0) AS ready,
+  CASE WHEN c_nationkey % 6 = 3 AND c_custkey % 3 = 0 THEN 'create_paused' WHEN c_nationkey % 15 = 4 THEN 'error' ELSE 'present' END AS schedule_action,
+  c_nationkey % 12 = 11 AS enabled_on_secondary,
+  CASE WHEN c_nationkey % 6 = 5 AND c_custkey % 2 = 0 THEN 'grant_dataset_user' WHEN c_nationkey % 10 = 7 THEN 'not_scanned' ELSE 'already_present' END AS share_action,
+  CASE WHEN c_nationkey % 8 = 6 AND c_custkey % 3 = 1 THEN 'stale' ELSE 'healthy' END AS status,
+  CASE WHEN c_nationkey % 10 = 9 THEN 'bad' WHEN c_nationkey % 5 = 0 THEN 'warn' ELSE 'ok' END AS level FROM customer"""

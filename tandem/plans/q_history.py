@@ -158,13 +158,32 @@ def readiness_checks(f):
     return _checks(f)
 
 
+_NINE = """
+  (SELECT pair_id, 'region' AS check_id, CASE WHEN primary_region = secondary_region THEN 'bad' ELSE 'ok' END AS level FROM f14_pairs
+   UNION ALL SELECT pair_id, 'capacity', CASE secondary_capacity_state WHEN '' THEN 'unknown' WHEN 'Active' THEN 'ok' ELSE 'warn' END FROM f14_pairs
+   UNION ALL SELECT pair_id, x.check_id, x.level FROM (
+     SELECT pair_id, max(measured_rpo_hours) AS h, max(diverged) AS d, sum(CASE WHEN supported THEN primary_count - mirrored_count END) AS gap, count(*) FILTER (NOT ready) AS idle,
+       count(*) FILTER (schedule_action <> 'present' OR enabled_on_secondary) AS todo, count(*) FILTER (share_action <> 'already_present') AS shares, count(*) FILTER (status = 'stale') AS stale,
+       count(*) FILTER (level = 'bad') AS n_bad, count(*) FILTER (level <> 'ok') AS n_open FROM f14_facts GROUP BY pair_id) f,
+     LATERAL (VALUES ('rpo', CASE WHEN h IS NULL THEN 'unknown' WHEN d > 0 THEN 'bad' WHEN h <= 1 THEN 'ok' WHEN h <= 24 THEN 'warn' ELSE 'bad' END),
+       ('items', CASE WHEN gap IS NULL THEN 'unknown' WHEN gap > 0 THEN 'warn' ELSE 'ok' END), ('models', CASE WHEN idle > 0 THEN 'bad' ELSE 'ok' END),
+       ('schedules', CASE WHEN todo > 0 THEN 'warn' ELSE 'ok' END), ('perms', CASE WHEN shares > 0 THEN 'warn' ELSE 'ok' END), ('refs', CASE WHEN stale > 0 THEN 'bad' ELSE 'ok' END),
+       ('gateways', CASE WHEN n_bad > 0 THEN 'bad' WHEN n_open > 0 THEN 'warn' ELSE 'ok' END)) x(check_id, level))"""
+
+
 @query("readiness", f"""
-SELECT pair_id, ok, warn, bad, unknown, CASE WHEN bad > 0 THEN 'NO-GO' WHEN blind > 0 THEN 'CAN''T ASSESS' WHEN warn > 0 OR unknown > 0 THEN 'GO WITH RISK' ELSE 'GO' END AS verdict FROM (
-  SELECT pair_id, count(*) FILTER (level = 'ok') AS ok, count(*) FILTER (level = 'warn') AS warn, count(*) FILTER (level = 'bad') AS bad,
-    count(*) FILTER (level = 'unknown') AS unknown, count(*) FILTER (level = 'unknown' AND check_id IN ('region', 'rpo', 'items', 'models', 'refs')) AS blind
-  FROM {_CHECKS} GROUP BY pair_id)""")
+SELECT v.*, h.hours AS expected_data_loss_hours FROM (
+  SELECT pair_id, ok, warn, bad, unknown, CASE WHEN bad > 0 THEN 'NO-GO' WHEN blind > 0 THEN 'CAN''T ASSESS' WHEN warn > 0 OR unknown > 0 THEN 'GO WITH RISK' ELSE 'GO' END AS verdict FROM (
+    SELECT pair_id, count(*) FILTER (level = 'ok') AS ok, count(*) FILTER (level = 'warn') AS warn, count(*) FILTER (level = 'bad') AS bad,
+      count(*) FILTER (level = 'unknown') AS unknown, count(*) FILTER (level = 'unknown' AND check_id IN ('region', 'rpo', 'items', 'models', 'refs')) AS blind
+    FROM {_NINE} GROUP BY pair_id)) v
+LEFT JOIN (SELECT pair_id, max(measured_rpo_hours) AS hours FROM f14_facts GROUP BY pair_id) h USING (pair_id)""")
 def readiness(f):
-    return st.readiness(_checks(f))
+    facts = f["f14_facts"]
+    checks = st.readiness_checks(
+        f["f14_pairs"], rpo=facts, coverage_rows=facts, models=facts, schedules=facts.withColumn("action", F.col("schedule_action")),
+        shares=facts.withColumn("action", F.col("share_action")), lineage=facts, gateways=facts)
+    return st.readiness(checks, rpo=facts)
 
 
 @query("sync_totals", """

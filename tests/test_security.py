@@ -191,3 +191,13 @@ def test_health_and_lag(spark):
         1: (100, "HEALTHY"), 2: (25, "CAPACITY_PAUSED"), 3: (50, "EMPTY"), 4: (75, "CAPACITY_UNKNOWN"), 5: (0, "ERROR")}
     lags = spark.createDataFrame([(True, 15.0, 0), (True, 15.0, 1), (True, 60.0, 0), (True, 60.1, 0), (True, None, 0), (False, 1.0, 0)], "has_secondary BOOLEAN, lag_minutes DOUBLE, artifact_drift INT")
     assert [r["status"] for r in st.lag_status(lags).collect()] == ["HEALTHY", "NEEDS_SYNC", "NEEDS_SYNC", "STALE", "NEEDS_SYNC", "NO_DR"]
+
+
+def test_every_verdict_occurs_in_the_query(spark):
+    import pathlib
+
+    from tandem.plans.all_queries import QUERIES
+
+    if pathlib.Path("/root/testdata/sf0.001").exists():
+        verdicts = {r["verdict"] for r in QUERIES["readiness"](spark, "/root/testdata/sf0.001").select("verdict").distinct().collect()}
+        assert verdicts == {"GO", "GO WITH RISK", "CAN'T ASSESS", "NO-GO"}
