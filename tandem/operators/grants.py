@@ -23,11 +23,15 @@ def grant_snapshot(permissions: DataFrame, principals: DataFrame, objects: DataF
     pr = principals.select("database_no", F.col("principal_id").alias("grantee_id"), "principal_name")
     rows = pe.join(pr, ["database_no", "grantee_id"]).filter(~rt.is_skipped_principal("principal_name"))
     rows = rows.filter(~((F.col("class_desc") == "DATABASE") & (F.col("permission_name") == "CONNECT")))
-    rows = rows.withColumn("object_id", F.when(F.col("class") == 1, F.col("major_id"))).withColumn(
-        "column_id", F.when((F.col("class") == 1) & (F.col("minor_id") > 0), F.col("minor_id")))
-    rows = rows.join(objects.withColumnRenamed("schema_id", "_object_schema"), ["database_no", "object_id"], "left")
-    rows = rows.withColumn("schema_id", F.when(F.col("class") == 1, F.col("_object_schema")).when(F.col("class") == 3, F.col("major_id")))
-    rows = rows.join(schemas, ["database_no", "schema_id"], "left").join(columns, ["database_no", "object_id", "column_id"], "left")
+    # Each class is joined on keys that its rows have: a null key would gather a database's rows of the other classes in one task.
+    none = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
+    whole = rows.filter("class = 0").select("*", *none("schema_name", "object_name", "column_name"))
+    by_schema = rows.filter("class = 3").withColumn("schema_id", F.col("major_id")).join(schemas, ["database_no", "schema_id"], "left")
+    by_schema = by_schema.select(*rows.columns, "schema_name", *none("object_name", "column_name"))
+    by_object = rows.filter("class = 1").withColumn("object_id", F.col("major_id")).withColumn("column_id", F.when(F.col("minor_id") > 0, F.col("minor_id")))
+    by_object = by_object.join(objects, ["database_no", "object_id"], "left").join(schemas, ["database_no", "schema_id"], "left")
+    by_object = by_object.join(columns, ["database_no", "object_id", "column_id"], "left").select(*rows.columns, "schema_name", "object_name", "column_name")
+    rows = whole.unionByName(by_schema).unionByName(by_object)
     text = lambda c: F.coalesce(c, F.lit(""))
     return rows.select("database_no", text("state_desc").alias("state"), text("permission_name").alias("permission"), text("class_desc").alias("class"),
                        text("schema_name").alias("schema_name"), text("object_name").alias("object_name"), text("column_name").alias("column_name"),

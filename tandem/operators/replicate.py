@@ -112,7 +112,7 @@ def log_incremental(commits: DataFrame, state: DataFrame) -> DataFrame:
     failed = newer & F.col("unparsed")
     tables = rows.groupBy(*key).agg(
         F.max("version").alias("new_version"), F.max("last_version").alias("last_version"),
-        F.bool_or(failed).alias("_failed"), F.count_if(newer & F.col("is_commit")).alias("new_commits"))
+        F.bool_or(failed).alias("_failed"), F.count_distinct(F.when(newer & F.col("is_commit"), F.col("version"))).alias("new_commits"))
     files = (rows.filter(newer & F.col("add_path").isNotNull()).select(*key, "add_path").distinct()
              .groupBy(*key).agg(F.count(F.lit(1)).alias("new_files")))
     method = F.when(F.col("last_version").isNull() | F.col("_failed"), "file_listing_fallback").otherwise("commit_log")

@@ -74,7 +74,7 @@ def _log(f):
 @query("log_incremental", """
 SELECT pair_id, table_key, method, new_version, CASE WHEN method = 'commit_log' THEN n ELSE -1 END AS new_commits,
   CASE WHEN method = 'commit_log' THEN nf ELSE -1 END AS new_files
-FROM (SELECT pair_id, table_key, max(version) AS new_version, count(*) FILTER (version > last_version) AS n, count(DISTINCT file_id) FILTER (version > last_version) AS nf,
+FROM (SELECT pair_id, table_key, max(version) AS new_version, count(DISTINCT version) FILTER (version > last_version) AS n, count(DISTINCT file_id) FILTER (version > last_version) AS nf,
   CASE WHEN max(last_version) IS NULL OR bool_or(version > last_version AND file_id % 997 = 5) THEN 'file_listing_fallback' ELSE 'commit_log' END AS method
   FROM f3_p LEFT JOIN f3_state USING (pair_id, table_key) GROUP BY pair_id, table_key)""")
 def log_incremental(f):

@@ -41,7 +41,7 @@ def parse_commits(lines: DataFrame) -> DataFrame:
     return parsed.select(
         *keep, F.regexp_extract("file_path", TABLE_OF_COMMIT, 1).alias("table_key"),
         F.col("_version").cast("bigint").alias("version"), F.col("_action.add.path").alias("add_path"),
-        F.col("_action.commitInfo").isNotNull().alias("is_commit_info"),
+        F.col("_action.commitInfo").isNotNull().alias("is_commit"),
         F.map_contains_key(F.coalesce("_action.commitInfo", F.create_map().cast("map<string,string>")),
                            F.lit("inCommitTimestamp")).alias("has_ict"),
         F.col("_action._corrupt").isNotNull().alias("unparsed"))

@@ -16,7 +16,7 @@ def write_report(df: DataFrame, path: str, *, source: str = "json", mode: str =
 
 
 def register_tables(spark: SparkSession, tables: Iterable[tuple[str, str]], *, source: str = "parquet") -> DataFrame:
-    """Make (name, location) folders known to the catalog; existing names are left alone.
+    """Make (name, location) folders known to the catalog; existing names are left alone, and told apart if they lie elsewhere.
 
     The result has one row per table with what happened; one failure does not stop the others.
     """
@@ -30,7 +30,10 @@ def register_tables(spark: SparkSession, tables: Iterable[tuple[str, str]], *, s
                 spark.sql(f"CREATE SCHEMA IF NOT EXISTS `{schema}`")
             existed = spark.catalog.tableExists(full.replace("`", ""))
             spark.sql(f"CREATE TABLE IF NOT EXISTS {full} USING {source} LOCATION '{place}'")
-            results.append((name, location, "exists" if existed else "registered", None))
+            held = spark.sql(f"DESCRIBE TABLE EXTENDED {full}").filter("col_name = 'Location'").first()["data_type"] if existed else location
+            bare = lambda path: path.split(":", 1)[-1].replace("//", "/").rstrip("/")
+            status = "registered" if not existed else "exists" if bare(held) == bare(location) else "other_location"
+            results.append((name, location, status, None if status != "other_location" else held))
         except Exception as error:  # the report carries it
             results.append((name, location, "error", str(error)))
     return spark.createDataFrame(results, "table_name STRING, location STRING, status STRING, error STRING")
