@@ -6,7 +6,7 @@ the leaves to the root and back (sum-product, exact on a tree) give each node's
 content with at least even odds is the main text.
 
 The model is trained on labelled pages: pages that mark their article (``article`` or ``main``) label their own nodes, content
-inside the mark except below parts that are never content. At most ``train_pages`` pages are used, those with the smallest
+inside the mark except below parts that are never content; each page counts with its mark and without it. At most ``train_pages`` pages are used, those with the smallest
 row hash, so the choice does not depend on the partitioning. Without any such page, a prior model with the same
 features for names that are never content is used.
 
@@ -37,6 +37,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never shown as text.
 HIDDEN = frozenset("head title script style noscript template svg math iframe object select option textarea button canvas audio video".split())
+#: Elements that mark the article, by which training pages label themselves.
+MARKS = ("article", "main")
 #: Elements and names that are never part of an article.
 APART = frozenset("nav footer header aside form menu dialog".split())
 APART_NAMES = frozenset((
@@ -115,6 +117,12 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
             links += tag == "a"
             continue
         runs.append((-1, " "))
+        if tag in HIDDEN:  # no node: what is never shown says nothing about what is around it
+            stack.append((tag, stack[-1][1]))
+            hidden += 1
+            continue
+        if stack[-1][0] == "head":
+            pop()
         close = _CLOSES.get(tag, ("p",))
         for depth in range(len(stack) - 1, 0, -1):
             open_tag = stack[depth][0]
@@ -124,19 +132,18 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
                 break
             if open_tag in _BOUNDS and not (tag in ("td", "th", "tr") and open_tag != "table"):
                 break
-        if found[4].endswith("/") and tag not in HIDDEN and tag not in _BOUNDS and tag != "p":
+        if found[4].endswith("/") and tag not in _BOUNDS and tag != "p":
             continue
         names = tuple(w.lower() for m in _NAMES.finditer(found[4]) for w in _PARTS.findall(m[1] or m[2] or m[3] or ""))
         parent = stack[-1][1]
         nodes.append(Node(tag, names, parent, nodes[parent].depth + 1))
         stack.append((tag, len(nodes) - 1))
-        hidden += tag in HIDDEN
     text(page[at:])
     return nodes, runs
 
 
 def apart(node: Node) -> bool:
-    return node.tag in APART or node.tag in HIDDEN or not APART_NAMES.isdisjoint(node.names)
+    return node.tag in APART or not APART_NAMES.isdisjoint(node.names)
 
 
 def _bucket(value: int) -> int:
@@ -165,14 +172,14 @@ def features(nodes: list[Node]) -> list[list[int]]:
 
 def own_labels(nodes: list[Node]) -> list[int] | None:
     """Labels that a page gives its own nodes; none if it marks no article."""
-    if not any(n.tag in ("article", "main") for n in nodes):
+    if not any(n.tag in MARKS for n in nodes):
         return None
     labels: list[int] = []
     inside, out = [], []
     for node in nodes:
         within = node.parent >= 0 and inside[node.parent]
         away = apart(node) or (node.parent >= 0 and out[node.parent])
-        inside.append(within or node.tag in ("article", "main"))
+        inside.append(within or node.tag in MARKS)
         out.append(away)
         labels.append(int(inside[-1] and not away))
     return labels
@@ -207,9 +214,10 @@ class Model:
         return cls(weights, ties, float(np.log(share / (1 - share))))
 
     def marginals(self, nodes: list[Node]) -> list[float]:
-        """Chance of each node to be content, by sum-product up and down the tree."""
+        """Chance of each node to be content, by sum-product up and down the tree. A marked article is observed to be content."""
         weights, (t0, t1) = self.weights, np.exp(self.ties).tolist()
         own = [min(max(float(sum(weights[i] for i in f)) - self.prior, -30.0), 30.0) for f in features(nodes)]
+        own = [30.0 if n.tag in MARKS and not apart(n) else x for n, x in zip(nodes, own)]
         count = len(nodes)
         up0, up1 = [1.0] * count, [float(np.exp(x)) for x in own]
         to0, to1 = [1.0] * count, [1.0] * count
@@ -248,8 +256,13 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = own_labels(nodes)
             if own:
                 rows += features(nodes)
-                labels += own
-                above += [own[n.parent] if n.parent >= 0 else None for n in nodes]
+                # Once more with the mark taken off, so that pages without one are told by their other signs.
+                for node in nodes:
+                    if node.tag in MARKS:
+                        node.tag = "div"
+                rows += features(nodes)
+                labels += own * 2
+                above += [own[n.parent] if n.parent >= 0 else None for n in nodes] * 2
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), pa.array(labels, pa.int32()), pa.array(above, pa.int32())], ["features", "label", "above"])
 
 
