@@ -31,6 +31,8 @@ from tandem.llm.common import table
 
 TRAIN_PAGES = 1000
 FEATURES = 1 << 12
+#: Children of content that are none, beyond those seen, as a share of those that are content.
+FREEDOM = 0.05
 EPOCHS = 80
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -209,7 +211,10 @@ class Model:
             step = np.bincount(flat, slip[owner], FEATURES) / len(rows) - 1e-6 * weights
             scale += step * step
             weights += 0.5 * step / np.sqrt(scale)
-        ties = np.log((pairs + 1) / (pairs + 1).sum(axis=1, keepdims=True))
+        # Content may have children that are none in ways the training pages never show, such as a menu inside an article.
+        pairs = pairs + 1
+        pairs[1, 0] += FREEDOM * pairs[1, 1]
+        ties = np.log(pairs / pairs.sum(axis=1, keepdims=True))
         share = float(np.clip(target.mean(), 0.01, 0.99))
         return cls(weights, ties, float(np.log(share / (1 - share))))
 
