@@ -113,3 +113,24 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = measure(docs).select(F.col("doc.doc_id").alias("doc_id"), "host", *METRICS, "fails")
     rows = keep(rows, "quality")
     return judge(rows, host_verdicts(rows)).select("doc_id", *METRICS, "base_failed", "kept")
+
+
+_FAILS = {"short": "n_words < 20", "repeats": "100 * n_repeat_words > 30 * n_words", "symbols": "10 * n_symbols > word_chars", "dup_lines": "10 * n_dup_lines > 3 * n_lines",
+          "word_length": "word_chars < 3 * n_words OR word_chars > 12 * n_words"}
+#: DuckDB SQL for ``op7_quality_rules``, from the words up.
+ORACLE = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS host FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+windows AS (SELECT rid, i, list_slice(ws, i, i + 7) AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
+twice AS (SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, g) AS c FROM windows) WHERE c > 1),
+covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM twice, range(8) r(k) GROUP BY rid),
+m AS (SELECT doc_id, host, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+    len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words FROM w LEFT JOIN covered USING (rid)),
+f AS (SELECT *, {", ".join(f"({v}) AS {k}" for k, v in _FAILS.items())} FROM m),
+rates AS ({" UNION ALL ".join(f"SELECT host, '{k}' AS rule, count(*) AS n, count(*) FILTER ({k}) AS failed FROM f GROUP BY host" for k in _FAILS)}),
+prior AS (SELECT rule, sum(failed) / sum(n) AS mean, coalesce(var_samp(failed / n), 0) AS spread FROM rates GROUP BY rule),
+beta AS (SELECT rule, mean, least(greatest(CASE WHEN spread > 0 THEN mean * (1 - mean) / spread - 1 ELSE 2 END, 2), 1000) AS strength FROM prior),
+bad AS (SELECT host, list(rule) AS rules FROM rates JOIN beta USING (rule) WHERE (failed + mean * strength) / (n + strength) > 0.5 GROUP BY host)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repeats AS base_failed,
+  NOT (short OR repeats) AND NOT ({" OR ".join(f"({k} AND coalesce(list_contains(rules, '{k}'), false))" for k in _FAILS)}) AS kept
+FROM f LEFT JOIN bad USING (host)"""

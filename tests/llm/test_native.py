@@ -168,3 +168,17 @@ def test_pii_redact(make):
 @pytest.mark.parametrize("operator", [quality.quality_filter, pii.redact])
 def test_empty(make, operator):
     assert operator(make([])).filter(F.lit(True)).count() == 0
+
+
+def test_sql_of_queries(spark, sf_dir):
+    import duckdb
+
+    from tandem.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    for name, sql in queries.ORACLES.items():
+        want = con.execute(sql)
+        columns = [d[0] for d in want.description]
+        got = queries.QUERIES[name](spark, sf_dir).select(*columns).collect()
+        assert sorted(map(tuple, got)) == sorted(want.fetchall())
