@@ -1,13 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of passages with test items.
+"""Benchmark decontamination: rare words as seeds, then Smith-Waterman alignment of passages with test items.
 
-The test items are taken in blocks of bounded bytes; each block is compared with all documents. A document's word
-n-grams that occur in an item of the block are found where the document is read, so nothing is shuffled; only documents
-with such hits are kept. The document frequency of every hit n-gram over the whole corpus then decides which are rare: each
-item keeps the rarer half of its own n-grams as seeds. Where a seed meets a document, the item is aligned locally
-(match 2, mismatch -1, gap -1 per word) with the passage around it. The score is the best alignment over that of a
-perfect copy, so edited and paraphrased copies score below one.
+The test items are taken in blocks of bounded bytes; each block is compared with all documents where they are read, so nothing
+is shuffled. An alignment (match 2, mismatch -1, gap -1 per word) that reaches the share ``score`` of a perfect copy matches
+at least that share of the item's words. So whichever words of an item are its seeds, one of them is matched if they are more than
+the rest of the share: each item is seeded by that many of its words, those that stand in the fewest items. Where a seed
+meets a document, bounds on the score (words of the item in the document, in a run of it, and in a window as long as an alignment
+can be) leave few passages, and these are aligned. The bounds never fall below the score, so the result is what aligning
+every item with every document gives, edited and paraphrased copies included.
 
-Defined cases: null texts are empty; items with fewer words than an n-gram have no seed and never match; repeated rows of
+Defined cases: null texts are empty; items with fewer words than ``SHORTEST`` never match; repeated rows of
 documents give repeated result rows, repeated items match each for itself; empty tables give an empty result. Ids may be
 null and are carried along. Only the named columns are read.
 """
@@ -23,16 +24,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.llm.common import keep, table
-from tandem.llm.words import WordIds, grams, of_process, plain_words
+from tandem.llm.words import WordIds, of_process, plain_words
 
-GRAM = 4
+#: Fewest words of a test item that can match.
+SHORTEST = 4
 #: Share of a perfect copy's alignment score from which a passage counts as taken from the item.
 SCORE = 0.6
 #: Bytes of item text in one block; a block is sent to every executor. A longer single item makes a block of its own.
 BLOCK_BYTES = 8 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Against rounding where a bound is compared with a score.
+SLACK = 1e-6
 
-_HITS = "doc_id bigint, n_words bigint, positions array<int>, grams array<bigint>, word_ids array<bigint>"
 _FOUND = "doc_id bigint, item_id bigint, score double, start_word bigint, end_word bigint, n_seeds bigint"
 
 
@@ -62,99 +65,108 @@ def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int
     return score, j - back, j + 1
 
 
-class _Hits:
-    """Task side of the first pass: documents with at least one n-gram of the block."""
+def _lists(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows one after the other, and where each begins."""
+    return np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64), np.cumsum([0, *map(len, rows)])
 
-    def __init__(self, known: np.ndarray):
-        self.known = known
 
-    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = of_process("word-ids", WordIds)
-        sieve = np.zeros(1 << 20, bool)
-        sieve[self.known >> np.uint64(44)] = True
-        for batch in batches:
-            out: dict[str, list] = {"doc_id": [], "n_words": [], "positions": [], "grams": [], "word_ids": []}
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = memo.of(plain_words(text.as_py()))
-                keys = grams(ids, GRAM)
-                at = np.flatnonzero(sieve[keys >> np.uint64(44)])
-                if len(at):
-                    place = np.minimum(np.searchsorted(self.known, keys[at]), len(self.known) - 1)
-                    at = at[self.known[place] == keys[at]]
-                if len(at):
-                    values = (doc_id, len(ids), at.astype(np.int32), keys[at].view(np.int64), ids.view(np.int64))
-                    for column, value in zip(out, values):
-                        out[column].append(value)
-            if out["doc_id"]:
-                types = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], list(out))
+def _gather(values: np.ndarray, begins: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The chosen rows of ``_lists`` one after the other, and their sizes."""
+    sizes = begins[chosen + 1] - begins[chosen]
+    shift = np.repeat(begins[chosen] - np.cumsum(sizes) + sizes, sizes)
+    return values[np.arange(sizes.sum()) + shift], sizes
 
 
 class _Align:
-    """Task side of the second pass: alignment of the passages around rare seeds."""
-
-    def __init__(self, items: list[tuple[int | None, np.ndarray]], seeds: dict[int, list[tuple[int, int]]], score: float):
-        self.items, self.seeds, self.score = items, seeds, score
-
-    def passages(self, starts: list[int], size: int, n_words: int) -> list[tuple[int, int]]:
-        """Ranges of words around the places where the item would start, merged where they meet."""
-        slack = size // 2 + GRAM
+    """Task side: the items whose seeds a document holds are bounded, and aligned where the bounds allow a copy."""
+
+    def __init__(self, items: list[tuple[int | None, np.ndarray]], score: float):
+        self.items, self.score = items, score
+        self.known, flat = np.unique(np.concatenate([words for _, words in items]), return_inverse=True)
+        own = np.split(flat.astype(np.int64), np.cumsum([len(words) for _, words in items])[:-1])
+        self.words, self.begins = _lists(own)
+        self.needed = np.array([max(1, math.ceil(score * len(words) - SLACK)) for words in own])
+        holders = np.bincount(np.concatenate([np.unique(words) for words in own]), minlength=len(self.known))
+        of_word: list[list[int]] = [[] for _ in self.known]
+        for item, (words, needed) in enumerate(zip(own, self.needed)):
+            order = np.argsort(holders[words], kind="stable")
+            for word in np.unique(words[order[:max(0, len(words) - needed + 1)]]).tolist():
+                of_word[word].append(item)
+        self.seeds, self.seed_begins = _lists([np.array(x, np.int64) for x in of_word])
+
+    def passages(self, own: np.ndarray, at: np.ndarray, found: np.ndarray, needed: int) -> list[tuple[int, int]]:
+        """Ranges of words that may hold a copy; each possible copy lies in one of them. ``at`` and ``found`` are places and words of the document."""
+        size = len(own)
+        inside = np.isin(found, own)
+        at, found = at[inside], found[inside]
+        # Places of item words as matches and all between as differences: the best run is at least the score.
+        rise = (MATCH + 1) * np.arange(len(at)) - at
+        if not len(at) or (rise - np.minimum.accumulate(rise)).max() + MATCH < MATCH * self.score * size - SLACK:
+            return []
+        # With m matches, differences are at most MATCH * (m - score * size).
+        span = max(1, int((1 + MATCH * max(0.0, 1 - self.score)) * size + SLACK))
+        kinds, counts = np.unique(own, return_counts=True)
+        place = np.searchsorted(kinds, found)
         merged: list[list[int]] = []
-        for start in sorted(starts):
-            first, last = max(0, start - slack), min(n_words, start + size + slack)
-            if merged and first <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], last)
+        for step in np.unique(np.concatenate([at // span, np.maximum(at // span - 1, 0)])).tolist():
+            first, last = np.searchsorted(at, [step * span, (step + 2) * span])
+            if last - first < needed or np.minimum(np.bincount(place[first:last], minlength=len(kinds)), counts).sum() < needed:
+                continue
+            if merged and step * span <= merged[-1][1]:
+                merged[-1][1] = (step + 2) * span
             else:
-                merged.append([first, last])
+                merged.append([step * span, (step + 2) * span])
         return [tuple(x) for x in merged]
 
-    def document(self, positions: np.ndarray, keys: np.ndarray, ids: np.ndarray) -> Iterator[tuple]:
-        starts: dict[int, list[int]] = {}
-        for position, key in zip(positions.tolist(), keys.tolist()):
-            for item, offset in self.seeds.get(key, ()):
-                starts.setdefault(item, []).append(position - offset)
-        for item, places in starts.items():
-            item_id, words = self.items[item]
+    def document(self, ids: np.ndarray, at: np.ndarray, found: np.ndarray) -> Iterator[tuple]:
+        """``at`` are the places of words that items hold, ``found`` the numbers of these words."""
+        own = np.unique(found)
+        seeded, _ = _gather(self.seeds, self.seed_begins, own)
+        chosen = np.unique(seeded)
+        if not len(chosen):
+            return
+        present = np.zeros(len(self.known), bool)
+        present[own] = True
+        words, sizes = _gather(self.words, self.begins, chosen)
+        held = np.add.reduceat(present[words].astype(np.int64), np.cumsum(sizes) - sizes)
+        for item in chosen[held >= self.needed[chosen]].tolist():
+            item_id, text = self.items[item]
+            mine = self.words[self.begins[item]:self.begins[item + 1]]
             best = (0, 0, 0)
-            for first, last in self.passages(places, len(words), len(ids)):
-                score, start, end = smith_waterman(words, ids[first:last])
+            for first, last in self.passages(mine, at, found, self.needed[item]):
+                score, start, end = smith_waterman(text, ids[first:last])
                 if score > best[0]:
                     best = (score, first + start, first + end)
-            share = best[0] / (MATCH * len(words))
-            if share >= self.score:
-                yield item_id, share, best[1], best[2], len(places)
+            share = best[0] / (MATCH * len(text))
+            if best[0] and share >= self.score:
+                seeds, sizes = _gather(self.seeds, self.seed_begins, found)
+                yield item_id, share, best[1], best[2], int((seeds == item).sum())
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()),
                             ("start_word", pa.int64()), ("end_word", pa.int64()), ("n_seeds", pa.int64())])
+        memo = of_process("word-ids", WordIds)
+        sieve = np.zeros(1 << 20, bool)
+        sieve[self.known >> np.uint64(44)] = True
         for batch in batches:
-            found = []
-            for doc_id, positions, keys, ids in zip(*(batch.column(c) for c in ("doc_id", "positions", "grams", "word_ids"))):
-                arrays = [np.asarray(x.values) for x in (positions, keys, ids)]
-                found += [(doc_id.as_py(), *row) for row in self.document(arrays[0], arrays[1], arrays[2].view(np.uint64))]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
+            rows = []
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                ids = memo.of(plain_words(text.as_py()))
+                at = np.flatnonzero(sieve[ids >> np.uint64(44)])
+                found = np.minimum(np.searchsorted(self.known, ids[at]), len(self.known) - 1)
+                same = self.known[found] == ids[at]
+                rows += [(doc_id, *row) for row in self.document(ids, at[same], found[same])]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
 def _block(docs: DataFrame, rows: list, score: float) -> DataFrame:
     memo = WordIds()
     items = [(r["item_id"], memo.of(plain_words(r["text"]))) for r in rows]
-    own = [grams(ids, GRAM).view(np.int64) for _, ids in items]
-    known = np.unique(np.concatenate([*own, np.zeros(0, np.int64)]).view(np.uint64))
-    if not len(known):
+    items = [(item_id, words) for item_id, words in items if len(words) >= SHORTEST]
+    if not items:
         return docs.sparkSession.createDataFrame([], _FOUND)
-    hits = keep(docs.mapInArrow(_Hits(known), _HITS), "hits")
-    # One count for each n-gram of the block: bounded by the block.
-    counted = hits.select(F.explode(F.array_distinct("grams")).alias("gram")).groupBy("gram").count()
-    frequency = {r["gram"]: r["count"] for r in counted.toLocalIterator()}
-    seeds: dict[int, list[tuple[int, int]]] = {}
-    for item, keys in enumerate(own):
-        ranked = sorted(set(keys.tolist()), key=lambda g: (frequency.get(g, 0), g))
-        rare = set(ranked[:math.ceil(len(ranked) / 2)])
-        for offset, key in enumerate(keys.tolist()):
-            if key in rare:
-                seeds.setdefault(key, []).append((item, offset))
-    return hits.mapInArrow(_Align(items, seeds, score), _FOUND)
+    return docs.mapInArrow(_Align(items, score), _FOUND)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",

@@ -150,6 +150,27 @@ def test_decontaminate_edited_copies(spark, make):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontaminate_finds_what_alignment_finds(spark, make):
+    """Copies with many changed words, one of them with every fourth word changed, against brute-force alignment."""
+    draw, common = random.Random(3), words(70, 30)
+    items = {i: [draw.choice(common) if draw.random() < 0.4 else w for w in words(600 + i, 30 + i)] for i in range(24)}
+    given = []
+    for i, item in items.items():
+        for share in (0.15, 0.2, 0.25):
+            copy = [x for w in item for x in ([w] if draw.random() >= share else draw.choice([["changed"], [], [w, "put"], [draw.choice(common)]]))]
+            around = [draw.choice(common) if draw.random() < 0.4 else w for w in words(900 + len(given), 40)]
+            given.append((len(given), around[:20] + copy + around[20:]))
+        given.append((len(given), ["x" if k % 4 == 3 else w for k, w in enumerate(item)]))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id bigint, text string")
+    want = {(d, i): local_score(item, body) / (2 * len(item)) for d, body in given for i, item in items.items() if d // 4 == i or d % 4 == 0}
+    want = {k: v for k, v in want.items() if v >= decontaminate.SCORE}
+    assert len(want) > 60
+    rows = decontaminate.contaminated(make([(d, " ".join(body)) for d, body in given]), bench).collect()
+    found = {(r.doc_id, r.item_id): r.score for r in rows}
+    assert want.items() <= found.items()
+    assert all(k in want for k in found if k[0] // 4 == k[1] or k[0] % 4 == 0)
+
+
 def test_winnowing_guarantee():
     shared = words(30, passages.GRAM + passages.WINDOW - 1)
     number = lambda tokens: np.array([xxhash.xxh64_intdigest(t) for t in tokens], np.uint64)
