@@ -229,3 +229,14 @@ def test_passages_fuzzy_and_clean(make):
     assert (rows[1].start_word, rows[1].end_word) == (80, 150)
     assert abs(rows[2].start_word - 30) <= 1 and abs(rows[2].end_word - 101) <= 2
     assert passages.repeated_passages(make([])).count() == 0
+
+
+def test_passages_with_a_common_line(make):
+    """Pairs that share a passage with a line of other documents in it are found, whatever the order of keys."""
+    line, given = words(2000, 30), [(1000 + i, words(2001 + i, 40) + words(2000, 30) + words(2051 + i, 40)) for i in range(30)]
+    for i in range(40):
+        passage = words(2200 + i, 30)
+        passage[i % 30:i % 30] = line
+        given += [(2 * i + k, words(2300 + 2 * i + k, 40) + passage + words(2400 + 2 * i + k, 40)) for k in (0, 1)]
+    rows = passages.repeated_passages(make([(i, " ".join(x)) for i, x in given])).collect()
+    assert {r.doc_id for r in rows if r.start_word == 40 and r.end_word == 100} == set(range(80))
