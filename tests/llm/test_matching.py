@@ -240,3 +240,27 @@ def test_passages_with_a_common_line(make):
         given += [(2 * i + k, words(2300 + 2 * i + k, 40) + passage + words(2400 + 2 * i + k, 40)) for k in (0, 1)]
     rows = passages.repeated_passages(make([(i, " ".join(x)) for i, x in given])).collect()
     assert {r.doc_id for r in rows if r.start_word == 40 and r.end_word == 100} == set(range(80))
+
+
+def common_words(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        above, row = row, [0]
+        for j, y in enumerate(b, 1):
+            row.append(above[j - 1] + 1 if x == y else max(above[j], row[-1]))
+    return row[-1]
+
+
+@pytest.mark.parametrize("edits", [0.05, 0.1, 0.15])
+def test_passages_recall_of_edited_copies(make, edits):
+    """Of the planted copies that a brute-force alignment puts well over ``IDENTITY``, nearly all are found."""
+    draw, given, planted = random.Random(int(100 * edits)), [], []
+    for i in range(100):
+        passage = words(3000 + i, 70)
+        copy = [x for w in passage for x in ([w] if draw.random() >= edits else draw.choice([["changed"], ["other"], [], [w, "put"]]))]
+        given += [(2 * i, words(3200 + i, 40) + passage + words(3400 + i, 40)), (2 * i + 1, words(3600 + i, 40) + copy + words(3800 + i, 40))]
+        if common_words(passage, copy) >= (passages.IDENTITY + 0.03) * max(len(passage), len(copy)):
+            planted.append(i)
+    found = {r.doc_id for r in passages.repeated_passages(make([(i, " ".join(x)) for i, x in given])).collect()}
+    assert len(planted) > 50
+    assert sum(2 * i in found and 2 * i + 1 in found for i in planted) >= 0.97 * len(planted)
