@@ -264,3 +264,15 @@ def test_passages_recall_of_edited_copies(make, edits):
     found = {r.doc_id for r in passages.repeated_passages(make([(i, " ".join(x)) for i, x in given])).collect()}
     assert len(planted) > 50
     assert sum(2 * i in found and 2 * i + 1 in found for i in planted) >= 0.97 * len(planted)
+
+
+def test_passages_twice_in_one_document(make):
+    """A document that holds a passage twice has both places reported, whichever document has the smaller key."""
+    given = []
+    for i in range(16):
+        passage = words(5000 + i, 60)
+        given += [(2 * i, words(5100 + i, 30) + passage + words(5200 + i, 200) + passage + words(5300 + i, 30)), (2 * i + 1, words(5400 + i, 20) + passage)]
+    rows = passages.repeated_passages(make([(i, " ".join(x)) for i, x in given])).collect()
+    want = [(2 * i, 30) for i in range(16)] + [(2 * i, 290) for i in range(16)] + [(2 * i + 1, 20) for i in range(16)]
+    assert sorted((r.doc_id, r.start_word) for r in rows) == sorted(want)
+    assert all(r.end_word - r.start_word == 60 for r in rows)
