@@ -2,7 +2,7 @@
 
 Every text is read once: its words are counted and the places of licence words (template words that are no stop words) are
 kept. Document frequencies over all documents give each licence word its inverse frequency. A template is indexed by its
-rarest words with their positions; a file looks up its own rarest licence words. Each meeting of a file word with a template
+rarest words with their positions; a file looks up all its licence words that are indexed. Each meeting of a file word with a template
 word proposes a relative position, and the postings that agree on one position are added up by weight. A template whose share
 of weight at one position is high enough is a candidate; it is accepted if its key phrases stand at that position too.
 
@@ -25,9 +25,8 @@ from tandem.llm.license_templates import STOP_WORDS, TEMPLATES
 #: Everything in ASCII but letters and digits parts words.
 PARTING = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 PHRASES = {"apache": ("apache", "license"), "gpl": ("general", "public", "license"), "mit": ("mit", "license")}
-#: Rarest words by which a template is indexed, and rarest licence words that a file looks up.
+#: Rarest words by which a template is indexed.
 TEMPLATE_WORDS = 8
-FILE_WORDS = 16
 #: Share of a template's weight that must agree on one position.
 SHARE = 0.6
 
@@ -102,10 +101,7 @@ def template_matches(rows: DataFrame) -> DataFrame:
     by_template = Window.partitionBy("template").orderBy(F.desc("weight"), "word", "place")
     index = keep(weighted.withColumn("rank", F.row_number().over(by_template)).filter(F.col("rank") <= TEMPLATE_WORDS)
                  .withColumn("all", F.sum("weight").over(Window.partitionBy("template"))), "index")
-    own = words.select("row", "word").distinct().join(index.select("word", "weight").distinct(), "word")
-    ranked = own.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("weight"), "word")))
-    rare = ranked.filter(F.col("rank") <= FILE_WORDS).select("row", "word")
-    met = words.join(rare, ["row", "word"]).join(index, "word")
+    met = words.join(index, "word")
     votes = met.groupBy("row", "template", "label", (F.col("at") - F.col("place")).alias("shift")).agg((F.sum("weight") / F.first("all")).alias("share"))
     votes = votes.filter(F.col("share") >= SHARE).join(phrases, "template")
     whole = F.forall("needed", lambda n: F.array_contains("hits", F.struct(n["word"].alias("word"), (n["place"] + F.col("shift")).cast("int").alias("at"))))

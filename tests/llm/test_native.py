@@ -105,6 +105,16 @@ def test_license_templates(make):
     assert all(rows[i].labels == "" for i in [*prose, 501, 502, 503])
 
 
+def test_license_file_of_all_templates(make):
+    """A file that holds every notice has every label, whichever words are rare."""
+    notices = [(label, text) for label, entries in licenses.TEMPLATES.items() for text, _ in entries]
+    given = [(1, "\n\n".join(text for _, text in notices)), (2, "\n\n".join(text for _, text in reversed(notices)))]
+    given += [(10 + i, " and ".join(text for label, text in notices if label in some)) for i, some in enumerate([("apache", "mit", "bsd", "isc"), ("bsd", "isc", "mpl", "unlicense")])]
+    rows = {r.doc_id: r.labels.split(",") for r in licenses.scan(make(given)).collect()}
+    assert set(rows[1]) == set(rows[2]) == set(licenses.TEMPLATES)
+    assert {"apache", "mit", "bsd", "isc"} <= set(rows[10]) and {"bsd", "isc", "mpl", "unlicense"} <= set(rows[11])
+
+
 def test_license_edges(make):
     rows = licenses.scan(make([(1, None), (None, "MIT license"), (3, LONG), (4, "mit license"), (4, "mit license")])).collect()
     assert sorted((r.doc_id or 0, r.n_base, r.base_labels) for r in rows) == [(0, 1, "mit"), (1, 0, ""), (3, 0, ""), (4, 1, "mit"), (4, 1, "mit")]
