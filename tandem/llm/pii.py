@@ -3,7 +3,7 @@
 Base spans match fixed patterns and pass a check (parts of an address, Luhn's sum, number of digits). They seed a bootstrap:
 the words to the left of a span are its lexical pattern. Tokens that look like identifiers but are no base span are
 candidates with a pattern of their own. The graph of patterns and distinct values is scored in turns: a pattern's score is the
-mean score of its values, smoothed by one unknown value; a value's score is its best pattern's. Base values stay at one.
+mean score of its values, smoothed by one unknown value; a value's score is its best pattern's. Base values stay at one. The turns go on until the scores are settled.
 A pattern with enough distinct base values and a high score is trusted, and candidates of the matching shape behind it become
 spans as well.
 
@@ -35,13 +35,18 @@ PATTERNS = {
 _PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])?"
 #: Characters to the left of a value that make its pattern.
 CONTEXT = 48
-#: A whole token with an at sign, seven digits (whatever stands between them), or four numbers between points.
-CANDIDATE = r"(?<!\S)(?=[^\s@]*+@|(?:[^\s0-9]*+[0-9]){7}|[^\s0-9]*+[0-9]++(?:\.[0-9]++){3})\S++"
+_TOKEN = r"(?=[^\s@]*+@|(?:[^\s0-9]*+[0-9]){7}|[^\s0-9]*+[0-9]++(?:\.[0-9]++){3})\S++"
+_GROUP = r"\(?+[0-9]{1,6}+\)?+(?![0-9A-Za-z@-]|[.,][0-9])"
+#: A whole token with an at sign, seven digits (whatever stands between them), or four numbers between points; or short numbers
+#: between single spaces with seven digits together.
+CANDIDATE = rf"(?<!\S)(?:{_TOKEN}|(?=\+?+(?:[\x20()]*+[0-9]){{7}})\+?+{_GROUP}(?:\x20{_GROUP})++)"
 #: Matches whose positions are summed up together.
 BLOCK = 256
-ROUNDS = 3
+#: Scores that change by less in a turn are settled.
+EPSILON = 1e-6
+#: A settled score from base values alone is n / (n + 1), so as many values as ``SUPPORT`` reach ``TRUST``.
 SUPPORT = 3
-TRUST = 0.8
+TRUST = 0.75
 
 _SPAN = "struct<kind:string,start:bigint,end:bigint,value:string,context:string>"
 
@@ -100,7 +105,7 @@ def _looks(value: Column) -> Column:
     """Kind whose shape a token has; null if none."""
     digits = F.length(F.regexp_replace(value, "[^0-9]", ""))
     return (F.when(value.rlike("^[^@]+@[^@]+$"), "email").when(value.rlike(r"^[0-9]+(\.[0-9]+){3}$"), "ip")
-            .when(value.rlike("^[0-9-]+$") & digits.between(13, 19), "card").when(value.rlike("^[0-9().+-]+$") & digits.between(7, 15), "phone"))
+            .when(value.rlike(r"^[0-9\x20-]+$") & digits.between(13, 19), "card").when(value.rlike(r"^[0-9()\x20.+-]+$") & digits.between(7, 15), "phone"))
 
 
 def find_base(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -128,21 +133,32 @@ def find_base(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "key", "base", "candidates")
 
 
-def trusted_patterns(rows: DataFrame, *, rounds: int = ROUNDS, support: int = SUPPORT, trust: float = TRUST) -> DataFrame:
+def trusted_patterns(rows: DataFrame, *, support: int = SUPPORT, trust: float = TRUST) -> DataFrame:
     """``kind`` and ``context`` of the patterns that end trusted.
 
     Edges are distinct (pattern, value) pairs, so a value or a pattern with a third of all places is counted per pair; both
-    sums are partial before they are shuffled. Each round is written to the shared folder.
+    sums are partial before they are shuffled. Each turn is written to the shared folder.
+
+    Values that have their score from the pattern itself are solved for, not fed back: p = (rest + own * p) / (all + 1). So a
+    pattern with very many candidates settles in one turn, and turns are needed only along patterns that share values.
     """
     spans = lambda column, seed: rows.select(F.explode(column).alias("x")).select("x.kind", "x.context", F.lower("x.value").alias("value"), F.lit(seed).alias("seed"))
     edges = spans("base", 1.0).unionByName(spans("candidates", 0.0)).filter("context <> ''")
     edges = keep(edges.groupBy("kind", "context", "value").agg(F.max("seed").alias("seed")), "pattern-edges")
-    score = edges.groupBy("kind", "value").agg(F.max("seed").alias("score"))
-    for _ in range(rounds):
-        patterns = edges.join(score, ["kind", "value"]).groupBy("kind", "context").agg(
-            (F.sum("score") / (F.count(F.lit(1)) + 1.0)).alias("pattern_score"), F.sum("seed").alias("seeds"))
+    seeds = edges.groupBy("kind", "value").agg(F.max("seed").alias("score"))
+    linked = edges.select("*", F.lit(0.0).alias("pattern_score"))
+    score, own = seeds, (F.col("score") < 1) & (F.col("score") <= F.col("pattern_score"))
+    while True:
+        patterns = linked.join(score, ["kind", "value"]).groupBy("kind", "context").agg(
+            (F.sum(F.when(own, 0.0).otherwise(F.col("score"))) / (F.sum(F.when(own, 0.0).otherwise(1.0)) + 1.0)).alias("pattern_score"),
+            F.max("pattern_score").alias("before"), F.sum("seed").alias("seeds"))
         patterns = keep(patterns, "patterns")
-        score = edges.join(patterns, ["kind", "context"]).groupBy("kind", "value").agg(F.max(F.greatest("seed", "pattern_score")).alias("score"))
+        change = patterns.agg(F.max(F.abs(F.col("pattern_score") - F.col("before"))).alias("change")).first()["change"]
+        if change is None or change < EPSILON:
+            break
+        linked = edges.join(patterns.select("kind", "context", "pattern_score"), ["kind", "context"])
+        score = linked.groupBy("kind", "value").agg(F.max("pattern_score").alias("best")).join(seeds, ["kind", "value"]).select(
+            "kind", "value", F.greatest("score", "best").alias("score"))
     return patterns.filter((F.col("seeds") >= support) & (F.col("pattern_score") >= trust)).select("kind", "context")
 
 

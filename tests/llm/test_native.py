@@ -167,6 +167,17 @@ def test_pii_bootstrap(make):
     assert rows[51].spans == []
 
 
+def test_pii_scores_settle(make):
+    """Contexts with three seeds and twice as many unseen values are trusted, with two seeds not; spaced numbers count."""
+    given = [(i, f"please call my mail u{i}x@h{i}.org today") for i in range(3)] + [(10 + i, f"please call my mail someone{i}@localhost today") for i in range(6)]
+    given += [(20 + i, f"weak side mail u{i}y@h{i}.org today") for i in range(2)] + [(30 + i, f"weak side mail other{i}@localhost today") for i in range(4)]
+    given += [(40 + i, f"her own number +49 30 12345{i:02d}8 today") for i in range(4)] + [(50 + i, f"her own number 030 44 55 {i:02d} today") for i in range(8)]
+    rows = {r.doc_id: [(x["kind"], x["value"]) for x in r.spans] for r in pii.find(make(given)).collect()}
+    assert all(rows[10 + i] == [("email", f"someone{i}@localhost")] for i in range(6))
+    assert all(rows[30 + i] == [] for i in range(4))
+    assert all(rows[50 + i] == [("phone", f"030 44 55 {i:02d}")] for i in range(8))
+
+
 def test_pii_redact(make):
     docs = make([(1, "é a@b.cd, 10.0.0.1!"), (2, None), (3, ""), (None, "x@y.zz"), (4, "clean"), (4, "clean")])
     out = pii.redact(docs, count_col="n_chars")
