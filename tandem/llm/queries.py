@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tandem.llm import bitplanes, chat, decontaminate, html_text, licenses, passages, pii, quality, sentencepiece_topk, simhash
+from tandem.llm import bitplanes, chat, decontaminate, html_text, licenses, passages, pii, quality, sentencepiece_topk, simhash, topk_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bitplanes": bitplanes.op1_bitplanes,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": simhash.op8_simhash,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_sentencepiece": sentencepiece_topk.op10_sentencepiece,
+    "op11_topk": topk_search.op11_topk,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op7_quality_rules": quality.ORACLE}
+ORACLES: dict[str, str] = {"op7_quality_rules": quality.ORACLE, "op11_topk": topk_search.ORACLE}
