@@ -328,17 +328,17 @@ def top_k(vectors: DataFrame, *, k: int = K, every: int = EVERY, id_col: str = "
     group = F.shiftright("bucket", 32).alias("g")
     groups = keep(buckets.select(group, "longest").groupBy("g").agg(F.max("longest").alias("longest")), "groups")
     last = groups.agg(F.max("g")).first()[0] or 0
-    of_block = F.pmod(F.xxhash64("block"), F.lit(-(-n_blocks // edge))).alias("h")
+    of_block = F.pmod(F.xxhash64("block"), F.lit(-(-n_blocks // edge)))
     cell = _cell(k)
 
-    def search(pairs: DataFrame, starts: DataFrame | None) -> DataFrame:
-        """``pairs``: (block, g). Every named block against every bucket of the group."""
-        left = buckets.withColumn("g", group).join(pairs.select("g", of_block).distinct(), "g")
-        right = pairs.join(blocks, "block").withColumn("h", of_block)
-        right = right.join(starts.select("block", "starts"), "block") if starts is not None else right.withColumn("starts", F.lit(None).cast("binary"))
+    def search(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Buckets and blocks of the same cell (``g``, ``h``)."""
         return left.groupBy("g", "h").cogroup(right.groupBy("g", "h")).applyInArrow(cell, _FOUND)
 
-    first = keep(search(blocks.select("block", F.lit(0).cast("bigint").alias("g")), None), "first-found")
+    here = buckets.withColumn("g", group)
+    across = F.explode(F.sequence(F.lit(0), F.lit(-(-n_blocks // edge) - 1)).cast("array<bigint>")).alias("h")
+    first = keep(search(here.filter("g = 0").select("*", across),
+                        blocks.withColumn("g", F.lit(0).cast("bigint")).withColumn("h", of_block).withColumn("starts", F.lit(None).cast("binary"))), "first-found")
     homes = blocks.select("block", "n", "ids", "lengths", "refs")
     # What was found goes to the block of its query.
     refs = homes.mapInArrow(_query_names, "block bigint, ref_bucket bigint, ref_place int")
@@ -346,7 +346,8 @@ def top_k(vectors: DataFrame, *, k: int = K, every: int = EVERY, id_col: str = "
                   .applyInArrow(_starts(k), "block bigint, starts binary, reach double"), "starts")
     later = (starts.select("block", "reach", F.explode(F.sequence(F.lit(0), F.lit(last)).cast("array<bigint>")).alias("g")).filter("g > 0")
              .join(groups, "g").filter(F.col("longest") >= F.col("reach")).select("block", "g"))
-    found = first.unionByName(search(later, starts))
+    later = keep(later.withColumn("h", of_block), "cells")
+    found = first.unionByName(search(here.join(later.select(F.col("g").alias("g"), F.col("h").alias("h")).distinct(), "g"), later.join(blocks, "block").join(starts.select("block", "starts"), "block")))
     best = Window.partitionBy("ref_bucket", "ref_place").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last(), "vec_bucket", "vec_place")
     return (found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
