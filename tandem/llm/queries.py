@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tandem.llm import bitplanes, chat, decontaminate, html_text, licenses, passages, pii, quality, sentencepiece_topk, simhash, topk_search, turn_trie
+from tandem.llm import bitplanes, chat, decontaminate, html_text, licenses, passages, pii, quality, sentencepiece_topk, simhash, token_alignment, topk_search, turn_trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bitplanes": bitplanes.op1_bitplanes,
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sentencepiece": sentencepiece_topk.op10_sentencepiece,
     "op11_topk": topk_search.op11_topk,
     "op12_turn_trie": turn_trie.op12_turn_trie,
+    "op13_token_alignment": token_alignment.op13_token_alignment,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {"op7_quality_rules": quality.ORACLE, "op11_topk": topk_search.ORACLE, "op12_turn_trie": turn_trie.ORACLE}

@@ -15,7 +15,7 @@
    the bucket, whose vectors are long enough, is multiplied. Either way the integer products decide.
 5. The best k of each cell meet in a window per query.
 
-Products are exact while they fit a long; components are clipped to +-2^62, and scores beyond a long to its ends.
+Products are exact while they fit a long; components are clipped to +-2^62, and scores to +-(2^63 - 1).
 
 Defined cases: a null vector, or one with a null or non-finite component, takes no part; vectors of unequal size count as filled up
 with zeros; an empty vector scores zero with all. Repeated rows, also of one id, are candidates of each other; a null id is a
@@ -82,7 +82,7 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         if bound < limit:
             return (a.astype(kind) @ b.astype(kind).T).astype(np.int64)
     exact = a.astype(object) @ b.astype(object).T
-    return np.clip(exact, -(1 << 63), (1 << 63) - 1).astype(np.int64)
+    return np.clip(exact, 1 - (1 << 63), (1 << 63) - 1).astype(np.int64)
 
 
 def _bucketed(limit: int):
