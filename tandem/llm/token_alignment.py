@@ -1,6 +1,6 @@
 """Alignment of two tokenizers over the same bytes, and how firmly their ids belong together in the corpus.
 
-1. A text is encoded by both tokenizers, and the bytes of the tokens are spelled out. Only where both spell a space and the text
+1. A text is encoded by both tokenizers, in units that a task remembers, and the bytes of the tokens are spelled out. Only where both spell a space and the text
    do its tokens count. Their ends are two rising sequences of byte offsets.
 2. Both sequences are merged by the merge path: a binary search on each of the evenly spaced diagonals tells how many ends of either
    side lie before it, so a text (or many texts, one after the other) falls into pieces of equal work that know nothing of each
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.llm.common import keep, table
-from tandem.llm.words import of_process
+from tandem.llm.words import Memo, of_process
 
 SPACE = "▁"
 #: Bytes of text that are encoded together, ends of a merge piece, tokens and links that are worked on at a time, and links of a block.
@@ -40,6 +41,14 @@ AT_ONCE = 1 << 18
 BLOCK_LINKS = 3_000_000
 #: Groups of more links than this are counted by distinct ids.
 LARGE = 1 << 12
+#: Bytes of units whose ids a task remembers, for each side.
+REMEMBERED = 40 << 20
+#: Units that are encoded as one text, and what stands before them.
+CHUNK = 256
+FRONT = " a"
+#: A unit starts at a space or line end that follows another sign than white space. Neither tokenizer has a token across that place:
+#: A's words take no white space but one space in front, and B's pieces have no space behind another sign.
+_UNIT = re.compile(r"[ \n]\s*\S*(?:[^\S \n]\s*\S*)*")
 
 _BLOCKS = ("block bigint, doc_ids array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, n_links array<bigint>, groups_sha256 array<string>, "
            "pairs binary, holders binary, entries array<bigint>, places binary, links binary")
@@ -100,22 +109,72 @@ class Pair:
         self.a_words = Spelling({i: bytes(signs[c] for c in word) for word, i in self.a.get_vocab(with_added_tokens=False).items() if all(c in signs for c in word)})
         piece = lambda i: bytes([int(self.b.id_to_piece(i)[3:-1], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace(SPACE, " ").encode()
         self.b_words = Spelling({i: piece(i) for i in range(self.b.vocab_size()) if not self.b.is_control(i) and not self.b.is_unknown(i)})
+        self.lone = [self.b.piece_to_id(SPACE)]
+        self.front = tuple(len(x[0]) for x in self._ids([FRONT]))
         size = max(len(self.a_words.lengths), len(self.b_words.lengths))
         decimal = [str(i).encode() for i in range(size)]
         self.n_digits = np.array([len(d) for d in decimal], np.int64)
         self.digits = np.frombuffer(b"".join(d.ljust(8) for d in decimal), np.uint8).reshape(size, 8)
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids of both sides; none for a text that is not spelled by both."""
-        none, out = np.zeros(0, np.int32), []
-        encoded = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        for text, a, b in zip(texts, encoded, self.b.encode(texts, num_threads=1)):
-            a, b = np.array(a.ids, np.int32), np.array(b, np.int32)
-            raw = np.frombuffer((" " + text).encode(), np.uint8)
-            sound = bool(text) and a.max(initial=0) < len(self.a_words.lengths) and self.a_words.spells(a, raw) and self.b_words.spells(b, raw)
-            out.append((a, b) if sound else (none, none))
+    def _ids(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of both sides of texts that start with a space. B puts one in front by itself, but not before nothing."""
+        a = [np.array(e.ids, np.int32) for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        b = [np.array(ids or self.lone, np.int32) for ids in self.b.encode([t[1:] for t in texts], num_threads=1)]
+        return a, b
+
+    def _whole(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Ids of both sides of texts that start with a space; none where they do not spell the bytes."""
+        raw = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+        return [(a.tobytes(), b.tobytes()) if self.a_words.spells(a, r) and self.b_words.spells(b, r) else None for a, b, r in zip(*self._ids(texts), raw)]
+
+    def _alone(self, units: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Ids of units, each by itself. A unit that starts with a line end gets a front that is cut off again."""
+        skip = [(0, 0) if u[0] == " " else self.front for u in units]
+        whole = self._whole([u if u[0] == " " else FRONT + u for u in units])
+        return [(found[0][4 * i:], found[1][4 * j:]) if found else None for found, (i, j) in zip(whole, skip)]
+
+    def _units(self, units: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Ids of units. A few hundred are encoded as one text and cut at their ends, as no token crosses these."""
+        out: list[tuple[bytes, bytes] | None] = []
+        chunks = [units[i:i + CHUNK] for i in range(0, len(units), CHUNK)]
+        for chunk, a, b in zip(chunks, *self._ids([FRONT + "".join(c) for c in chunks])):
+            raw = [u.encode() for u in chunk]
+            cuts = np.cumsum([len(FRONT), *map(len, raw)])
+            whole = np.frombuffer(b"".join([FRONT.encode(), *raw]), np.uint8)
+            a_ends, b_ends = self.a_words.ends(a), self.b_words.ends(b)
+            i, j = np.searchsorted(a_ends, cuts), np.searchsorted(b_ends, cuts)
+            if not (self.a_words.spells(a, whole) and self.b_words.spells(b, whole)):
+                out.extend(self._alone(chunk))  # some unit is not spelled
+                continue
+            a, b, i, j = a.tobytes(), b.tobytes(), (4 * i + 4).tolist(), (4 * j + 4).tolist()
+            out.extend(zip([a[x:y] for x, y in zip(i, i[1:])], [b[x:y] for x, y in zip(j, j[1:])]))
         return out
 
+    def encode(self, texts: list[str], known: tuple[Memo, Memo] | None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of both sides; none for a text that is not spelled by both. With ``known``, unit by unit."""
+        none, spaced = np.zeros(0, np.int32), [" " + t for t in texts]
+        if known is None:
+            pairs = [p if t else None for t, p in zip(texts, self._whole(spaced))]
+        else:
+            of_a, of_b = known
+            units = [_UNIT.findall(t) if t != " " else None for t in spaced]
+            if of_a.full() or of_b.full():
+                of_a.clear()
+                of_b.clear()
+            new = list(set().union(*(u for u in units if u)).difference(of_a))
+            # What ends with white space would grow together with the next one, and is the end of its text.
+            ends = [u for u in new if u[-1].isspace()]
+            for part, encode in ((ends, self._alone), ([u for u in new if not u[-1].isspace()], self._units)):
+                for first, last in _slices(np.fromiter(map(len, part), np.int64, len(part)), ENCODED):
+                    found = encode(part[first:last])
+                    of_a.learn(part[first:last], [p[0] if p else b"" for p in found])
+                    of_b.learn(part[first:last], [p[1] if p else b"" for p in found])
+            pairs = []
+            for own in units:
+                a, b = ([m[u] for u in own] for m in (of_a, of_b)) if own else ([b""], [b""])
+                pairs.append((b"".join(a), b"".join(b)) if all(a) else None)  # a unit has a token, if it is spelled
+        return [(np.frombuffer(p[0], np.int32), np.frombuffer(p[1], np.int32)) if p else (none, none) for p in pairs]
+
 
 def merge_path(a: np.ndarray, b: np.ndarray, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
     """How many elements of either rising sequence lie before each diagonal; equal ones of ``a`` come first. With both ends."""
@@ -226,8 +285,8 @@ class _Block:
         self.rows: list[tuple] = []
         self.docs, self.pairs, self.links, self.size = [], [], [], 0
 
-    def add(self, pair: Pair, ids: list, texts: list[str], piece: int) -> None:
-        both = pair.encode(texts)
+    def add(self, pair: Pair, known: tuple[Memo, Memo] | None, ids: list, texts: list[str], piece: int) -> None:
+        both = pair.encode(texts, known)
         a, b = (np.concatenate([x[side] for x in both]) for side in (0, 1))
         # One text after the other: as all of a text is spelled by both sides, its end is the end of a group.
         a_cuts, b_cuts = groups(pair.a_words.ends(a), pair.b_words.ends(b), piece)
@@ -273,9 +332,10 @@ class _Block:
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in row], [c.split()[0] for c in _BLOCKS.split(", ")])
 
 
-def _aligner(a_path: str, b_path: str, piece: int, block_links: int):
+def _aligner(a_path: str, b_path: str, piece: int, block_links: int, by_unit: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = of_process(f"pair {a_path} {b_path}", lambda: Pair(a_path, b_path))
+        known = (Memo(REMEMBERED), Memo(REMEMBERED)) if by_unit else None
         block, number, ids, texts, held, part = _Block(), 0, [], [], 0, 0
         for batch in batches:
             part = batch.column("part")[0].as_py() if batch.num_rows else part
@@ -284,13 +344,13 @@ def _aligner(a_path: str, b_path: str, piece: int, block_links: int):
                 texts.append(text.as_py())
                 held += len(texts[-1]) + 16
                 if held >= ENCODED:
-                    block.add(pair, ids, texts, piece)
+                    block.add(pair, known, ids, texts, piece)
                     ids, texts, held = [], [], 0
                     if block.size >= block_links:
                         yield block.row((part << 32) + number)
                         block, number = _Block(), number + 1
         if ids:
-            block.add(pair, ids, texts, piece)
+            block.add(pair, known, ids, texts, piece)
         if block.rows:
             yield block.row((part << 32) + number)
 
@@ -323,12 +383,12 @@ def _sums(blocks: pa.Table, counts: pa.Table) -> pa.Table:
     return pa.Table.from_batches(out, pa.schema(list(zip(names, types))))
 
 
-def align_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizers: tuple[str, str] | None = None, piece: int = PIECE,
-                 block_links: int = BLOCK_LINKS) -> DataFrame:
-    """Per document: ``doc_id``, ``n_a``, ``n_b``, ``n_groups``, ``n_links``, ``n_best``, ``count_sum``, ``groups_sha256``."""
+def align_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizers: tuple[str, str] | None = None,
+                 by_unit: bool = True, piece: int = PIECE, block_links: int = BLOCK_LINKS) -> DataFrame:
+    """``by_unit`` must be off for tokenizers of another kind; whole texts are encoded at once then. Per document: ``doc_id``, ``n_a``, ``n_b``, ``n_groups``, ``n_links``, ``n_best``, ``count_sum``, ``groups_sha256``."""
     a_path, b_path = tokenizers or default_tokenizers()
     rows = docs.select(F.spark_partition_id().alias("part"), F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    blocks = keep(rows.mapInArrow(_aligner(a_path, b_path, piece, block_links), _BLOCKS), "aligned-blocks")
+    blocks = keep(rows.mapInArrow(_aligner(a_path, b_path, piece, block_links, by_unit), _BLOCKS), "aligned-blocks")
     held = blocks.select("block", "pairs", "holders").mapInArrow(_pairs, "block bigint, pair bigint, holders bigint")
     counts = keep(held.groupBy("pair").agg(F.sum("holders").alias("count")), "pair-counts")
     # One row per id of A's vocabulary at most.

@@ -25,6 +25,31 @@ def of_process(name: str, make: Callable[[], object]) -> object:
     return kept[name]
 
 
+class Memo(dict):
+    """What a task remembers, up to about ``limit`` bytes; beyond that it is emptied, which changes no result.
+
+    Sizes are those of keys and values with what Python needs to hold them, so a few very long keys count for what they are.
+    """
+
+    OVERHEAD = 240
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.held = limit, 0
+
+    def learn(self, keys: list, values: list) -> None:
+        """Add the pairs of two lists of texts or bytes."""
+        self.held += sum(map(len, keys)) + sum(map(len, values)) + self.OVERHEAD * len(keys)
+        self.update(zip(keys, values))
+
+    def full(self) -> bool:
+        return self.held > self.limit
+
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0
+
+
 class WordIds(dict):
     """64-bit id of a word, remembered; the memory is emptied at ``limit`` words, which changes no id."""
 

@@ -195,7 +195,7 @@ def test_token_alignment_equals_brute_force(spark, texts):
              (None, "same same"), (20_007, "漢" * 300 + "𝒳😀" * 200), (20_008, "\n" * 400), (20_009, " " * 401 + "z")]
     frame = spark.createDataFrame([(i, t, 1, "p") for i, t in rows], "doc_id bigint, text string, block bigint, pair string")
     want = _aligned(rows)
-    for settings in ({}, {"piece": 7, "block_links": 500}):
+    for settings in ({}, {"piece": 7, "block_links": 500, "by_unit": False}):
         found = token_alignment.align_tokens(frame, **settings).select(*_ALIGNED)
         assert sorted(map(tuple, found.collect()), key=repr) == want
 
@@ -234,3 +234,16 @@ def test_large_groups_are_counted_by_distinct_ids(monkeypatch):
     monkeypatch.setattr(token_alignment, "LARGE", 100)
     monkeypatch.setattr(token_alignment, "AT_ONCE", 10)
     assert total() == plain and sum(plain.values()) == 5 * 30 + 35 + 20 * 29
+
+
+def test_units_give_the_ids_of_whole_texts(texts):
+    pair = token_alignment.Pair(*token_alignment.default_tokenizers())
+    assert not any(" " in pair.b.id_to_piece(i)[1:].lstrip("▁").replace("▁", " ") for i in range(pair.b.vocab_size()))
+    rng = random.Random(8)
+    signs = ["a", "b", "the", " ", "  ", "\n", "\t", "\r\n", "\xa0", "\u3000", "\u2028", "\x1c", "\x85", "'s", "'", "1", "22", "ü", "漢", "😀", "_", "-", ".", "▁", "\x00", "<s>"]
+    rows = ["".join(rng.choice(signs) for _ in range(rng.randrange(0, 14))) for _ in range(6000)] + list(texts.values())
+    known = (token_alignment.Memo(1 << 16), token_alignment.Memo(1 << 16))
+    for first in range(0, len(rows), 500):
+        part = rows[first:first + 500]
+        for text, one, all_ in zip(part, pair.encode(part, known), pair.encode(part, None)):
+            assert one[0].tolist() == all_[0].tolist() and one[1].tolist() == all_[1].tolist(), repr(text)
