@@ -29,14 +29,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tandem.llm.common import table
-from tandem.llm.words import LOWER, of_process
+from tandem.llm.words import LOWER, Memo, give_back, of_process
 from tandem.session import new_folder
 
 BLOCK_IDS = 1 << 16
 SEGMENT_IDS = 1 << 18
 END_ID = 1
-#: Distinct pieces of text whose ids a task remembers; forgetting changes no id.
-REMEMBERED = 600_000
+#: Bytes of pieces and their ids that a task remembers; forgetting changes no id. All are forgotten at its end.
+REMEMBERED = 128 << 20
+#: Pieces that are encoded as one text and told apart by the places of their ids.
+TOGETHER = 256
 
 _SEGMENTS = ("shard int, segment int, doc_ids array<bigint>, lengths array<bigint>, n_ids bigint, block_ids int, planes string, "
              "widths array<int>, plane_ends array<bigint>, payload binary")
@@ -114,11 +116,25 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_piece = Tokenizer.from_file(path), by_piece
-        self.known: dict[bytes, bytes] = {}
+        self.known = Memo(REMEMBERED)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pieces, many at a time; those that may hold a special token each by itself."""
+        texts = [x.decode("utf-8", "surrogatepass") for x in pieces]
+        if any("<|" in t for t in texts):
+            return self._encode(texts)
+        out: list[bytes] = []
+        parts = [texts[i:i + TOGETHER] for i in range(0, len(texts), TOGETHER)]
+        for part, e in zip(parts, self.tokenizer.encode_batch([" ".join(p) for p in parts], add_special_tokens=False)):
+            places = np.fromiter((at for at, _ in e.offsets), np.int64, len(e.ids))
+            cuts = (4 * np.searchsorted(places, np.cumsum([0, *(len(x) + 1 for x in part)]))).tolist()
+            ids = array("I", e.ids).tobytes()
+            out.extend([ids[a:b] for a, b in zip(cuts, cuts[1:])])
+        return out
+
     @staticmethod
     def pieces(text: str) -> list[bytes]:
         raw = text.encode("utf-8", "surrogatepass")
@@ -133,12 +149,16 @@ class PieceEncoder:
         pieces = [self.pieces(x) for x in texts]
         known = self.known
         new = list(set().union(*pieces).difference(known))
-        if len(known) + len(new) > REMEMBERED:
+        if known.full():
             known.clear()
             new = list(set().union(*pieces))
-        for first in range(0, len(new), 1 << 16):
-            part = new[first:first + (1 << 16)]
-            known.update(zip(part, self._encode([x.decode("utf-8", "surrogatepass") for x in part])))
+        special = [x for x in new if b"<|" in x]
+        if special:
+            new = list(set(new).difference(special))
+        for some in (special, new):
+            for first in range(0, len(some), 1 << 14):
+                part = some[first:first + (1 << 14)]
+                known.learn(part, self._encode_pieces(part))
         return [b"".join(map(known.__getitem__, x)) for x in pieces]
 
 
@@ -170,6 +190,8 @@ def _writer(encoder: Callable[[], Callable[[list[str]], list[bytes]]], block_ids
                         docs, ids, held, segment = [], [], 0, segment + 1
         if docs:
             yield close()
+        getattr(encode, "known", {}).clear()
+        give_back()
 
     return write
 

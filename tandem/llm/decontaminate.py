@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.llm.common import keep, table
-from tandem.llm.words import WordIds, of_process, plain_words
+from tandem.llm.words import WordIds, plain_words
 
 #: Fewest words of a test item that can match.
 SHORTEST = 4
@@ -145,7 +145,7 @@ class _Align:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()),
                             ("start_word", pa.int64()), ("end_word", pa.int64()), ("n_seeds", pa.int64())])
-        memo = of_process("word-ids", WordIds)
+        memo = WordIds()
         sieve = np.zeros(1 << 20, bool)
         sieve[self.known >> np.uint64(44)] = True
         for batch in batches:

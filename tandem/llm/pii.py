@@ -42,6 +42,8 @@ _GROUP = r"\(?+[0-9]{1,6}+\)?+(?![0-9A-Za-z@-]|[.,][0-9])"
 CANDIDATE = rf"(?<!\S)(?:{_TOKEN}|(?=\+?+(?:[\x20()]*+[0-9]){{7}})\+?+{_GROUP}(?:\x20{_GROUP})++)"
 #: Matches whose positions are summed up together.
 BLOCK = 256
+#: Signs of a chunk of text from which redacted pieces are cut.
+CHUNK = 256
 #: Scores that change by less in a turn are settled.
 EPSILON = 1e-6
 #: A settled score from base values alone is n / (n + 1), so as many values as ``SUPPORT`` reach ``TRUST``.
@@ -101,6 +103,18 @@ def _valid_matches(kind: str) -> Column:
     return F.filter(_matches(kind, f"cut_{kind}"), lambda x: _valid(kind, x["value"]))
 
 
+def _last_before(spans: Column, values: Column) -> Column:
+    """For each of ``values`` (which do not fall) the last of ``spans`` (in order) that starts before it; null if none.
+
+    Both are put in one order; a value's place there, less its place among the values, is the number of spans before it.
+    """
+    joint = F.sort_array(F.concat(
+        F.transform(values, lambda v, i: F.struct(v.cast("bigint").alias("at"), F.lit(0).alias("flag"), i.cast("int").alias("i"))),
+        F.transform(spans, lambda s: F.struct(s["start"].cast("bigint").alias("at"), F.lit(1).alias("flag"), F.lit(0).alias("i")))))
+    places = F.filter(F.transform(joint, lambda x, j: F.struct(x["flag"].alias("flag"), (j - x["i"]).alias("before"))), lambda x: x["flag"] == 0)
+    return F.transform(places, lambda x: F.when(x["before"] > 0, F.get(spans, x["before"] - 1)))
+
+
 def _looks(value: Column) -> Column:
     """Kind whose shape a token has; null if none."""
     digits = F.length(F.regexp_replace(value, "[^0-9]", ""))
@@ -118,7 +132,8 @@ def find_base(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     uncut = F.array().cast("array<struct<piece:string,value:string>>")
     # The matches are columns of their own, used below many times and computed once.
     rows = rows.select("*", *[F.coalesce(c, uncut).alias(f"cut_{k}") for k, c in cut.items()])
-    rows = rows.select("*", F.concat(*[_valid_matches(k) for k in KINDS]).alias("base"))
+    rows = rows.select("*", *[_valid_matches(k).alias(f"base_{k}") for k in KINDS])
+    rows = rows.withColumn("base", F.concat(*[f"base_{k}" for k in KINDS]))
     # A token may carry quotes and its own key (name=value): the key is context, the core is the value.
     split_token = lambda x: F.struct(
         F.regexp_extract(x["value"], "^([A-Za-z_]+[=:]+)?[^A-Za-z0-9+(]*", 0).alias("head"), x.alias("span"))
@@ -127,9 +142,14 @@ def find_base(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         _looks(core(x)).alias("kind"), (x["span"]["start"] + F.length(x["head"])).alias("start"),
         (x["span"]["start"] + F.length(x["head"]) + F.length(core(x))).alias("end"), core(x).alias("value"),
         F.when(x["head"].rlike("[A-Za-z]"), F.lower(x["head"])).otherwise(x["span"]["context"]).alias("context"))
-    tokens = F.transform(F.transform(_matches("token", "cut_token"), split_token), trimmed)
-    apart = lambda x: x["kind"].isNotNull() & ~F.exists("base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
-    rows = rows.withColumn("candidates", F.filter(tokens, apart))
+    rows = rows.withColumn("tokens", F.filter(F.transform(F.transform(_matches("token", "cut_token"), split_token), trimmed), lambda x: x["kind"].isNotNull()))
+    # Spans of one kind do not overlap, so of those that start before a token's end only the last one can reach into it.
+    both = lambda k: (F.size("tokens") > 0) & (F.size(f"base_{k}") > 0)
+    near = lambda k: F.when(both(k), _last_before(F.col(f"base_{k}"), F.transform("tokens", lambda x: x["end"])))
+    rows = rows.select("*", *[near(k).alias(f"near_{k}") for k in KINDS])
+    reaches = lambda k, x, i: F.coalesce(F.get(F.col(f"near_{k}"), i)["end"] > x["start"], F.lit(False))
+    apart = lambda x, i: ~(reaches("email", x, i) | reaches("ip", x, i) | reaches("card", x, i) | reaches("phone", x, i))
+    rows = rows.withColumn("candidates", F.filter("tokens", apart))
     return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "key", "base", "candidates")
 
 
@@ -174,6 +194,32 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.join(more, "row", "left").select("doc_id", "key", sort(F.col("base")).alias("base"), sort(F.concat("base", F.coalesce("more", none))).alias("spans"))
 
 
+def _merged(spans: DataFrame) -> DataFrame:
+    """``key`` and ``merged``: sorted spans, those that overlap as one, named by the first."""
+    of_kind = lambda k: F.filter("spans", lambda x: x["kind"] == k)
+    starts = F.transform("spans", lambda x: x["start"])
+    rows = spans.select("*", *[of_kind(k).alias(f"of_{k}") for k in KINDS])
+    # The last span of each kind that starts before a span; spans of one kind do not overlap, so no earlier one reaches further.
+    rows = rows.select("*", *[F.when(F.size(f"of_{k}") > 0, _last_before(F.col(f"of_{k}"), starts)).alias(f"near_{k}") for k in KINDS])
+    covers = lambda k, x, i: F.coalesce(F.get(F.col(f"near_{k}"), i)["end"] > x["start"], F.lit(False))
+    same = lambda x, i: F.coalesce(F.get("spans", i - 1)["start"] == x["start"], F.lit(False))
+    marked = F.transform("spans", lambda x, i: F.when(~(same(x, i) | covers("email", x, i) | covers("ip", x, i) | covers("card", x, i) | covers("phone", x, i)), i))
+    rows = rows.withColumn("heads", F.array_compact(marked))
+    size = lambda h, j: F.coalesce(F.get("heads", j + 1), F.size("spans")) - h
+    return rows.select("key", F.transform("heads", lambda h, j: F.struct(
+        F.get("spans", h)["start"].alias("start"), F.array_max(F.transform(F.slice("spans", h + 1, size(h, j)), lambda x: x["end"])).alias("end"),
+        F.get("spans", h)["kind"].alias("kind"))).alias("merged"))
+
+
+def _piece(start: Column, end: Column) -> Column:
+    """Signs ``start`` to ``end`` of the text, from its chunks, so that no text is read from its beginning for each piece."""
+    first, last = F.floor(start / CHUNK).cast("int"), F.floor(end / CHUNK).cast("int")
+    inside = lambda c, a, n: F.coalesce(F.substring(F.get("chunks", c), (a % CHUNK + 1).cast("int"), n), F.lit(""))
+    return (F.when(start >= end, "").when(first == last, inside(first, start, (end - start).cast("int")))
+            .otherwise(F.concat(inside(first, start, F.lit(CHUNK)), F.array_join(F.slice("chunks", first + 2, last - first - 1), ""),
+                                inside(last, F.lit(0).cast("bigint"), (end % CHUNK).cast("int")))))
+
+
 def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets; overlapping spans become one, named by the first.
 
@@ -184,13 +230,13 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", c
         "spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))).alias("spans"))
     spans = keep(spans.dropDuplicates(["key"]), "spans")
     body = F.col("doc")[text_col]
-    cut = lambda acc, x: F.when(x["start"] < acc["at"], F.struct(acc["out"].alias("out"), F.greatest(acc["at"], x["end"]).alias("at"))).otherwise(F.struct(
-        F.concat(acc["out"], F.substring(body, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), F.lit("<"), F.upper(x["kind"]), F.lit(">")).alias("out"),
-        x["end"].alias("at")))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
-    clean = F.aggregate("spans", start, cut, lambda acc: F.concat(acc["out"], F.substring(body, (acc["at"] + 1).cast("int"), F.length(body))))
+    spans = _merged(spans)
     met = docs.select(F.struct("*").alias("doc")).join(spans, key == F.col("key"), "left")
-    met = met.withColumn("clean", F.when(F.col("spans").isNull(), body).otherwise(clean))
+    met = met.withColumn("chunks", F.when(F.col("merged").isNotNull(), F.regexp_extract_all(body, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))))
+    end_of = lambda i: F.coalesce(F.get("merged", i)["end"], F.lit(0).cast("bigint"))
+    pieces = F.transform("merged", lambda x, i: F.concat(_piece(end_of(i - 1), x["start"]), F.lit("<"), F.upper(x["kind"]), F.lit(">")))
+    clean = F.concat(F.array_join(pieces, ""), _piece(end_of(F.size("merged") - 1), F.length(body).cast("bigint")))
+    met = met.withColumn("clean", F.when(F.col("merged").isNull(), body).otherwise(clean))
     columns = {text_col: F.col("clean"), **({count_col: F.length("clean").cast("bigint")} if count_col else {})}
     return met.select(*[columns.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])
 

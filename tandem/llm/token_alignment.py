@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.llm.common import keep, table
-from tandem.llm.words import Memo, of_process
+from tandem.llm.words import Memo, give_back, of_process
 
 SPACE = "▁"
 #: Bytes of text that are encoded together, ends of a merge piece, tokens and links that are worked on at a time, and links of a block.
@@ -353,6 +353,8 @@ def _aligner(a_path: str, b_path: str, piece: int, block_links: int, by_unit: bo
             block.add(pair, known, ids, texts, piece)
         if block.rows:
             yield block.row((part << 32) + number)
+        del block, known
+        give_back()
 
     return run
 

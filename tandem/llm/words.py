@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Callable
@@ -18,13 +20,21 @@ BASE = 0x9E3779B97F4A7C15
 
 
 def of_process(name: str, make: Callable[[], object]) -> object:
-    """An object that a worker process makes once and keeps from task to task; only for what depends on ``name`` alone."""
+    """An object that a worker process makes once and keeps from task to task; only for what depends on ``name`` alone and does not grow."""
     kept = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker")).__dict__
     if name not in kept:
         kept[name] = make()
     return kept[name]
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system at a task's end, so that an idle worker holds no more than its models."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 class Memo(dict):
     """What a task remembers, up to about ``limit`` bytes; beyond that it is emptied, which changes no result.
 
