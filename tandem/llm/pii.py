@@ -115,6 +115,11 @@ def _last_before(spans: Column, values: Column) -> Column:
     return F.transform(places, lambda x: F.when(x["before"] > 0, F.get(spans, x["before"] - 1)))
 
 
+def _reaches(near: Column, x: Column, i: Column) -> Column:
+    """Does the i-th of ``near`` reach into span ``x``? Names the column twice, which keeps the optimizer from working it out for every element."""
+    return near.isNotNull() & F.coalesce(F.get(near, i)["end"] > x["start"], F.lit(False))
+
+
 def _looks(value: Column) -> Column:
     """Kind whose shape a token has; null if none."""
     digits = F.length(F.regexp_replace(value, "[^0-9]", ""))
@@ -147,7 +152,7 @@ def find_base(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     both = lambda k: (F.size("tokens") > 0) & (F.size(f"base_{k}") > 0)
     near = lambda k: F.when(both(k), _last_before(F.col(f"base_{k}"), F.transform("tokens", lambda x: x["end"])))
     rows = rows.select("*", *[near(k).alias(f"near_{k}") for k in KINDS])
-    reaches = lambda k, x, i: F.coalesce(F.get(F.col(f"near_{k}"), i)["end"] > x["start"], F.lit(False))
+    reaches = lambda k, x, i: _reaches(F.col(f"near_{k}"), x, i)
     apart = lambda x, i: ~(reaches("email", x, i) | reaches("ip", x, i) | reaches("card", x, i) | reaches("phone", x, i))
     rows = rows.withColumn("candidates", F.filter("tokens", apart))
     return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "key", "base", "candidates")
@@ -201,7 +206,7 @@ def _merged(spans: DataFrame) -> DataFrame:
     rows = spans.select("*", *[of_kind(k).alias(f"of_{k}") for k in KINDS])
     # The last span of each kind that starts before a span; spans of one kind do not overlap, so no earlier one reaches further.
     rows = rows.select("*", *[F.when(F.size(f"of_{k}") > 0, _last_before(F.col(f"of_{k}"), starts)).alias(f"near_{k}") for k in KINDS])
-    covers = lambda k, x, i: F.coalesce(F.get(F.col(f"near_{k}"), i)["end"] > x["start"], F.lit(False))
+    covers = lambda k, x, i: _reaches(F.col(f"near_{k}"), x, i)
     same = lambda x, i: F.coalesce(F.get("spans", i - 1)["start"] == x["start"], F.lit(False))
     marked = F.transform("spans", lambda x, i: F.when(~(same(x, i) | covers("email", x, i) | covers("ip", x, i) | covers("card", x, i) | covers("phone", x, i)), i))
     rows = rows.withColumn("heads", F.array_compact(marked))
