@@ -1,6 +1,7 @@
 """References, lineage, hashes and plans over definition documents; reachability."""
 
 import base64
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -141,3 +142,43 @@ def test_reach_with_cycles_and_a_hub(spark):
 
 def test_checkpoints_go_to_the_shared_folder(spark):
     assert "Scan ExistingRDD" in materialize(spark.range(3))._jdf.queryExecution().executedPlan().toString()
+
+
+def _reachable(edges):
+    out = {}
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            out.setdefault(a, set()).add(b)
+    found = {}
+    for start in {x for e in edges for x in e if x is not None}:
+        seen, todo = set(), list(out.get(start, ()))
+        while todo:
+            node = todo.pop()
+            if node not in seen:
+                seen.add(node)
+                todo.extend(out.get(node, ()))
+        found[start] = seen - {start}
+    return found
+
+
+@pytest.mark.parametrize("local_nodes, block", [(4096, 1024), (3, 4)])
+def test_reachability_of_random_graphs(spark, local_nodes, block):
+    """Cycles, loops, nulls, repeats, many small components; the second setting sends nearly all through blocks."""
+    rng = random.Random(7)
+    edges = [(f"a{rng.randrange(14)}", f"a{rng.randrange(14)}") for _ in range(20)] + [(f"b{i}", f"b{rng.randrange(i)}") for i in range(1, 12)]
+    edges += [(f"c{i}", f"c{i % 2}x") for i in range(6)] + [("d", "d"), ("e", None), (None, "e"), *edges[:3]]
+    want = _reachable(edges)
+    frame = spark.createDataFrame(edges, "upstream string, downstream string")
+    got = {r.node: r.downstream for r in graph.blast_radius(frame, local_nodes=local_nodes, block=block).collect() if r.node is not None}
+    assert got == {k: len(v) for k, v in want.items()}
+    pairs = graph.transitive_members(frame.toDF("group_id", "member_id"), local_nodes=local_nodes, block=block).collect()
+    assert len(pairs) == len(set(pairs)) and {tuple(p) for p in pairs} == {(k, x) for k, v in want.items() for x in v}
+
+
+def test_reachability_of_a_long_chain_and_a_long_cycle(spark):
+    """Five thousand nodes in a row, and as many in a ring, take rounds by the logarithm of the length."""
+    n = 5000
+    edges = [(i, i + 1) for i in range(n - 1)] + [(n + i, n + (i + 1) % n) for i in range(n)]
+    frame = spark.createDataFrame(edges, "upstream bigint, downstream bigint")
+    got = {r.node: r.downstream for r in graph.blast_radius(frame, max_rounds=16).collect()}
+    assert got == {i: n - 1 - i for i in range(n)} | {n + i: n - 1 for i in range(n)}
