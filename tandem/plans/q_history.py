@@ -10,6 +10,7 @@ from tandem.operators import freshness as fr
 from tandem.operators import replicate as rep
 from tandem.operators import status as st
 from tandem.plans.registry import query
+from tandem.session import new_folder
 from tandem.sources import commit_log, listing
 
 _FRESH = """
@@ -87,6 +88,62 @@ def log_new_files(f):
     return rep.new_files(_log(f), f["f3_state"])
 
 
+#: Actions of the logs: every fourth file is removed three versions after it was added, every ninth comes back two versions later.
+_ACTIONS = """
+acts AS (SELECT pair_id, table_key, version, 'add' AS op, 'part-' || cast(file_id AS VARCHAR) AS path FROM f3_p
+  UNION ALL SELECT pair_id, table_key, version + 3, 'remove', 'part-' || cast(file_id AS VARCHAR) FROM f3_p WHERE file_id % 4 = 0
+  UNION ALL SELECT pair_id, table_key, version + 5, 'add', 'part-' || cast(file_id AS VARCHAR) FROM f3_p WHERE file_id % 36 = 0)"""
+
+
+def _actions(f):
+    rows = f["f3_p"].select("pair_id", "table_key", F.col("version").cast("bigint").alias("version"), "file_id",
+                            F.concat(F.lit("part-"), F.col("file_id").cast("string")).alias("path"), F.lit(1).cast("bigint").alias("size"))
+    later = lambda every, by, op: rows.filter(F.col("file_id") % every == 0).select("pair_id", "table_key", (F.col("version") + by).alias("version"), F.lit(op).alias("op"), "path", "size")
+    return rows.select("pair_id", "table_key", "version", F.lit("add").alias("op"), "path", "size").unionByName(later(4, 3, "remove")).unionByName(later(36, 5, "add"))
+
+
+def _exported(f):
+    """The actions, written to the shared folder and read back."""
+    actions, root = _actions(f), new_folder(f.spark, "commit-logs")
+    commit_log.write_export(actions, root)
+    return commit_log.read_export(f.spark, root, pair_type=actions.schema["pair_id"].dataType.simpleString())
+
+
+@query("log_replay", f"""
+WITH {_ACTIONS}, top_of AS (SELECT pair_id, table_key, max(version) - 2 AS v FROM f3_p GROUP BY 1, 2)
+SELECT pair_id, table_key, path FROM acts JOIN top_of USING (pair_id, table_key) WHERE version <= v
+GROUP BY 1, 2, 3 HAVING max_by(op, version * 2 + (op = 'add')::INT) = 'add'""")
+def log_replay(f):
+    actions = _exported(f)
+    top = f["f3_p"].groupBy("pair_id", "table_key").agg(F.max("version").cast("bigint").alias("top"))
+    half = top.select("pair_id", "table_key", F.floor(F.col("top") / 2).cast("bigint").alias("version"))
+    # A checkpoint half way, and one beyond the version that is asked for.
+    root = new_folder(f.spark, "checkpoints")
+    kind = actions.schema["pair_id"].dataType.simpleString()
+    commit_log.write_checkpoint(commit_log.active_files(actions, half), half, f"{root}/half")
+    late = top.select("pair_id", "table_key", F.col("top").alias("version"))
+    commit_log.write_checkpoint(commit_log.active_files(actions, late), late, f"{root}/late")
+    saved = commit_log.read_checkpoint(f.spark, f"{root}/half", pair_type=kind).unionByName(commit_log.read_checkpoint(f.spark, f"{root}/late", pair_type=kind))
+    at = top.select("pair_id", "table_key", (F.col("top") - 2).alias("version"))
+    return commit_log.active_files(actions, at, saved).select("pair_id", "table_key", "path")
+
+
+@query("log_copy_plan", f"""
+WITH {_ACTIONS}, bad AS (SELECT DISTINCT pair_id, table_key FROM f3_p JOIN f3_state USING (pair_id, table_key) WHERE version > last_version AND file_id % 997 = 5),
+st AS (SELECT s.pair_id, s.table_key, CASE WHEN b.pair_id IS NULL THEN last_version END AS last_version, last_sync FROM f3_state s LEFT JOIN bad b ON b.pair_id = s.pair_id AND b.table_key = s.table_key),
+p AS (SELECT pair_id, table_key, path, max_by(op, version * 2 + (op = 'add')::INT) FILTER (version <= last_version) AS before,
+  max_by(op, version * 2 + (op = 'add')::INT) AS now, bool_or(op = 'add' AND version > last_version) AS fresh
+  FROM acts JOIN st USING (pair_id, table_key) WHERE last_version IS NOT NULL GROUP BY 1, 2, 3)
+SELECT pair_id, table_key, 'commit_log' AS method, CASE WHEN now = 'add' THEN 'copy' ELSE 'delete' END AS action, path FROM p WHERE (now = 'add' AND fresh) OR (now = 'remove' AND before = 'add')
+UNION ALL SELECT l.pair_id, l.table_key, 'file_listing', 'copy', 'part-' || cast(file_id AS VARCHAR) FROM f3_p l LEFT JOIN st ON st.pair_id = l.pair_id AND st.table_key = l.table_key
+WHERE last_version IS NULL AND (last_sync IS NULL OR commit_ts > last_sync)""")
+def log_copy_plan(f):
+    state = f["f3_state"]
+    bad = f["f3_p"].join(state.select("pair_id", "table_key", "last_version"), ["pair_id", "table_key"]).filter("version > last_version AND file_id % 997 = 5")
+    files = f["f3_p"].select("pair_id", "table_key", F.concat(F.lit("part-"), F.col("file_id").cast("string")).alias("path"), F.col("commit_ts").alias("mtime"))
+    return commit_log.copy_plan(_exported(f), state, files, failed=bad)
+
+
 _MODE = """
 SELECT v.pair_id, v.table_key, version, last_version, CASE WHEN g.integrity_status = 'fail' THEN 'blocked_integrity' WHEN last_version IS NULL OR last_version < 0 THEN 'full'
   WHEN version <= last_version THEN 'up_to_date' ELSE 'incremental' END AS sync_mode
