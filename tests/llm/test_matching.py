@@ -266,6 +266,44 @@ def test_passages_recall_of_edited_copies(make, edits):
     assert sum(2 * i in found and 2 * i + 1 in found for i in planted) >= 0.97 * len(planted)
 
 
+def test_alignment_of_many_at_once():
+    """The batch form of the extension gives what the single form gives, for every kind of pair."""
+    draw, pairs = random.Random(17), []
+    for _ in range(400):
+        a = [draw.randrange(draw.choice([3, 50])) for _ in range(draw.randint(0, 64))]
+        b = [x for w in a for x in ([w] if draw.random() > 0.2 else draw.choice([[], [w, 7], [8]]))][:draw.randint(0, 64)]
+        pairs.append((np.array(a, np.int32), np.array(b, np.int32)))
+    wide = [np.array([np.pad(x, (0, 64 - len(x)), constant_values=x[-1] if len(x) else 0) for x in side]) for side in zip(*pairs)]
+    sizes = [np.array([len(x) for x in side]) for side in zip(*pairs)]
+    assert [tuple(x) for x in passages.extend_all(*wide, *sizes).tolist()] == [passages.extend(a, b) for a, b in pairs]
+
+
+def test_passages_are_not_put_together_from_lines_of_several_documents(make):
+    """Documents of three 22-word lines, each shared with another document only, hold no passage of fifty words."""
+    lines = [words(7000 + i, 22) for i in range(30)]
+    deal = lines + lines[7:] + lines[:7]
+    given = [(i, " ".join(sum(deal[i::20], []))) for i in range(20)]
+    assert passages.repeated_passages(make(given)).count() == 0
+
+
+def test_passages_of_common_lines(make):
+    """Passages put together from lines that many documents hold are found where the pair alone has them in this order."""
+    draw, lines, given = random.Random(4), [words(7100 + i, 12) for i in range(25)], []
+    for i in range(20):
+        passage = sum(draw.sample(lines, 5), [])
+        given += [(2 * i + k, " ".join(words(7200 + 2 * i + k, 40) + passage + words(7300 + 2 * i + k, 40))) for k in (0, 1)]
+    rows = passages.repeated_passages(make(given)).collect()
+    found = {r.doc_id for r in rows if r.start_word <= 45 and r.end_word >= 95}
+    assert len(found) >= 38
+
+
+def test_repeated_rows_are_one_document(make):
+    passage = words(40, 70)
+    given = [(1, " ".join(words(41, 80) + passage)), (2, " ".join(passage + words(43, 30)))]
+    want = sorted(map(repr, passages.repeated_passages(make(given)).collect()))
+    assert sorted(map(repr, passages.repeated_passages(make(given * 5)).collect())) == want and len(want) == 2
+
+
 def test_passages_twice_in_one_document(make):
     """A document that holds a passage twice has both places reported, whichever document has the smaller key."""
     given = []
