@@ -31,7 +31,8 @@ def blank_words(text: Column) -> Column:
 def keep(df: DataFrame, label: str, *, tidy: bool = False) -> DataFrame:
     """Write ``df`` to the shared work folder and read it back, so that it is computed once and survives lost executors.
 
-    With ``tidy`` the files of its shuffles go as soon as it is written, not at some later collection of garbage on the driver.
+    With ``tidy`` it is packed more tightly, and the files of its shuffles go as soon as it is written, not at some later collection
+    of garbage on the driver.
     """
     spark = df.sparkSession
     path = new_folder(spark, label)
@@ -39,7 +40,7 @@ def keep(df: DataFrame, label: str, *, tidy: bool = False) -> DataFrame:
     if tidy:
         spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression="zstd" if tidy else None)
     finally:
         if tidy:
             spark.conf.set(_CLEANUP, before)
