@@ -51,9 +51,8 @@ APART_NAMES = frozenset((
 _CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _BOUNDS = frozenset("ul ol dl table div section article main nav footer header aside body html form blockquote".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|template|noscript|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
-    r"""|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.DOTALL | re.IGNORECASE)
+_RAW = re.compile(r"<(script|style|textarea|title|template|noscript|svg|iframe)\b", re.IGNORECASE)
+_BREAK, _SPECIAL = re.compile(r"[\s/>]"), re.compile(r"""[>"']""")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 _PARTS = re.compile(r"[A-Za-z]+")
 
@@ -66,6 +65,76 @@ class Node:
         self.words = self.linked = self.runs = 0
 
 
+class _Ahead:
+    """Place of the next match at or after a place; each stretch of the page is searched once while places only grow."""
+
+    def __init__(self, page: str, pattern: re.Pattern):
+        self.page, self.pattern, self.since, self.at = page, pattern, 0, -1
+
+    def of(self, place: int) -> int:
+        if not self.since <= place <= self.at:
+            found = self.pattern.search(self.page, place)
+            self.since, self.at = place, found.start() if found else len(self.page)
+        return self.at
+
+
+def tokens(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """Start, end, whether it closes, name and attributes of each piece of markup; comments and raw elements have no name.
+
+    A ``<`` that begins nothing is text. Forward searches are remembered, so the time is linear in the page whatever is left open.
+    """
+    size, at = len(page), 0
+    breaks, specials = _Ahead(page, _BREAK), _Ahead(page, _SPECIAL)
+    last_gt, last_quote = page.rfind(">"), {q: page.rfind(q) for q in "\"'"}
+    ends: dict[int, int] = {}  # opening quote -> end of the tag it stands in, or -1
+
+    def tag_end(place: int) -> int:
+        """Place of the ``>`` that ends a tag, outside of quotes; -1 if there is none."""
+        passed, end = [], -1
+        while (place := specials.of(place)) < size:
+            if page[place] == ">":
+                end = place
+                break
+            if place in ends:
+                end = ends[place]
+                break
+            passed.append(place)
+            if place >= last_quote[page[place]]:
+                break
+            place = page.find(page[place], place + 1) + 1
+        ends.update(dict.fromkeys(passed, end))
+        return end
+
+    while (at := page.find("<", at)) >= 0:
+        if at > last_gt or page.startswith("<!--", at):
+            at = page.find("<!--", at)
+            if at < 0:
+                return
+            end = page.find("-->", at + 4)
+            end = size if end < 0 else end + 3
+            yield at, end, False, "", ""
+        elif raw := _RAW.match(page, at):
+            close = re.compile(rf"</{raw[1]}\s*>", re.IGNORECASE).search(page, page.find(">", at) + 1)
+            end = close.end() if close else size
+            yield at, end, False, "", ""
+        elif page[at + 1:at + 2] in ("!", "?"):
+            end = page.find(">", at) + 1
+            yield at, end, False, "", ""
+        else:
+            name = at + 1 + page.startswith("/", at + 1)
+            if not (page[name:name + 1].isascii() and page[name:name + 1].isalpha()):
+                at += 1
+                continue
+            stop = breaks.of(name)
+            end = tag_end(stop) + 1
+            if not end:
+                at += 1
+                continue
+            yield at, end, name > at + 1, page[name:stop], page[stop:end - 1]
+            ends.clear()
+        at = end
+
+
 def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
     """Block nodes, parents before children, and the text runs in page order with their node.
 
@@ -73,6 +142,8 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
     """
     nodes, runs = [Node("#root", (), -1, 0)], []
     stack: list[tuple[str, int]] = [("#root", 0)]  # open elements with the node that holds their text
+    places: dict[str, list[int]] = {}  # where in the stack each tag is open
+    bounds: list[int] = []  # where elements are open that keep those around them from being closed
     links = hidden = at = 0
     page = page or ""
 
@@ -87,59 +158,64 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
         node.runs += 1 if count else 0
         runs.append((stack[-1][1], piece))
 
+    def push(tag: str, node: int) -> None:
+        places.setdefault(tag, []).append(len(stack))
+        if tag in _BOUNDS:
+            bounds.append(len(stack))
+        stack.append((tag, node))
+
     def pop() -> None:
         nonlocal links, hidden
         tag, _ = stack.pop()
+        places[tag].pop()
+        if tag in _BOUNDS:
+            bounds.pop()
         links -= tag == "a"
         hidden -= tag in HIDDEN
         if tag not in INLINE:
             runs.append((-1, " "))
 
-    for found in _TOKEN.finditer(page):
-        text(page[at:found.start()])
-        at = found.end()
-        tag = found[3]
+    for start, end, closes, tag, attributes in tokens(page):
+        text(page[at:start])
+        at = end
         if not tag:
             continue
         tag = tag.lower()
-        if found[2]:
-            if tag in ("p", "br") and not any(t == tag for t, _ in stack):
-                runs.append((-1, " "))
-            elif any(t == tag for t, _ in stack[1:]):
+        if closes:
+            if places.get(tag):
                 while stack[-1][0] != tag:
                     pop()
                 pop()
+            elif tag in ("p", "br"):
+                runs.append((-1, " "))
             continue
         if tag in VOID:
             if tag not in INLINE:
                 runs.append((-1, " "))
             continue
         if tag in INLINE:
-            stack.append((tag, stack[-1][1]))
+            push(tag, stack[-1][1])
             links += tag == "a"
             continue
         runs.append((-1, " "))
         if tag in HIDDEN:  # no node: what is never shown says nothing about what is around it
-            stack.append((tag, stack[-1][1]))
+            push(tag, stack[-1][1])
             hidden += 1
             continue
         if stack[-1][0] == "head":
             pop()
         close = _CLOSES.get(tag, ("p",))
-        for depth in range(len(stack) - 1, 0, -1):
-            open_tag = stack[depth][0]
-            if open_tag in close:
-                while len(stack) > depth:
-                    pop()
-                break
-            if open_tag in _BOUNDS and not (tag in ("td", "th", "tr") and open_tag != "table"):
-                break
-        if found[4].endswith("/") and tag not in _BOUNDS and tag != "p":
+        depth = max(places[t][-1] if places.get(t) else 0 for t in close)
+        stops = places.get("table") if tag in ("td", "th", "tr") else bounds
+        if depth and depth >= (stops[-1] if stops else 0):
+            while len(stack) > depth:
+                pop()
+        if attributes.endswith("/") and tag not in _BOUNDS and tag != "p":
             continue
-        names = tuple(w.lower() for m in _NAMES.finditer(found[4]) for w in _PARTS.findall(m[1] or m[2] or m[3] or ""))
+        names = tuple(w.lower() for m in _NAMES.finditer(attributes) for w in _PARTS.findall(m[1] or m[2] or m[3] or ""))
         parent = stack[-1][1]
         nodes.append(Node(tag, names, parent, nodes[parent].depth + 1))
-        stack.append((tag, len(nodes) - 1))
+        push(tag, len(nodes) - 1)
     text(page[at:])
     return nodes, runs
 
@@ -168,6 +244,8 @@ def features(nodes: list[Node]) -> list[list[int]]:
         own += [number(f"name {n}") for n in node.names[:8]]
         if apart(node):
             own.append(1)
+        elif node.tag in MARKS:
+            own.append(number("mark"))
         out.append(own)
     return out
 
@@ -219,10 +297,9 @@ class Model:
         return cls(weights, ties, float(np.log(share / (1 - share))))
 
     def marginals(self, nodes: list[Node]) -> list[float]:
-        """Chance of each node to be content, by sum-product up and down the tree. A marked article is observed to be content."""
+        """Chance of each node to be content, by sum-product up and down the tree."""
         weights, (t0, t1) = self.weights, np.exp(self.ties).tolist()
         own = [min(max(float(sum(weights[i] for i in f)) - self.prior, -30.0), 30.0) for f in features(nodes)]
-        own = [30.0 if n.tag in MARKS and not apart(n) else x for n, x in zip(nodes, own)]
         count = len(nodes)
         up0, up1 = [1.0] * count, [float(np.exp(x)) for x in own]
         to0, to1 = [1.0] * count, [1.0] * count

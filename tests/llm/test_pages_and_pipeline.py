@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import itertools
 import re
+import time
 
 import numpy as np
 import pytest
@@ -54,6 +55,36 @@ def test_cases(model, page, want):
     assert html_text.main_text(page, model) == want
 
 
+@pytest.mark.parametrize("piece", ["<a ", "<script ", "<!", "<a'", '<a "', "<a<a", "</p>", "<h1>", "<p><div><h1>", "<b", "<!--", "<title>", "<a x='>", "<? "])
+def test_a_megabyte_of_one_piece(model, piece):
+    """Pages that leave markup open are read in linear time."""
+    began = time.process_time()
+    html_text.parse(piece * (1_000_000 // len(piece)) + ' "')
+    html_text.parse(piece * (500_000 // len(piece)) + "'>")
+    assert time.process_time() - began < 20
+
+
+def test_articles_by_their_neighbours_without_the_mark(model):
+    """The model and not the mark finds the article: unmarked copies of pages that training did not see give the same text."""
+    for i in range(100, 130):
+        page = TRAINING[i % 30].replace(f" {i % 30}", f" {i}")
+        bare = page.replace("<article>", "<div>").replace("</article>", "</div>")
+        assert html_text.main_text(bare, model) == html_text.main_text(page, model) != ""
+
+
+def test_given_pages_held_out_of_training(spark, sf_dir):
+    """Trained on one half of the given pages, the other half comes out whole, with its article marks and without them."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    half = html_text.train(pages.filter("page_id % 2 = 0"))
+    rest = [r.html for r in pages.filter("page_id % 2 = 1").collect()]
+    assert len(rest) > 50
+    for page in rest:
+        body = re.search(r"<article>(.*?)(</article>|\Z)", page, re.S)[1]
+        body = re.sub(r"<[^>]*>", "", re.sub(r"</?(p|h1|br|div)\b[^>]*>", " ", body))
+        bare = page.replace("<article", "<div").replace("</article", "</div")
+        assert [html_text.main_text(x, half) for x in (page, bare)] == [" ".join(html.unescape(body).split())] * 2
+
+
 def test_marginals_are_exact(model):
     """Sum-product on a small tree against the sum over all labellings."""
     nodes, _ = html_text.parse('<div><p>a b</p><ul><li><a href="x">c</a></li></ul></div><p>d</p>')
