@@ -140,12 +140,13 @@ def test_decontaminate_edited_copies(spark, make):
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()] + [(9, None)], "item_id bigint, text string")
     found = decontaminate.contaminated(make(given), bench)
     rows = sorted(((r.doc_id or -1, r.item_id) for r in found.collect()))
-    assert rows == [(-1, 2), (1, 1), (2, 2), (8, 1), (8, 2), (9, 2), (9, 2)]
-    blocks = decontaminate.contaminated(make(given), bench, block_bytes=200)
-    assert sorted(map(repr, blocks.collect())) == sorted(map(repr, found.collect()))
+    assert rows == [(-1, 2), (1, 1), (2, 2), (7, 3), (8, 1), (8, 2), (9, 2), (9, 2)]
+    parts = decontaminate.contaminated(make(given), bench, sieve=16, together=1)
+    assert sorted(map(repr, parts.collect())) == sorted(map(repr, found.collect()))
+    assert (7, 3) not in {(r.doc_id, r.item_id) for r in decontaminate.contaminated(make(given), bench, shortest=3).collect()}
     docs = make(given)
     left = decontaminate.decontaminate(docs, bench)
-    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [3, 4, 5, 6, 7]
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [3, 4, 5, 6]
     assert decontaminate.contaminated(make([]), bench).count() == 0
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
@@ -171,6 +172,37 @@ def test_decontaminate_finds_what_alignment_finds(spark, make):
     assert all(k in want for k in found if k[0] // 4 == k[1] or k[0] % 4 == 0)
 
 
+def test_decontaminate_short_and_repeated_items(spark, make):
+    """Items of one to six words against brute force; repeated items match each, whatever the size of the bit table and of the lists."""
+    draw, few = random.Random(5), words(77, 12)
+    items = [(i, [draw.choice(few) for _ in range(1 + i % 6)]) for i in range(60)]
+    items += [items[7], items[7], (None, items[11][1])]
+    given = [(i, [draw.choice(few) for _ in range(draw.randint(0, 12))]) for i in range(120)] + [(5, items[11][1]), (5, items[11][1])]
+    share = lambda item: decontaminate.SCORE if len(item) >= decontaminate.EDITED else 1.0
+    want = sorted((d, -1 if i is None else i) for d, body in given for i, item in items
+                  if local_score(item, body) >= 2 * share(item) * len(item) - 1e-9)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items] + [(3, ""), (4, "?!")], "item_id bigint, text string")
+    rows = decontaminate.contaminated(make([(d, " ".join(body)) for d, body in given]), bench, together=7).collect()
+    assert len(want) > 300 and sorted((r.doc_id, -1 if r.item_id is None else r.item_id) for r in rows) == want
+
+
+def test_seeding_is_kept_by_any_copy():
+    """Random edits that keep the score keep the pairs (or words) that the seeds rely on."""
+    draw = random.Random(6)
+    for _ in range(3000):
+        size = draw.randint(4, 40)
+        item, copy = list(range(size)), []
+        rate = draw.random() * 0.5
+        for w in item:
+            copy += [w] if draw.random() >= rate else draw.choice([[-1], [], [-1, w]])
+        if not copy or local_score(item, copy) < 2 * decontaminate.SCORE * size:
+            continue
+        n, places, need = decontaminate.seeding(size, decontaminate.SCORE)
+        kept = {tuple(copy[i:i + n]) for i in range(len(copy) - n + 1)}
+        held = [tuple(item[i:i + n]) in kept for i in range(size - n + 1)]
+        assert sum(sorted(held)[:places]) >= need
+
+
 def test_winnowing_guarantee():
     shared = words(30, passages.GRAM + passages.WINDOW - 1)
     number = lambda tokens: np.array([xxhash.xxh64_intdigest(t) for t in tokens], np.uint64)
