@@ -35,8 +35,8 @@ from tandem.session import new_folder
 BLOCK_IDS = 1 << 16
 SEGMENT_IDS = 1 << 18
 END_ID = 1
-#: Bytes of pieces and their ids that a task remembers; forgetting changes no id. All are forgotten at its end.
-REMEMBERED = 128 << 20
+#: Bytes of pieces and their ids that a worker process remembers from task to task, at most; forgetting changes no id.
+REMEMBERED = 192 << 20
 #: Pieces that are encoded as one text and told apart by the places of their ids.
 TOGETHER = 256
 
@@ -105,7 +105,7 @@ class PieceEncoder:
     """Ids of whole texts, piece by piece.
 
     The default tokenizer lower-cases, drops white space, and parts letters from other signs, so the ids of a text are those of its
-    pieces between spaces and line feeds, one after the other. A piece is encoded once and remembered. Before the text is cut, A-Z are
+    pieces between spaces and line feeds, one after the other. A piece is encoded once in a worker and remembered. Before the text is cut, A-Z are
     lowered and a single comma or full stop after a word is set apart, which changes no id and leaves fewer distinct pieces; texts
     that may hold a special token (``<|``) are cut as they are. ``by_piece`` must be off for a tokenizer of another kind; whole
     texts are encoded then.
@@ -148,10 +148,9 @@ class PieceEncoder:
             return self._encode(texts)
         pieces = [self.pieces(x) for x in texts]
         known = self.known
-        new = list(set().union(*pieces).difference(known))
         if known.full():
             known.clear()
-            new = list(set().union(*pieces))
+        new = [x for x in set().union(*pieces) if x not in known]
         special = [x for x in new if b"<|" in x]
         if special:
             new = list(set(new).difference(special))
@@ -190,7 +189,6 @@ def _writer(encoder: Callable[[], Callable[[list[str]], list[bytes]]], block_ids
                         docs, ids, held, segment = [], [], 0, segment + 1
         if docs:
             yield close()
-        getattr(encode, "known", {}).clear()
         give_back()
 
     return write
