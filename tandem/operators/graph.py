@@ -1,12 +1,15 @@
-"""Reachability over lineage and group membership, with cycles, without a table of pairs between the rounds.
+"""Reachability over lineage and group membership, with cycles.
 
 1. Nodes are told apart by weakly connected component (alternating stars: rounds grow with the logarithm of the diameter).
 2. A component of at most ``local_nodes`` nodes is worked out within a task, many of them together: strongly connected nodes are
    condensed, and each condensed node gets the bitmap of what it reaches, in one pass over the condensed graph from its ends.
-3. A larger component is a matrix of bits, cut into blocks of ``block`` rows and columns; only blocks with a bit exist. The matrix
-   (with the diagonal set) is multiplied by itself until no bit is added: each round doubles the length of the paths that are
-   covered, so cycles need no care and the rounds are the logarithm of the longest shortest path. Blocks meet by a join on the block
-   number between them, and products of one block are OR-ed.
+3. In larger components all pairs go one edge further a round; only pairs that are new go on. That costs what there are pairs, and a
+   lineage is wide but not deep: most items reach few others. It ends by itself, or is left after ``limit`` rounds or when pairs
+   as rows would take more room than as bits; both only say which way the rest is found.
+4. What is left then is a matrix of bits, cut into blocks of ``block`` rows and columns; only blocks with a bit exist. It begins with
+   the pairs found so far. The matrix (with the diagonal set) is multiplied by itself until no bit is added: each round doubles
+   the length of the paths that are covered, so cycles need no care and the rounds are the logarithm of the longest shortest path.
+   Blocks meet by a join on the block number between them, and products of one block are OR-ed.
 
 Null ends and edges from a node to itself are left out; repeated edges count once.
 """
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tandem.functions.grouping import ordinal, spread
-from tandem.session import materialize
+from tandem.session import forget, keep, materialize
 
 # Functions that run in Python tasks travel with the task.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -33,6 +36,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 LOCAL_NODES = 4096
 #: Rows and columns of a block of bits.
 BLOCK = 1024
+#: Rounds of one edge each that are always tried, and pairs that are always stored as rows; beyond that a pair may take 64 bits of the matrix.
+STEPS = 16
+FEW_PAIRS = 10_000_000
+SPARSE = 64
 #: Edges of small components that go to one task together, on average.
 TOGETHER = 50_000
 
@@ -194,7 +201,42 @@ def _set_bits(pairs: bool, block: int):
     return run
 
 
-def _large(links: DataFrame, nodes: DataFrame, kind: str, *, pairs: bool, block: int, max_rounds: int | None) -> DataFrame:
+def _stepwise(links: DataFrame, *, limit: int, most: float) -> tuple[DataFrame, bool]:
+    """Pairs ``src``, ``dst`` of different nodes with a path of up to ``limit`` + 1 edges between them, and whether that is all pairs.
+
+    It stops early when more than ``most`` pairs are known.
+    """
+    spark = links.sparkSession
+    known = lambda steps: spark.read.schema(steps[0].schema).parquet(*(s.kept_path for s in steps))
+    steps = [keep(links.select("src", "dst"), "steps", tidy=True)]
+    ways = steps[0].select(F.col("src").alias("dst"), F.col("dst").alias("next"))
+    total = steps[0].count()
+    while True:
+        if len(steps) > limit or total > most:
+            return known(steps), False
+        met = steps[-1].join(ways, "dst").filter("src <> next").select("src", F.col("next").alias("dst")).distinct()
+        new = keep(met.join(known(steps), ["src", "dst"], "left_anti"), "steps", tidy=True)
+        found = new.count()
+        if not found:
+            forget(new)
+            return known(steps), True
+        steps, total = [*steps, new], total + found
+
+
+def _large(links: DataFrame, nodes: DataFrame, kind: str, *, pairs: bool, block: int, steps: int, max_rounds: int | None) -> DataFrame:
+    """Large components: edge by edge, and what that leaves by repeated squaring of blocks. ``nodes`` has ``component`` and ``node``."""
+    largest, cells = nodes.groupBy("component").count().agg(F.max("count"), F.sum(F.col("count").cast("double") * F.col("count"))).first()
+    found, whole = _stepwise(links, limit=max(steps, (largest // block) ** 2) if steps else 0, most=max(FEW_PAIRS, cells / SPARSE))
+    if whole and pairs:
+        return found
+    if whole:
+        counted = found.select("src", F.lit(1).alias("n")).unionByName(nodes.select(F.col("node").alias("src"), F.lit(0).alias("n")))
+        return counted.groupBy("src").agg(F.sum("n").alias("dst"))
+    links = found.join(nodes.withColumnRenamed("node", "src"), "src").select("component", "src", "dst")
+    return _squared(links, nodes, kind, pairs=pairs, block=block, max_rounds=max_rounds)
+
+
+def _squared(links: DataFrame, nodes: DataFrame, kind: str, *, pairs: bool, block: int, max_rounds: int | None) -> DataFrame:
     """Large components by repeated squaring of their blocks. ``nodes`` has ``component`` and ``node``."""
     key = f"component {kind}, i bigint, j bigint"
     schema = pa.schema([("component", pa.string() if kind == "string" else pa.int64()), ("i", pa.int64()), ("j", pa.int64()), ("bits", pa.binary())])
@@ -227,7 +269,7 @@ def _large(links: DataFrame, nodes: DataFrame, kind: str, *, pairs: bool, block:
     return found.groupBy("component", "pos").agg((F.sum("value") - 1).alias("dst")).join(named, ["component", "pos"]).select("src", "dst")
 
 
-def _reach(edges: DataFrame, *, pairs: bool, local_nodes: int, block: int, max_rounds: int | None) -> DataFrame:
+def _reach(edges: DataFrame, *, pairs: bool, local_nodes: int, block: int, steps: int, max_rounds: int | None) -> DataFrame:
     """``src`` and ``dst``: nodes and how many others they reach (0 included), or which."""
     spark = edges.sparkSession
     text = isinstance(edges.schema["src"].dataType, T.StringType)
@@ -245,18 +287,19 @@ def _reach(edges: DataFrame, *, pairs: bool, local_nodes: int, block: int, max_r
     if not n_large:
         return small
     nodes = roots.join(sizes.filter(F.col("n") > local_nodes), "component").select("component", "node")
-    return small.unionByName(_large(whole.filter("large").drop("large"), nodes, kind, pairs=pairs, block=block, max_rounds=max_rounds))
+    return small.unionByName(_large(whole.filter("large").drop("large"), nodes, kind, pairs=pairs, block=block, steps=steps, max_rounds=max_rounds))
 
 
-def blast_radius(edges: DataFrame, *, local_nodes: int = LOCAL_NODES, block: int = BLOCK, max_rounds: int | None = None) -> DataFrame:
+def blast_radius(edges: DataFrame, *, local_nodes: int = LOCAL_NODES, block: int = BLOCK, steps: int = STEPS, max_rounds: int | None = None) -> DataFrame:
     """How many items depend on each item, directly or not. ``edges`` has ``upstream`` and ``downstream``."""
     counts = _reach(edges.select(F.col("upstream").alias("src"), F.col("downstream").alias("dst")), pairs=False, local_nodes=local_nodes, block=block,
-                    max_rounds=max_rounds).select(F.col("src").alias("node"), F.col("dst").alias("downstream"))
+                    steps=steps, max_rounds=max_rounds).select(F.col("src").alias("node"), F.col("dst").alias("downstream"))
     nodes = edges.select(F.col("upstream").alias("node")).union(edges.select("downstream")).distinct()
     return nodes.join(counts, "node", "left").select("node", F.coalesce("downstream", F.lit(0)).alias("downstream"))
 
 
-def transitive_members(members: DataFrame, *, local_nodes: int = LOCAL_NODES, block: int = BLOCK, max_rounds: int | None = None) -> DataFrame:
+def transitive_members(members: DataFrame, *, local_nodes: int = LOCAL_NODES, block: int = BLOCK, steps: int = STEPS, max_rounds: int | None = None) -> DataFrame:
     """Members of each group including those of nested groups (``group_id``, ``member_id``)."""
-    pairs = _reach(members.select(F.col("group_id").alias("src"), F.col("member_id").alias("dst")), pairs=True, local_nodes=local_nodes, block=block, max_rounds=max_rounds)
+    pairs = _reach(members.select(F.col("group_id").alias("src"), F.col("member_id").alias("dst")), pairs=True, local_nodes=local_nodes, block=block, steps=steps,
+                   max_rounds=max_rounds)
     return pairs.select(F.col("src").alias("group_id"), F.col("dst").alias("member_id"))

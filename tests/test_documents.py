@@ -182,3 +182,30 @@ def test_reachability_of_a_long_chain_and_a_long_cycle(spark):
     frame = spark.createDataFrame(edges, "upstream bigint, downstream bigint")
     got = {r.node: r.downstream for r in graph.blast_radius(frame, max_rounds=16).collect()}
     assert got == {i: n - 1 - i for i in range(n)} | {n + i: n - 1 for i in range(n)}
+
+
+def test_reachability_of_a_wide_lineage_needs_no_matrix(spark, monkeypatch):
+    """Six thousand items, each fed by two earlier ones, and a cycle: pairs are few, so no blocks are multiplied."""
+    def multiplied(block):
+        raise AssertionError("blocks are multiplied")
+
+    monkeypatch.setattr(graph, "_multiply", multiplied)
+    edges = [(i // k, i) for i in range(6000) for k in (2, 3)] + [(5999, 5990), (5990, 5999)]
+    got = {r.node: r.downstream for r in graph.blast_radius(spark.createDataFrame(edges, "upstream bigint, downstream bigint")).collect()}
+    assert got == {k: len(v) for k, v in _reachable(edges).items()}
+
+
+@pytest.mark.parametrize("steps", [0, 1])
+def test_reachability_goes_on_in_blocks(spark, monkeypatch, steps):
+    """Blocks take over where the rounds of one edge end, or where pairs become too many."""
+    rng = random.Random(11)
+    edges = [(f"a{rng.randrange(30)}", f"a{rng.randrange(30)}") for _ in range(45)] + [(f"b{i}", f"b{i + 1}") for i in range(20)]
+    if steps:
+        monkeypatch.setattr(graph, "FEW_PAIRS", 50)
+        monkeypatch.setattr(graph, "SPARSE", 10**6)
+    want = _reachable(edges)
+    frame = spark.createDataFrame(edges, "upstream string, downstream string")
+    got = {r.node: r.downstream for r in graph.blast_radius(frame, local_nodes=3, block=4, steps=steps).collect()}
+    assert got == {k: len(v) for k, v in want.items()}
+    pairs = graph.transitive_members(frame.toDF("group_id", "member_id"), local_nodes=3, block=4, steps=steps).collect()
+    assert len(pairs) == len(set(pairs)) and {tuple(p) for p in pairs} == {(k, x) for k, v in want.items() for x in v}
