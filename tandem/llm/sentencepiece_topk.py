@@ -62,15 +62,25 @@ def default_model() -> str:
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    room = np.empty_like(x)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    np.right_shift(x, np.uint64(27), out=room)
+    x ^= room
+    x *= np.uint64(0x94D049BB133111EB)
+    np.right_shift(x, np.uint64(31), out=room)
+    x ^= room
+    return x
 
 
 def uniform(key: np.ndarray, place: np.ndarray, draw: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) that depend on nothing but the three values."""
     bits = _mix(_mix(key + place.astype(np.uint64) * _GOLD) + draw.astype(np.uint64) * _STEP)
-    return ((bits >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0 ** -53
+    bits >>= np.uint64(11)
+    numbers = bits.astype(np.float64)
+    numbers += 0.5
+    numbers *= 2.0 ** -53
+    return numbers
 
 
 #: No Gumbel number made from 53 random bits is larger; a node farther below another one cannot be the best.
@@ -266,7 +276,7 @@ class Lattices:
         """From each start to the end of its unit: number of the start and arc, in order."""
         left, starts, arcs, step = np.arange(len(state)), [], [], 0
         while len(left):
-            arc = self.pick(state, uniform(key[left], place[left], np.full(len(left), draw * 1_000_003 + step)))
+            arc = self.pick(state, uniform(key[left], place[left], np.array([draw * 1_000_003 + step])))
             starts.append(left)
             arcs.append(arc)
             state = self.target.room[arc]
@@ -296,7 +306,7 @@ class _Path:
                 more = self._siblings(lattices, int(arcs[kept])) - len(barred) - 1
                 rest[0] = np.log(max(1.0 - gone, 1e-16)) if more > 0 else -np.inf
             location = ends[part] - log[part] + rest
-            noise = -np.log(uniform(key, np.arange(done, size), np.full(size - done, 500_000_003 + number)))
+            noise = -np.log(uniform(key, np.arange(done, size), np.array([500_000_003 + number])))
             with np.errstate(over="ignore"):
                 leave = location - np.log(noise + np.exp(location - value))
             self.leave = np.concatenate([self.leave, leave])
@@ -413,20 +423,24 @@ def segment(lattices: Lattices, keys: list[int], texts: list[str], samples: int)
 
 
 _ROWS = ("doc_id bigint, rank int, n_pieces bigint, log_chance double, perturbed double, inclusion double, ids_crc32 bigint, decoded boolean")
+#: Texts that are decoded at once.
+TOGETHER = 500
 
 
-def _sampler(path: str, samples: int, with_ids: bool):
+def _sampler(path: str, samples: int, with_ids: bool, with_crc: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = of_process(f"lattices {path}", lambda: Lattices(path))
         names = [x.split()[0] for x in _ROWS.split(", ")]
         types = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_()]
 
         def done(ids: list, keys: list[int], texts: list[str]) -> pa.RecordBatch:
-            rows = []
+            rows, crcs = [], [zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in texts] if with_crc else []
             for number, rank, log_chance, value, inclusion, pieces, same in segment(lattices, keys, texts, samples):
                 crc = zlib.crc32(pieces.astype("<u4").tobytes())
-                rows.append((ids[number], rank, len(pieces), log_chance, value, inclusion, crc, same, *([pieces] if with_ids else [])))
-            columns = zip(names + ["ids"] * with_ids, types + [pa.list_(pa.int32())] * with_ids, zip(*rows))
+                rows.append((ids[number], rank, len(pieces), log_chance, value, inclusion, crc, same, *([pieces] if with_ids else []),
+                             *([crcs[number]] if with_crc else [])))
+            more = [("ids", pa.list_(pa.int32()))] * with_ids + [("text_crc32", pa.int64())] * with_crc
+            columns = zip(names + [n for n, _ in more], types + [t for _, t in more], zip(*rows))
             named = {n: pa.array(list(v), t) for n, t, v in columns}
             return pa.RecordBatch.from_arrays(list(named.values()), list(named))
 
@@ -454,11 +468,14 @@ def _sampler(path: str, samples: int, with_ids: bool):
 
 
 def sample(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES, seed: int = SEED, model: str | None = None,
-           with_ids: bool = True) -> DataFrame:
-    """Up to ``samples`` distinct segmentations of every text, best perturbed value first; ``ids`` where ``with_ids``."""
+           with_ids: bool = True, with_crc: bool = False) -> DataFrame:
+    """Up to ``samples`` distinct segmentations of every text, best perturbed value first; ``ids`` where ``with_ids``.
+
+    With ``with_crc`` also ``text_crc32`` (unsigned, of the text's UTF-8 bytes), to compare what is decoded with."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("key"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(_sampler(model or default_model(), samples, with_ids), _ROWS + (", ids array<int>" if with_ids else ""))
+    return rows.mapInArrow(_sampler(model or default_model(), samples, with_ids, with_crc),
+                           _ROWS + ", ids array<int>" * with_ids + ", text_crc32 bigint" * with_crc)
 
 
 def decode(rows: DataFrame, *, ids_col: str = "ids", out_col: str = "text", model: str | None = None) -> DataFrame:
@@ -469,12 +486,17 @@ def decode(rows: DataFrame, *, ids_col: str = "ids", out_col: str = "text", mode
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = of_process(f"lattices {path}", lambda: Lattices(path)).pieces.sp
-        for batch in batches:
-            texts = [sp.decode(x) if x else "" for x in batch.column(ids_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out_col])
+        for whole in batches:
+            for at in range(0, whole.num_rows, TOGETHER):
+                batch = whole.slice(at, TOGETHER)
+                texts = [sp.decode(x) if x else "" for x in batch.column(ids_col).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out_col])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out_col, T.StringType())]))
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample(table(spark, sf_dir, "documents").select("doc_id", "text"), with_ids=False)
+    """Sampled ids, read back by the decoder; ``decoded`` says that this gives the text, to the last character."""
+    rows = decode(sample(table(spark, sf_dir, "documents").select("doc_id", "text"), with_crc=True))
+    spelled = F.col("decoded") & (F.crc32(F.col("text").cast("binary")) == F.col("text_crc32"))
+    return rows.withColumn("decoded", spelled).withColumn("text_sha256", F.sha2("text", 256)).drop("text", "text_crc32")

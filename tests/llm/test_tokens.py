@@ -167,6 +167,17 @@ def test_samples_query_and_decoding(spark, sf_dir, texts):
         assert r.text == texts[r.doc_id] and len(r.ids) == r.n_pieces
 
 
+def test_samples_query_gives_ids_and_reads_them_back(spark, sf_dir, texts, monkeypatch):
+    """Every row of the query has its ids and went through the decoder."""
+    calls, decode = [], sentencepiece_topk.decode
+    monkeypatch.setattr(sentencepiece_topk, "decode", lambda rows, **more: calls.append(rows) or decode(rows, **more))
+    rows = sentencepiece_topk.op10_sentencepiece(spark, sf_dir).collect()
+    assert len(calls) == 1
+    for r in rows:
+        assert len(r.ids) == r.n_pieces and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+        assert r.decoded and r.text_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
 def test_samples_edges(make):
     rows = sentencepiece_topk.sample(make([(1, None), (2, ""), (None, "a b"), (4, "w" * 20000), (5, "x y"), (5, "x y")])).collect()
     assert all(r.decoded for r in rows)
