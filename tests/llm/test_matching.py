@@ -329,6 +329,19 @@ def test_passages_of_common_lines(make):
     assert len(found) >= 38
 
 
+@pytest.mark.parametrize("few", [2, 64])
+def test_passages_whose_parts_stand_in_other_documents(make, monkeypatch, few):
+    """Five 12-word lines in an order that only two documents share, every line in many others: all forty are found."""
+    monkeypatch.setattr(passages, "FEW", few)
+    for seed in (1, 2, 4):
+        draw, lines, given = random.Random(seed), [words(7100 + i, 12) for i in range(25)], []
+        for i in range(20):
+            passage = sum(draw.sample(lines, 5), [])
+            given += [(2 * i + k, " ".join(words(7200 + 2 * i + k, 40) + passage + words(7300 + 2 * i + k, 40))) for k in (0, 1)]
+        rows = passages.repeated_passages(make(given)).collect()
+        assert {r.doc_id for r in rows if r.start_word <= 45 and r.end_word >= 95} == set(range(40))
+
+
 def test_repeated_rows_are_one_document(make):
     passage = words(40, 70)
     given = [(1, " ".join(words(41, 80) + passage)), (2, " ".join(passage + words(43, 30)))]
