@@ -310,6 +310,42 @@ def test_alignment_of_many_at_once():
     assert [tuple(x) for x in passages.extend_all(*wide, *sizes).tolist()] == [passages.extend(a, b) for a, b in pairs]
 
 
+def test_chains_told_by_codes_end_soon():
+    """A side that is said to end soon covers at most ``SOON`` words of either stretch, by the words themselves."""
+    draw, told, chance = random.Random(19), 0, 0
+    for few in (2, 3, 5, 30, 3000):
+        for _ in range(300):
+            a = np.array([draw.randrange(few) for _ in range(draw.randint(0, 64))], np.int32)
+            b = np.array([x for w in a for x in ([w] if draw.random() > 0.4 else draw.choice([[], [w, 7], [8]]))][:64], np.int32)
+            b = b if draw.random() < 0.5 else np.array([draw.randrange(few) for _ in range(draw.randint(0, 64))], np.int32)
+            code = lambda x, size: passages._around(passages._codes(x), np.zeros(1, int), np.zeros(1, int), np.full(1, len(x)), 1, size)
+            near = passages._unpacked(passages._packed(code(a, passages.NEAR)))
+            assert (near == code(a, passages.NEAR)).all()
+            if passages.ends_soon(near, code(b, passages.WIDE))[0]:
+                told += 1
+                chance += few == 3000
+                assert max(passages.extend(a, b)[:2]) <= passages.SOON
+    assert told > 300 and chance > 100
+
+
+def test_chance_seeds_carry_no_words(make, monkeypatch):
+    """Texts that share a few words in a row by chance: their chains are told from passages before any words are sent for them."""
+    held, keep = {}, passages.keep
+
+    def spy(df, label, **more):
+        kept = keep(df, label, **more)
+        held.setdefault(label, (kept.columns, kept.count()))
+        return kept
+
+    monkeypatch.setattr(passages, "keep", spy)
+    few, passage = words(8000, 8), words(8001, 60)
+    given = [(i, " ".join(words(8100 + i, 60) + few + words(8200 + i, 60))) for i in range(30)]
+    given += [(100 + i, " ".join(words(8300 + i, 30) + passage + words(8400 + i, 30))) for i in range(2)]
+    rows = passages.repeated_passages(make(given)).collect()
+    assert sorted((r.doc_id, r.start_word, r.end_word, r.other_id) for r in rows) == [(100, 30, 90, 101), (101, 30, 90, 100)]
+    assert held["chains"][1] >= 20 and "a_words" not in held["chains"][0] and held["hopeful"][1] <= 3
+
+
 def test_passages_are_not_put_together_from_lines_of_several_documents(make):
     """Documents of three 22-word lines, each shared with another document only, hold no passage of fifty words."""
     lines = [words(7000 + i, 22) for i in range(30)]
