@@ -37,7 +37,7 @@ from tandem.llm.words import give_back, of_process
 SAMPLES = 2
 SEED = 17
 #: Bytes of units and their lattices that a task remembers; forgetting changes no result. All are forgotten at its end.
-REMEMBERED = 48 << 20
+REMEMBERED = 96 << 20
 #: Units that are walked at a time.
 CHUNK = 40_000
 SPACE = "▁"
@@ -123,6 +123,9 @@ class Pieces:
         raw = [of_id.get(i, UNKNOWN) for i in range(sp.vocab_size())]
         self.id_sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         self.id_starts, self.id_bytes = np.cumsum(self.id_sizes) - self.id_sizes, np.frombuffer(b"".join(raw), np.uint8)
+        # What may begin a text that is put together from the bytes of its ids, and what may go on.
+        self.begins = np.array([i in of_id and i not in self.byte_ids.values() and of_id[i][:1] == b" " for i in range(sp.vocab_size())])
+        self.goes_on = np.array([i in of_id for i in range(sp.vocab_size())])
         self.longest = max(map(len, texts))
         # Letters that a piece joins to such a sign are no letters here, so that no piece crosses the cut.
         joined = {t[i - 1] for t in texts for i in range(1, len(t)) if t[i] in _SIGNS and re.match(r"[^\W\d_]", t[i - 1])}
@@ -178,6 +181,40 @@ class Pieces:
         starts, n = self.id_starts[ids], self.id_sizes[ids]
         return self.id_bytes[_places(starts, n)].tobytes()[1:]
 
+    def texts(self, lists: pa.ListArray) -> pa.StringArray:
+        """What each list of ids spells, the bytes of all ids gathered together. The model's own decoder reads the lists that this may not
+        fit: those with other ids than pieces and bytes, without a single space in front, or whose bytes are no characters."""
+        ids, slow = lists.flatten(), np.ones(len(lists), bool)
+        if len(ids) and not ids.null_count and not lists.null_count:
+            ids, cuts = ids.to_numpy(), lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+            sizes, heads = np.diff(cuts), np.minimum(cuts[:-1], len(ids) - 1)
+            known = (ids >= 0) & (ids < len(self.goes_on))
+            ids = np.where(known, ids, 0)
+            odd = np.concatenate(([0], np.cumsum(~(known & self.goes_on[ids]))))
+            starts, n = self.id_starts[ids], self.id_sizes[ids]
+            ends = np.concatenate(([0], np.cumsum(n)))
+            raw = self.id_bytes[_places(starts, n)]
+            begins = self.begins[ids[heads]] & (sizes > 0)
+            second = raw[np.minimum(ends[heads] + 1, len(raw) - 1)]
+            slow = ~(begins & (odd[cuts[1:]] == odd[cuts[:-1]]) & (ends[cuts[1:]] - ends[cuts[:-1]] > 1) & (second != 32))
+            if not slow.any():
+                try:
+                    raw.tobytes().decode()  # a space stands before every text, so that none runs into the next one
+                except UnicodeDecodeError:
+                    slow[:] = True
+                else:
+                    left = np.delete(raw, ends[cuts[:-1]])
+                    offsets = (ends[cuts] - np.arange(len(cuts))).astype(np.int32)
+                    return pa.StringArray.from_buffers(len(lists), pa.py_buffer(offsets), pa.py_buffer(left))
+            if not slow.all():
+                some = np.flatnonzero(~slow)
+                out = np.full(len(lists), None, object)
+                out[some] = self.texts(lists.take(pa.array(some))).to_pylist()
+                rest = np.flatnonzero(slow)
+                out[rest] = self.texts(lists.take(pa.array(rest))).to_pylist()
+                return pa.array(out.tolist(), pa.string())
+        return pa.array([self.sp.decode(x) if x else "" for x in lists.to_pylist()], pa.string())
+
 
 class Lattices:
     """Arcs of all remembered units. A state is a place in a unit; its arcs lie together, longest first.
@@ -485,12 +522,11 @@ def decode(rows: DataFrame, *, ids_col: str = "ids", out_col: str = "text", mode
     path = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp = of_process(f"lattices {path}", lambda: Lattices(path)).pieces.sp
+        pieces = of_process(f"lattices {path}", lambda: Lattices(path)).pieces
         for whole in batches:
             for at in range(0, whole.num_rows, TOGETHER):
                 batch = whole.slice(at, TOGETHER)
-                texts = [sp.decode(x) if x else "" for x in batch.column(ids_col).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out_col])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pieces.texts(batch.column(ids_col))], [*batch.schema.names, out_col])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out_col, T.StringType())]))
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tandem.llm import bitplanes, chat, sentencepiece_topk
@@ -167,6 +169,22 @@ def test_samples_query_and_decoding(spark, sf_dir, texts):
         assert r.text == texts[r.doc_id] and len(r.ids) == r.n_pieces
 
 
+def test_decoding_gathers_bytes(lattices, make, spark, monkeypatch):
+    """Lists of any ids read as the model's decoder reads them, and sampled ones are read without a call of it."""
+    pieces, draw = lattices.pieces, random.Random(5)
+    of_bytes, size = list(pieces.byte_ids.values()), pieces.sp.vocab_size()
+    lists = [None, []] + [[draw.choice(pool) for _ in range(draw.randint(1, 9))] for _ in range(200) for pool in (range(size), of_bytes, range(300, 900))]
+    lists += [list(p) for t in ("a b", " a", "", "ü梦", "a\x00\n b ") for p in segmentations(lattices, t)]
+    want = [pieces.sp.decode(x) if x else "" for x in lists]
+    rows = spark.createDataFrame(list(enumerate(lists)), "n int, ids array<int>").coalesce(1)
+    assert [r.text for r in sorted(sentencepiece_topk.decode(rows).collect(), key=lambda r: r.n)] == want
+    array = pa.array(lists, pa.list_(pa.int32()))
+    assert pieces.texts(array).to_pylist() == want and pieces.texts(array.slice(5, 90)).to_pylist() == want[5:95]
+    monkeypatch.setattr(pieces, "sp", None)
+    plain = [ids.tolist() for *_, ids, _ in sentencepiece_topk.segment(lattices, [1, 2], ["one ü two\n", "three 梦"], 2)]
+    assert pieces.texts(pa.array(plain, pa.list_(pa.int32()))).to_pylist() == ["one ü two\n"] * 2 + ["three 梦"] * 2
+
+
 def test_samples_query_gives_ids_and_reads_them_back(spark, sf_dir, texts, monkeypatch):
     """Every row of the query has its ids and went through the decoder."""
     calls, decode = [], sentencepiece_topk.decode
