@@ -89,7 +89,8 @@ def links(prints: DataFrame) -> DataFrame:
     masks = F.array(F.lit(0).cast("bigint"), *[F.lit(1 << i).cast("bigint") for i in range(32)])
     probes = table_side.select(F.col("fp").alias("u"), F.col("star").alias("u_star"), "segment", F.explode(masks).alias("mask"), "value")
     probes = probes.select("u", "u_star", "segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
-    found = probes.join(table_side, ["segment", "value"]).filter(
+    # Spark sizes the probes without the explode, so by its own estimate the driver might get all of them to broadcast.
+    found = probes.hint("merge").join(table_side, ["segment", "value"]).filter(
         (F.col("u") < F.col("fp")) & (F.col("u_star") != F.col("star")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("fp"))) <= BITS))
     return stars.select("u", "v").unionByName(found.select("u", F.col("fp").alias("v")).distinct())
 

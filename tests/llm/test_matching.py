@@ -72,6 +72,12 @@ def test_simhash_dense_groups(spark, monkeypatch):
     assert group(lambda i: found.get(signed[i][1], signed[i][1])) == group(lambda i: min(signed[j][1] for j in prints if want[j] == want[i]))
 
 
+def test_simhash_probes_are_not_broadcast(spark):
+    """The looked-up values are 33 times what Spark takes them for, so no table of them is sent to the driver, however small it seems."""
+    plan = simhash.links(spark.range(40).selectExpr("id * 7919 as fp"))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" in plan and "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_simhash_edges_and_dedup(make):
     base = words(1, 60)
     near = base[:59] + ["changed"]
