@@ -128,3 +128,13 @@ def test_pipeline_stages(spark, sf_dir):
     last = corpus_pipeline.sentencepiece_samples(spark, four, sf_dir).collect()
     assert {r.doc_id for r in last} == {r.doc_id for r in four.collect()} and all(r.decoded for r in last)
     assert len(last) == corpus_pipeline.run(spark, sf_dir).count()
+
+
+def test_pipeline_stage_broadcasts_no_probes(spark, make, monkeypatch):
+    """However small the documents that reach near_duplicates, the values it looks up do not pass through the driver."""
+    plans, links = [], simhash.links
+    spy = lambda prints: (found := links(prints), plans.append(found._jdf.queryExecution().executedPlan().toString()))[0]
+    monkeypatch.setattr(simhash, "links", spy)
+    given = [(i, f"text number {i} of a few that are kept here") for i in range(6)] + [(9, "text number 1 of a few that are kept here")]
+    assert corpus_pipeline.near_duplicates(spark, make(given), "").count() == 6
+    assert len(plans) == 1 and "Generate explode" in plans[0] and "BroadcastHashJoin" not in plans[0]
