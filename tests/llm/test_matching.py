@@ -384,6 +384,16 @@ def test_passages_whose_parts_stand_in_other_documents(make, monkeypatch, few):
         assert {r.doc_id for r in rows if r.start_word <= 45 and r.end_word >= 95} == set(range(40))
 
 
+def test_passages_of_frequent_lines_with_a_word_put_between(make, monkeypatch):
+    """Two lines that many documents hold far from each other: those where one changed word parts them are found."""
+    monkeypatch.setattr(passages, "FEW", 8)
+    one, two = words(7500, 26), words(7501, 26)
+    given = [(10 + i, " ".join(words(8500 + i, 10) + one + words(9000 + i, 60) + two + words(9500 + i, 10))) for i in range(400)]
+    given += [(k, " ".join(words(7800 + k, 20) + one + words(7900 + k, 1) + two + words(8000 + k, 20))) for k in range(2)]
+    rows = passages.repeated_passages(make(given)).collect()
+    assert sorted((r.doc_id, r.start_word, r.end_word) for r in rows) == [(0, 20, 73), (1, 20, 73)]
+
+
 def test_repeated_rows_are_one_document(make):
     passage = words(40, 70)
     given = [(1, " ".join(words(41, 80) + passage)), (2, " ".join(passage + words(43, 30)))]
